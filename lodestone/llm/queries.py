@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import mixing, quality_rules
+from . import mixing, near_dedup, quality_rules
 
 
 def _over_documents(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +17,7 @@ def _over_documents(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": _over_documents(quality_rules.query),
+        "op3_near_dedup": _over_documents(near_dedup.query),
         "op7_mixing": _over_documents(mixing.query),
     }
 
