@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import mixing, near_dedup, quality_rules
+from . import line_dedup, mixing, near_dedup, quality_rules, secret_scan
 
 
 def _over_documents(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,11 +18,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": _over_documents(quality_rules.query),
         "op3_near_dedup": _over_documents(near_dedup.query),
+        "op5_line_dedup": _over_documents(line_dedup.query),
+        "op6_secret_scan": _over_documents(secret_scan.query),
         "op7_mixing": _over_documents(mixing.query),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_line_dedup": line_dedup.oracle(),
+        "op6_secret_scan": secret_scan.oracle(),
         "op7_mixing": mixing.oracle(),
     }
