@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import line_dedup, mixing, near_dedup, quality_rules, secret_scan
+from . import decontamination, line_dedup, mixing, near_dedup, quality_rules, secret_scan, substring_dedup
 
 
 def _over_documents(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -18,9 +18,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": _over_documents(quality_rules.query),
         "op3_near_dedup": _over_documents(near_dedup.query),
+        "op4_decontamination": lambda spark, d: decontamination.query(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op5_line_dedup": _over_documents(line_dedup.query),
         "op6_secret_scan": _over_documents(secret_scan.query),
         "op7_mixing": _over_documents(mixing.query),
+        "op10_substring_dedup": _over_documents(substring_dedup.query),
     }
 
 
