@@ -36,7 +36,7 @@ BUCKETS = 1 << 20
 
 
 def _hashes(text: Column) -> Column:
-    return C.hash_each(C.words(C.ascii_lower(text)))
+    return C.hash_each(C.words(F.lower(C.text_or_empty(text))))
 
 
 def _grams(hashes: Column, n: int) -> Column:
