@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import decontamination, line_dedup, mixing, near_dedup, quality_rules, secret_scan, substring_dedup, toxicity
+from . import decontamination, language_model, line_dedup, mixing, near_dedup, quality_rules, secret_scan, substring_dedup, toxicity
 
 
 def _over_documents(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -22,6 +22,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_line_dedup": _over_documents(line_dedup.query),
         "op6_secret_scan": _over_documents(secret_scan.query),
         "op7_mixing": _over_documents(mixing.query),
+        "op8_language_model": _over_documents(language_model.query),
         "op9_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
         "op10_substring_dedup": _over_documents(substring_dedup.query),
     }
