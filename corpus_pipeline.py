@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lodestone.llm import common, mixing, quality_rules
+from lodestone.llm import common, decontamination, line_dedup, mixing, near_dedup, quality_rules
 
 
 def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,17 +12,35 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.keep_good(docs)
 
 
+def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without runs of lines that stand earlier elsewhere."""
+    return line_dedup.without_repeats(docs)
+
+
+def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five words, similarity 0.8 or more."""
+    return near_dedup.keep_one(docs)
+
+
+def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no passage of `benchmark`."""
+    return decontamination.keep_clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: a row for each epoch of a document that is taken."""
+    """The mix: a row for each epoch of a document that is taken, with epoch and taken_words."""
     return mixing.mix(docs)
 
 
 STAGES = [
     ("quality_rules", reject_poor),
+    ("line_dedup", cut_repeated_lines),
+    ("near_dedup", keep_one_of_copies),
+    ("decontamination", drop_benchmark_leaks),
     ("mixing", mix_sources),
 ]
 
-#: The stages iterate and align, which SQL does not express.
+#: The stages iterate and align, which SQL does not express; tests hold them against brute force.
 ORACLE_SQL = None
 
 

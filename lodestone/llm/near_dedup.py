@@ -243,9 +243,10 @@ def query(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` whose id is the least of their group; of rows that repeat an id, one a text.
+    """The rows of `docs` whose id is the least of their group; rows with a null id stay.
 
     Only ids that go are held against the texts, so the join moves each text once.
     """
-    found = C.durable(groups(docs, n, percent, doc_id, text).filter("doc_id != component_id").select("doc_id").distinct())
-    return docs.join(found, F.col(f"`{doc_id}`").cast("long") == found["doc_id"], "left_anti")
+    found = groups(docs, n, percent, doc_id, text).filter("doc_id != component_id")
+    gone = C.durable(found.select(F.col("doc_id").alias("__gone")).distinct())
+    return docs.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col("__gone"), "left_anti")

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import decontamination, language_model, line_dedup, mixing, near_dedup, quality_rules, secret_scan, substring_dedup, toxicity
+from . import decontamination, language_model, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup, toxicity
 
 
 def _over_documents(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -17,6 +17,7 @@ def _over_documents(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSes
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": _over_documents(quality_rules.query),
+        "op2_quality_classifier": lambda spark, d: quality_classifier.query(table(spark, d, "documents"), table(spark, d, "labels")),
         "op3_near_dedup": _over_documents(near_dedup.query),
         "op4_decontamination": lambda spark, d: decontamination.query(table(spark, d, "documents"), table(spark, d, "benchmark")),
         "op5_line_dedup": _over_documents(line_dedup.query),

@@ -32,11 +32,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common as C
+from .fitting import logistic
 
 FOLDS = 5
 SAMPLE = 4000
 DISCOUNT = 4.0
-CURVE_STEPS = 30
 WINDOW = 6
 TOP = 3
 STRIP = ".,;:!?\"'()[]{}<>|&%$#*~_-"
@@ -131,20 +131,6 @@ def train(sample: DataFrame) -> Model:
     return Model(above.select("a", "b", "toxic", "n").toPandas(), words.join(often, "w", "left_semi").toPandas())
 
 
-def logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = CURVE_STEPS, ridge: float = 1.0) -> np.ndarray:
-    """Weights of a ridge logistic regression by Newton steps; the last is the intercept."""
-    x = np.column_stack([x, np.ones(len(x))])
-    beta = np.zeros(x.shape[1])
-    hold = ridge * np.eye(x.shape[1])
-    hold[-1, -1] = 1e-6
-    for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        slope = x.T @ (weight * (y - p)) - hold @ beta
-        curve = (x * (weight * p * (1 - p))[:, None]).T @ x + hold
-        beta = beta + np.clip(np.linalg.solve(curve, slope), -5, 5)
-    return beta
-
-
 def _featured(model):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = model.value
