@@ -73,6 +73,46 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+#: Rows that the filter in front of a join on few rows can have, whatever the data.
+BUCKETS = 1 << 20
+
+
+def bucket(*keys: str) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
+
+def _apart(rows: DataFrame, found: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """`rows` that may meet `found` on `keys`, and those that cannot.
+
+    The filter is a broadcast of hash buckets, at most BUCKETS rows; only the first
+    part goes on to a shuffle.
+    """
+    near = F.broadcast(found.select(bucket(*keys).alias("__bucket")).distinct())
+    dealt = rows.withColumn("__bucket", bucket(*keys))
+    close, far = (dealt.join(near, "__bucket", how).drop("__bucket") for how in ("left_semi", "left_anti"))
+    return close, far
+
+
+def left_join_few(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """Left join of `rows` with `found`, which meets few of them; both hold `keys`, none null."""
+    close, far = _apart(rows, found, keys)
+    return close.join(found.hint("merge"), keys, "left").unionByName(far, allowMissingColumns=True)
+
+
+def anti_join_few(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFrame:
+    """`rows` without those that `found` names by `keys`, which are few; a null key is named by none."""
+    close, far = _apart(rows, found, keys)
+    return close.join(found.hint("merge"), keys, "left_anti").unionByName(far)
+
+
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """Columns that tell rows apart and put them in order, none null: __id, null ids last, and __text, a hash."""
+    return [
+        F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1)).alias("__id"),
+        F.xxhash64(text_or_empty(text)).alias("__text"),
+    ]
+
+
 _own_dir: list[str] = []
 _written: list[tuple[SparkSession, str]] = []
 

@@ -150,10 +150,10 @@ def matches(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str
 
 def keep_clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of `docs` that match no item."""
-    body = F.col(f"`{text}`")
-    found = C.durable(matches(docs, items, doc_id, text).select(F.col("doc_id").alias("__i"), F.col("text_key").alias("__t")).distinct())
-    keys = _row_key(F.col(f"`{doc_id}`"), body)
-    return docs.join(found, keys[0].eqNullSafe(F.col("__i")) & (keys[1] == F.col("__t")), "left_anti")
+    body, own = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
+    id_key = C.row_key(F.col("doc_id"), F.lit(""))[0]
+    found = C.durable(matches(docs, items, doc_id, text).select(id_key, F.col("text_key").alias("__text")).distinct())
+    return C.anti_join_few(docs.select("*", *C.row_key(own, body)), found, ["__id", "__text"]).drop("__id", "__text")
 
 
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:

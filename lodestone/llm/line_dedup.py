@@ -62,18 +62,10 @@ def _fingerprints(hashes: Column, window: int) -> Column:
     ).otherwise(F.array().cast("array<struct<f:bigint,windows:array<struct<start:int,hash:bigint>>>>"))
 
 
-def _row_key(doc_id: Column, text: Column) -> list[Column]:
-    """Columns that tell rows apart and put them in order; no null among them."""
-    return [
-        F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1)).alias("__id"),
-        F.xxhash64(C.text_or_empty(text)).alias("__text"),
-    ]
-
-
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", window: int = WINDOW) -> DataFrame:
     """__id, __text, starts: where windows of lines begin that stand earlier elsewhere."""
     body = F.col(f"`{text}`")
-    marked = docs.select(*_row_key(F.col(f"`{doc_id}`"), body), C.let(_line_hashes(body), lambda h: _fingerprints(h, window)).alias("marks"))
+    marked = docs.select(*C.row_key(F.col(f"`{doc_id}`"), body), C.let(_line_hashes(body), lambda h: _fingerprints(h, window)).alias("marks"))
     marks = C.durable(marked.select("__id", "__text", F.explode("marks").alias("m")).select("__id", "__text", "m.f", "m.windows"))
     often = marks.groupBy("f").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("f")
     placed = marks.join(often, "f").select(F.explode("windows").alias("w"), F.struct("__id", "__text", "w.start").alias("at"))
@@ -88,8 +80,8 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
     names = docs.columns
     found = C.durable(repeats(docs, doc_id, text, window))
     body = F.col(f"`{text}`")
-    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), body.cast("string").alias("body"), *_row_key(F.col(f"`{doc_id}`"), body))
-    met = keyed.join(found, ["__id", "__text"], "left")
+    keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), body.cast("string").alias("body"), *C.row_key(F.col(f"`{doc_id}`"), body))
+    met = C.left_join_few(keyed, found, ["__id", "__text"])
     gone = C.let(
         _places(_lines(F.col("body"))),
         lambda places: F.transform(

@@ -249,4 +249,5 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_
     """
     found = groups(docs, n, percent, doc_id, text).filter("doc_id != component_id")
     gone = C.durable(found.select(F.col("doc_id").alias("__gone")).distinct())
-    return docs.join(gone, F.col(f"`{doc_id}`").cast("long") == F.col("__gone"), "left_anti")
+    keyed = docs.withColumn("__gone", F.col(f"`{doc_id}`").cast("long"))
+    return C.anti_join_few(keyed, gone, ["__gone"]).drop("__gone")

@@ -151,7 +151,7 @@ def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     runs = C.durable(repeats(docs, doc_id, text, least_words))
     per = runs.groupBy("id", "text_key").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     keyed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), body.cast("string").alias("body"), *_row_key(F.col(f"`{doc_id}`"), body))
-    met = keyed.join(per, ["id", "text_key"], "left").withColumn("removed", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))
+    met = C.left_join_few(keyed, per, ["id", "text_key"]).withColumn("removed", F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>")))
     kept = F.transform(
         F.sequence(F.lit(0), F.size("removed")),
         lambda i: F.struct(
