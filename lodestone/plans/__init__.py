@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sequence
+from . import relational, sequence
 
-_MODULES = (sequence,)
+_MODULES = (relational, sequence)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
