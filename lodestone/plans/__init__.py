@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, sequence
+from . import relational, search, sequence, text
 
-_MODULES = (relational, sequence)
+_MODULES = (relational, sequence, text, search)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
