@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import relational, search, sequence, text
+from . import ingest, relational, search, sequence, text
 
-_MODULES = (relational, sequence, text, search)
+_MODULES = (relational, sequence, text, search, ingest)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
