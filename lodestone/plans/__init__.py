@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ingest, relational, search, sequence, text
+from . import derived, ingest, relational, search, sequence, text
 
-_MODULES = (relational, sequence, text, search, ingest)
+_MODULES = (relational, sequence, text, search, ingest, derived)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
