@@ -251,3 +251,22 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_
     gone = C.durable(found.select(F.col("doc_id").alias("__gone")).distinct())
     keyed = docs.withColumn("__gone", F.col(f"`{doc_id}`").cast("long"))
     return C.anti_join_few(keyed, gone, ["__gone"]).drop("__gone")
+
+
+def oracle(n: int = 3, percent: int = 85) -> str:
+    """DuckDB SQL for `query`: all pairs that share a shingle, and their closure."""
+    gram = " || ' ' || ".join(f"w[i + {k}]" for k in range(n))
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    return f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{upper.lower()}'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= {n} THEN list_transform(range(1, len(w) - {n - 2}), lambda i: {gram}) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+c AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN c x ON x.doc_id = a JOIN c y ON y.doc_id = b WHERE 100 * k >= {percent} * (x.n + y.n - k)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT node, b FROM r JOIN e ON reach = a),
+m AS (SELECT node, min(reach) AS component_id FROM r GROUP BY 1),
+z AS (SELECT doc_id, count(*) OVER (PARTITION BY array_to_string(w, ' ')) AS class_size FROM w)
+SELECT z.doc_id, coalesce(c.n, 0) AS n_shingles, component_id, z.doc_id = component_id AS kept, class_size
+FROM z LEFT JOIN c ON c.doc_id = z.doc_id JOIN m ON m.node = z.doc_id
+"""

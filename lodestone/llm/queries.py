@@ -31,6 +31,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op3_near_dedup": near_dedup.oracle(),
         "op5_line_dedup": line_dedup.oracle(),
         "op6_secret_scan": secret_scan.oracle(),
         "op7_mixing": mixing.oracle(),
