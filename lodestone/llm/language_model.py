@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
@@ -42,7 +43,9 @@ HIDDEN = 16
 LANES, STEPS = 512, 16
 RATE = 0.08
 #: Tokens that a worker holds at once, but for a longer document.
-CHUNK = 1_000_000
+CHUNK = 3_000_000
+#: States that meet the softmax at once in scoring.
+BLOCK = 16_384
 SPELLINGS = 16
 
 
@@ -110,7 +113,7 @@ class Vocabulary:
     def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
         """Head ids (-1 beyond) and input codes of the tokens and the end, and the tokens beyond the head."""
         said = tokens(text)
-        at = np.fromiter(map(self.ids.get, said, _MISSING), dtype=np.int64, count=len(said))
+        at = np.array(list(map(self.ids.get, said, repeat(-1))), dtype=np.int64)
         at = np.append(at, 0)
         beyond = [said[k] for k in np.flatnonzero(at < 0)]
         code = np.where(at < self.n_words, at, self.n_words + self.spelled[np.maximum(at, 0)])
@@ -118,17 +121,6 @@ class Vocabulary:
         return at, code, beyond
 
 
-class _Missing:
-    def __iter__(self):
-        return self
-
-    def __next__(self):
-        return -1
-
-
-_MISSING = _Missing()
-
-
 def vocabulary(counted: DataFrame) -> Vocabulary:
     """The most frequent tokens, at most HEAD: those above the count that fits so many."""
     by_count = counted.filter(F.col("token") != END).groupBy("c").agg(F.count(F.lit(1)).alias("n")).orderBy(F.col("c").desc()).collect()
@@ -144,14 +136,24 @@ def vocabulary(counted: DataFrame) -> Vocabulary:
     return Vocabulary([(r["token"], r["c"]) for r in head], sums[0], sums[1], {r["k"]: float(r["m"]) for r in masses})
 
 
-def _softmax_log(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(1, keepdims=True)
-    x -= np.log(np.exp(x).sum(1, keepdims=True))
+#: Logits stay far below this, as states are within one; it only keeps exp finite.
+MOST_LOGIT = 60.0
+
+
+def _softmax(x: np.ndarray) -> np.ndarray:
+    """Probabilities of the rows of `x`, which is overwritten."""
+    np.minimum(x, MOST_LOGIT, out=x)
+    np.exp(x, out=x)
+    x /= (x @ np.ones(x.shape[1], dtype=x.dtype))[:, None]
     return x
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x, -20, 20)))
+    x *= 0.5
+    np.tanh(x, out=x)
+    x += 1
+    x *= 0.5
+    return x
 
 
 class Network:
@@ -209,10 +211,10 @@ class Network:
     def log_p(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """log P of each target code: its class, and the word if it is a frequent one."""
         group = self.split(target)
-        out = _softmax_log(states @ self.p["classes"] + self.p["class_bias"])[np.arange(len(target)), group].astype(np.float64)
+        p = _softmax(states @ self.p["classes"] + self.p["class_bias"])[np.arange(len(target)), group].astype(np.float64)
         for c, rows in self._by_class(group):
-            out[rows] += _softmax_log(states[rows] @ self.p["words"][c] + self.p["word_bias"][c])[np.arange(len(rows)), target[rows] - c * CLASS_SIZE]
-        return out
+            p[rows] *= _softmax(states[rows] @ self.p["words"][c] + self.p["word_bias"][c])[np.arange(len(rows)), target[rows] - c * CLASS_SIZE]
+        return np.log(np.maximum(p, 1e-300))
 
     def _by_class(self, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         order = np.argsort(group, kind="stable")
@@ -231,37 +233,41 @@ class Network:
         goal = np.maximum(goal, 0)
         group = self.split(goal)
         scale = np.float32(1 / max(1, live.sum()))
-        d = np.exp(_softmax_log(flat @ self.p["classes"] + self.p["class_bias"]))
+        d = _softmax(flat @ self.p["classes"] + self.p["class_bias"])
         d[np.arange(len(goal)), group] -= 1
         d *= (live * scale)[:, None]
         g = {"classes": flat.T @ d, "class_bias": d.sum(0), "words": np.zeros_like(self.p["words"]), "word_bias": np.zeros_like(self.p["word_bias"])}
         dh = d @ self.p["classes"].T
         for c, rows in self._by_class(group):
             s = flat[rows]
-            e = np.exp(_softmax_log(s @ self.p["words"][c] + self.p["word_bias"][c]))
+            e = _softmax(s @ self.p["words"][c] + self.p["word_bias"][c])
             e[np.arange(len(rows)), goal[rows] - c * CLASS_SIZE] -= 1
             e *= (live[rows] * scale)[:, None]
             g["words"][c], g["word_bias"][c] = s.T @ e, e.sum(0)
             dh[rows] += e @ self.p["words"][c].T
         dh = dh.reshape(steps, lanes, n)
         into = np.empty((steps, lanes, 3 * n), dtype=np.float32)
-        g["recurrent"], g["candidate"] = np.zeros_like(self.p["recurrent"]), np.zeros_like(self.p["candidate"])
+        held, reset = (np.empty((steps, lanes, n), dtype=np.float32) for _ in range(2))
         back = np.zeros((lanes, n), dtype=np.float32)
         for t in range(steps - 1, -1, -1):
             before, z, r, rh, new = tape[t]
             back = back + dh[t]
             dn = back * (1 - z) * (1 - new * new)
             drh = dn @ self.p["candidate"].T
-            dg = np.concatenate([back * (before - new) * z * (1 - z), drh * before * r * (1 - r)], axis=1)
-            into[t, :, : 2 * n], into[t, :, 2 * n :] = dg, dn
-            g["candidate"] += rh.T @ dn
-            g["recurrent"] += before.T @ dg
-            back = back * z + drh * r + dg @ self.p["recurrent"].T
+            row = into[t]
+            row[:, :n] = back * (before - new) * z * (1 - z)
+            row[:, n : 2 * n] = drh * before * r * (1 - r)
+            row[:, 2 * n :] = dn
+            held[t], reset[t] = before, rh
+            back = back * z + drh * r + row[:, : 2 * n] @ self.p["recurrent"].T
             if fresh[t].any():
                 back = back * ~fresh[t][:, None]
+        spread = into.reshape(-1, 3 * n)
+        g["recurrent"] = held.reshape(-1, n).T @ spread[:, : 2 * n]
+        g["candidate"] = reset.reshape(-1, n).T @ spread[:, 2 * n :]
         order = np.argsort(x.ravel(), kind="stable")
         codes, first = np.unique(x.ravel()[order], return_index=True)
-        sums = np.add.reduceat(into.reshape(-1, 3 * n)[order], first, axis=0)
+        sums = np.add.reduceat(spread[order], first, axis=0)
         for k, v in g.items():
             self._move(k, slice(None), v)
         self._move("inputs", codes, sums)
@@ -335,23 +341,24 @@ def score_texts(net: Network, encoded: list) -> np.ndarray:
         begin[k], lane[k] = heap[0]
         heapq.heapreplace(heap, (int(begin[k] + lengths[k]), int(lane[k])))
     width = int((begin + lengths).max())
-    goal = np.full((lanes, width), -1, dtype=np.int64)
-    doc = np.zeros((lanes, width), dtype=np.int64)
+    goal = np.full((lanes, width), -1, dtype=np.int32)
+    doc = np.zeros((lanes, width), dtype=np.int32)
     fresh = np.zeros((lanes, width), dtype=bool)
     for k, (_, code, _) in enumerate(encoded):
         goal[lane[k], begin[k] : begin[k] + len(code)] = code
         doc[lane[k], begin[k] : begin[k] + len(code)] = k
         fresh[lane[k], begin[k]] = True
-    x = np.concatenate([np.full((lanes, 1), net.start), np.maximum(goal[:, :-1], 0)], axis=1)
+    x = np.concatenate([np.full((lanes, 1), net.start, dtype=np.int32), np.maximum(goal[:, :-1], 0)], axis=1)
     x[fresh] = net.start
     goal, doc, fresh, x = (np.ascontiguousarray(a.T) for a in (goal, doc, fresh, x))
     out = np.zeros(len(encoded))
     h = np.zeros((lanes, HIDDEN), dtype=np.float32)
-    for t in range(0, width, STEPS):
-        states, _ = net.run(x[t : t + STEPS], fresh[t : t + STEPS], h, False)
+    ahead = max(STEPS, BLOCK // lanes)
+    for t in range(0, width, ahead):
+        states, _ = net.run(x[t : t + ahead], fresh[t : t + ahead], h, False)
         h = states[-1]
-        live = goal[t : t + STEPS] >= 0
-        out += np.bincount(doc[t : t + STEPS][live], net.log_p(states[live], goal[t : t + STEPS][live]), len(encoded))
+        live = goal[t : t + ahead] >= 0
+        out += np.bincount(doc[t : t + ahead][live], net.log_p(states[live], goal[t : t + ahead][live]), len(encoded))
     return out
 
 

@@ -288,7 +288,7 @@ def test_language_model_tail_and_norm(docs, monkeypatch):
     net = language_model.Network(vocab)
     states = np.random.default_rng(1).normal(size=(3, language_model.HIDDEN)).astype(np.float32)
     for s in states:
-        p = sum(np.exp(net.log_p(np.repeat(s[None], 1, 0), np.array([k]))[0]) for k in range(vocab.n_words + language_model.SPELLINGS))
+        p = sum(np.exp(net.log_p(s[None], np.array([k]))[0]) for k in range(vocab.n_words + language_model.SPELLINGS))
         assert abs(p - 1) < 1e-3
 
 
