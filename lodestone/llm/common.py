@@ -127,7 +127,7 @@ def scratch_dir(spark: SparkSession) -> str:
     return _own_dir[0]
 
 
-def durable(df: DataFrame, partition_hint: int | None = None) -> DataFrame:
+def durable(df: DataFrame) -> DataFrame:
     """`df` written to the shared scratch folder and read back.
 
     Lineage ends there: a lost executor costs a reread and no recomputation.
@@ -135,7 +135,7 @@ def durable(df: DataFrame, partition_hint: int | None = None) -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/lodestone/{uuid.uuid4().hex}"
-    (df.coalesce(partition_hint) if partition_hint else df).write.parquet(path)
+    df.write.parquet(path)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
@@ -152,5 +152,8 @@ def _clean() -> None:
 
 
 def bounded(df: DataFrame, most: int) -> bool:
-    """Whether `df` has at most `most` rows; reads no more than one row beyond that."""
-    return df.limit(most + 1).count() <= most
+    """Whether `df`, best a written table, has at most `most` rows.
+
+    A count, as a limit would send that many rows of every partition to one task.
+    """
+    return df.count() <= most

@@ -61,7 +61,7 @@ def seeds(docs: DataFrame, items: DataFrame, text: str = "text", n: int = SEED_W
     vocabulary = C.durable(listed.select(F.explode("words").alias("word")).distinct())
     said = docs.select(F.explode(_hashes(F.col(f"`{text}`"))).alias("word"))
     known = _small(vocabulary.withColumn("known", F.col("word")))
-    counts = C.durable(said.join(known, "word", "left").groupBy("known").agg(F.count(F.lit(1)).alias("n")), 1)
+    counts = C.durable(said.join(known, "word", "left").groupBy("known").agg(F.count(F.lit(1)).alias("n")))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + 1.0
     placed = listed.select("item", F.posexplode("words").alias("at", "known")).join(counts, "known", "left")
     logs = placed.select("item", "at", F.log((F.coalesce("n", F.lit(0)) + 0.5) / total).alias("p"))

@@ -83,7 +83,7 @@ def cuts(sized: DataFrame, **kind) -> DataFrame:
         aimed.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
         .withColumn("left", (F.floor(F.col("target") + 1e-6) - F.col("epochs") * F.col("source_size")).cast("long"))
     )
-    budget = C.durable(budget, 1)
+    budget = C.durable(budget)
     running = W.partitionBy("source").orderBy("range").rowsBetween(W.unboundedPreceding, W.currentRow)
     r, b = ranges.withColumn("upto", F.sum("size").over(running)).alias("r"), budget.alias("b")
     held = (
@@ -91,8 +91,8 @@ def cuts(sized: DataFrame, **kind) -> DataFrame:
         .filter((F.col("r.upto") > F.col("b.left")) & (F.col("r.upto") - F.col("r.size") <= F.col("b.left")))
         .select(F.col("r.source").alias("source"), F.col("r.range").alias("range"), (F.col("b.left") - F.col("r.upto") + F.col("r.size")).alias("within"))
     )
-    held = C.durable(held, 1)
-    s, h = sized.alias("s"), F.broadcast(held.limit(BROADCAST_SOURCES)) if C.bounded(held, BROADCAST_SOURCES) else held
+    held = C.durable(held)
+    s, h = sized.alias("s"), F.broadcast(held) if C.bounded(held, BROADCAST_SOURCES) else held
     h = h.alias("h")
     keys = (
         s.join(h, F.col("s.source").eqNullSafe(F.col("h.source")) & (F.substring(F.col("s.key"), 1, DIGITS) == F.col("h.range")))
@@ -132,7 +132,7 @@ def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text:
 
 def with_cuts(rows: DataFrame, cut: DataFrame) -> DataFrame:
     """`rows` (with source) beside its source's cut, which is broadcast up to BROADCAST_SOURCES rows."""
-    cut = C.durable(cut, 1)
+    cut = C.durable(cut)
     if C.bounded(cut, BROADCAST_SOURCES):
         cut = F.broadcast(cut)
     cut = cut.withColumnRenamed("source", "__source")

@@ -114,7 +114,7 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, host: Column, path: C
     hosts = per_host.select(F.col("host").alias("h"), ((F.col("s") + k_host * mean) / (F.col("n") + k_host)).alias("p_host"))
     paths = per_path.join(hosts, F.col("host").eqNullSafe(F.col("h")))
     k_path = _weight(paths, F.col("p_host"))
-    sites = C.durable(paths.select("h", F.col("path").alias("p"), "p_host", ((F.col("s") + k_path * F.col("p_host")) / (F.col("n") + k_path)).alias("p_path")), 1)
+    sites = C.durable(paths.select("h", F.col("path").alias("p"), "p_host", ((F.col("s") + k_path * F.col("p_host")) / (F.col("n") + k_path)).alias("p_path")))
     if C.bounded(sites, BROADCAST_ROWS):
         sites = F.broadcast(sites)
     met = rated.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))

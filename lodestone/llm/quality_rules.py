@@ -215,7 +215,7 @@ def judge(voted: DataFrame, model: DataFrame, keep_at: float = KEEP_AT) -> DataF
 def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """Every column of `docs` but the text, with the features, votes, p_good and kept."""
     voted = C.durable(votes(features(docs, text).drop(text), rules))
-    return judge(voted, C.durable(fit(voted, len(rules)), 1))
+    return judge(voted, C.durable(fit(voted, len(rules))))
 
 
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
@@ -226,7 +226,7 @@ def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RUL
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").alias("text"))
     voted = votes(features(packed, "text"), rules)
-    model = C.durable(fit(voted.select("votes"), len(rules)), 1)
+    model = C.durable(fit(voted.select("votes"), len(rules)))
     return judge(voted, model).filter("kept").select(*[F.col("row")[c].alias(c) for c in names])
 
 
