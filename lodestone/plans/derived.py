@@ -56,7 +56,7 @@ def _contaminated(spark, d):
     docs = T(spark, d, "documents").select("doc_id", norm("text").alias("t")).withColumn("w", F.split("t", " "))
     keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))
     said = docs.select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
-    small = items.limit(MOST_ITEMS + 1).count() <= MOST_ITEMS
+    small = items.count() <= MOST_ITEMS
     met = said.join(F.broadcast(items) if small else items, "key")
     return met.select("doc_id", "item_id", "q").join(docs.select("doc_id", "t"), "doc_id").filter(F.contains("t", "q")).select("doc_id", "item_id")
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ROWS_A_FILE = 1_000_000
+#: Unchanged partitions up to which their keys are broadcast.
+MOST_BUCKETS = 100_000
 
 
 def month_rows(df: DataFrame, first: str, last: str) -> DataFrame:
@@ -25,7 +27,7 @@ def changed_only(df: DataFrame, keys: list[str], stored: DataFrame | None) -> Da
         return df
     now = digests(df, keys)
     same = now.join(stored, [*keys, "n_rows", "digest"]).select(*keys)
-    return df.join(F.broadcast(same) if same.limit(100_001).count() <= 100_000 else same, keys, "left_anti")
+    return df.join(F.broadcast(same) if same.count() <= MOST_BUCKETS else same, keys, "left_anti")
 
 
 def write_partitions(df: DataFrame, path: str, keys: list[str], rows_a_file: int = ROWS_A_FILE) -> None:
