@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import derived, evidence, ingest, relational, search, sequence, text
+from . import derived, evidence, ingest, relational, search, sequence, streams, text
 
-_MODULES = (relational, sequence, text, search, ingest, derived, evidence)
+_MODULES = (relational, sequence, text, search, ingest, derived, evidence, streams)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
