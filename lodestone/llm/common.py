@@ -6,14 +6,13 @@ text has none.
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..scratch import durable, new_path, scratch_dir  # noqa: F401
+
 SPACES = " \t\n\x0b\x0c\r"
 SPACE_RUN = "[\\x20\\x09-\\x0D]+"
 HAS_WORD = "[^\\x20\\x09-\\x0D]"
@@ -113,44 +112,6 @@ def row_key(doc_id: Column, text: Column) -> list[Column]:
     ]
 
 
-_own_dir: list[str] = []
-_written: list[tuple[SparkSession, str]] = []
-
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names, or a folder of our own where it names none."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if named:
-        return named.rstrip("/")
-    if not _own_dir:
-        _own_dir.append(tempfile.mkdtemp(prefix="lodestone-"))
-    return _own_dir[0]
-
-
-def durable(df: DataFrame) -> DataFrame:
-    """`df` written to the shared scratch folder and read back.
-
-    Lineage ends there: a lost executor costs a reread and no recomputation.
-    The tables go when the Python process ends.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/lodestone/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-@atexit.register
-def _clean() -> None:
-    for spark, path in _written:
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone already; then the cluster's own clean-up applies
-            return
-
-
 def bounded(df: DataFrame, most: int) -> bool:
     """Whether `df`, best a written table, has at most `most` rows.
 
