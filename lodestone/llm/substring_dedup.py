@@ -7,10 +7,14 @@ its leading `BITS` bits zero, or after any character where it is zero as a whole
 (so text without spaces is cut too). Cuts move with their content: an insertion
 changes the chunks around it and no others.
 
-Chunks are compared by a 64-bit digest. Of the places of a digest the first, by
-(doc_id, place), stays; later ones are repeats. Neighbouring repeats are one run, and
-runs of at least `LEAST_WORDS` words are cut from the text, so single phrases that
-all texts share stay. Digests that occur once, nearly all, leave after one count.
+Sequences of neighbouring chunks are compared, by a 64-bit hash of their digests. From
+each chunk on, and back from each chunk, the shortest sequence that reaches
+`LEAST_WORDS` words is a window. Of the places of a window the first, by
+(doc_id, place), stays; later ones are repeats, and their union is cut from the text.
+Any run of chunks with that many words that stands earlier is the union of its
+windows, and nothing goes that does not stand earlier in such a sequence, so phrases
+that many texts share stay, in any order. Windows that occur once, nearly all, leave
+after one count.
 
 Defined results: order is by doc_id, null ids last, then a hash of the text; rows
 that repeat an id and a text are one document; null and empty texts have no chunks;
@@ -20,7 +24,7 @@ size. Spans count code points, end exclusive.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -38,6 +42,9 @@ PIECE = 1 << 20
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, dtype=np.uint16)
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: An odd factor of the hash of a sequence, and its inverse in 64 bits.
+FACTOR = 0x9E3779B97F4A7C15
+_INVERSE = pow(FACTOR, -1, 1 << 64)
 
 
 def gear(data: np.ndarray) -> np.ndarray:
@@ -88,18 +95,44 @@ def chunks_of(text: str) -> tuple[np.ndarray, list[int], np.ndarray]:
     return chars, digests, words
 
 
-def _chunk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for frame in frames:
-        cut = [chunks_of(t or "") for t in frame["text"]]
-        yield pd.DataFrame(
-            {
-                "id": frame["id"],
-                "text_key": frame["text_key"],
-                "ends": [c[0].astype(np.int32) for c in cut],
-                "digests": [np.array(c[1], dtype=np.int64) for c in cut],
-                "words": [c[2].astype(np.int32) for c in cut],
-            }
-        )
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def windows_of(digests: list[int], words: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First chunks, last chunks (exclusive) and hashes of the shortest sequences of `least` words that begin or end at each chunk."""
+    n = len(digests)
+    begun = np.concatenate(([0], np.cumsum(words, dtype=np.int64)))
+    each = np.arange(n + 1)
+    until = np.searchsorted(begun, begun + least, side="left")
+    since = np.searchsorted(begun, begun - least, side="right") - 1
+    ahead, back = until <= n, since >= 0
+    pairs = np.unique(np.concatenate((each[ahead] << 32 | until[ahead], since[back] << 32 | each[back])))
+    a, e = pairs >> 32, pairs & 0xFFFFFFFF
+    sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum(np.array(digests, dtype=np.int64).view(np.uint64) * _powers(FACTOR, n), dtype=np.uint64)))
+    hashes = (sums[e] - sums[a]) * _powers(_INVERSE, n + 1)[a] + (e - a).astype(np.uint64)
+    return a, e, hashes.view(np.int64)
+
+
+def _chunk(least: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            cut = [chunks_of(t or "") for t in frame["text"]]
+            seen = [windows_of(c[1], c[2], least) for c in cut]
+            yield pd.DataFrame(
+                {
+                    "id": frame["id"],
+                    "text_key": frame["text_key"],
+                    "places": [np.append(0, c[0]).astype(np.int32) for c in cut],
+                    "begun": [np.append(0, np.cumsum(c[2])).astype(np.int32) for c in cut],
+                    "spans": [w[0] << 32 | w[1] for w in seen],
+                    "hashes": [w[2] for w in seen],
+                }
+            )
+
+    return run
 
 
 def _row_key(doc_id: Column, text: Column) -> list[Column]:
@@ -107,41 +140,51 @@ def _row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(C.text_or_empty(text)).alias("text_key")]
 
 
-def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, text_key, ends, digests, words: the chunks of each row, as arrays."""
+def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """id, text_key, places, begun, spans, hashes: where the chunks of each row begin and the last ends, the words before, and the windows.
+
+    A span is the first chunk, by 32 bits to the left, and the last one, exclusive.
+    """
     body = F.col(f"`{text}`")
     rows = docs.select(*_row_key(F.col(f"`{doc_id}`"), body), body.cast("string").alias("text"))
-    return rows.mapInPandas(_chunk, "id long, text_key long, ends array<int>, digests array<long>, words array<int>")
+    return rows.mapInPandas(_chunk(least_words), "id long, text_key long, places array<int>, begun array<int>, spans array<long>, hashes array<long>")
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
     """id, text_key, start, end, n_words, n_chunks, first_id: the runs that stand earlier elsewhere.
 
-    `first_id` is where the run's first chunk stands first.
+    `first_id` is where the run's first window stands first.
     """
-    cut = C.durable(chunks(docs, doc_id, text))
-    often = cut.select(F.explode("digests").alias("digest")).groupBy("digest").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("digest")
+    cut = C.durable(chunks(docs, doc_id, text, least_words))
+    often = cut.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
     often = C.durable(often)
-    placed = cut.select("id", "text_key", F.posexplode(F.arrays_zip("digests", "ends", "words")).alias("k", "c"), "ends").select(
-        "id", "text_key", "k", F.col("c.digests").alias("digest"), F.when(F.col("k") > 0, F.get("ends", F.col("k") - 1)).otherwise(F.lit(0)).alias("start"), F.col("c.ends").alias("end"), F.col("c.words").alias("words")
-    )
-    again = C.durable(placed.join(often, "digest"))
-    at = F.struct("id", "text_key", "k")
-    first = again.groupBy("digest").agg(F.min(at).alias("first"))
-    later = again.join(first, "digest").filter(at > F.col("first"))
-    in_row = W.partitionBy("id", "text_key").orderBy("k")
+    placed = cut.select("id", "text_key", F.inline(F.arrays_zip("hashes", "spans"))).withColumnRenamed("hashes", "hash").withColumnRenamed("spans", "span")
+    again = C.durable(placed.join(often, "hash"))
+    at = F.struct("id", "text_key", "span")
+    first = again.groupBy("hash").agg(F.min(at).alias("first"))
+    later = again.join(first, "hash").filter(at > F.col("first"))
+    later = later.select("id", "text_key", "span", F.shiftright("span", 32).cast("int").alias("a"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("e"), F.col("first.id").alias("first_id"))
+    in_row = W.partitionBy("id", "text_key").orderBy("span")
+    reached = F.max("e").over(in_row.rowsBetween(W.unboundedPreceding, -1))
+    begins = F.when(F.col("a") <= reached, 0).otherwise(1)
     runs = (
-        later.withColumn("run", F.col("k") - F.row_number().over(in_row))
+        later.withColumn("begins", begins)
+        .withColumn("run", F.sum("begins").over(in_row.rowsBetween(W.unboundedPreceding, 0)))
         .groupBy("id", "text_key", "run")
-        .agg(
-            F.min("start").alias("start"),
-            F.max("end").alias("end"),
-            F.sum("words").alias("n_words"),
-            F.count(F.lit(1)).alias("n_chunks"),
-            F.min_by("first.id", "k").alias("first_id"),
-        )
+        .agg(F.min("a").alias("a"), F.max("e").alias("e"), F.min_by("first_id", "span").alias("first_id"))
+    )
+    per = C.durable(runs.groupBy("id", "text_key").agg(F.collect_list(F.struct("a", "e", "first_id")).alias("runs")))
+    held = C.left_join_few(cut.select("id", "text_key", "places", "begun"), per, ["id", "text_key"]).filter("runs is not null")
+    one = held.dropDuplicates(["id", "text_key"]).select("id", "text_key", "places", "begun", F.explode("runs").alias("r"))
+    return one.select(
+        "id",
+        "text_key",
+        F.get("places", F.col("r.a")).alias("start"),
+        F.get("places", F.col("r.e")).alias("end"),
+        (F.get("begun", F.col("r.e")) - F.get("begun", F.col("r.a"))).cast("long").alias("n_words"),
+        (F.col("r.e") - F.col("r.a")).cast("long").alias("n_chunks"),
+        F.col("r.first_id").alias("first_id"),
     )
-    return runs.filter(F.col("n_words") >= least_words).drop("run")
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:

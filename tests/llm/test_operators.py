@@ -380,6 +380,27 @@ def test_substring_dedup(docs, rows):
     assert cut[109]["text"] == "".join(text[a:b] for a, b in zip([0] + [e for _, e in spans], [s for s, _ in spans] + [len(text)], strict=True))
 
 
+def test_substring_dedup_mosaics(spark):
+    """Texts of phrases in new orders: what goes is what brute force over all sequences of chunks finds."""
+    rng = random.Random(11)
+    bank = [prose(rng, rng.randrange(5, 12)) for _ in range(25)]
+    texts = [" ".join(rng.choice(bank) for _ in range(rng.randrange(1, 8))) for _ in range(60)]
+    texts += ["la la lo " * 30, texts[0] + " " + texts[1], texts[2] + " " + texts[2]]
+    first, want = {}, set()
+    for d, text in enumerate(texts):
+        ends, digests, n = substring_dedup.chunks_of(text)
+        gone = set()
+        for a in range(len(ends)):
+            for e in range(a + 1, len(ends) + 1):
+                if n[a:e].sum() >= substring_dedup.LEAST_WORDS and first.setdefault(tuple(digests[a:e]), (d, a)) < (d, a):
+                    gone |= set(range(a, e))
+        starts = [0, *ends[:-1].tolist()]
+        want |= {(d, p) for k in gone for p in range(starts[k], ends[k])}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {(r["doc_id"], p) for r in substring_dedup.query(docs).collect() for p in range(r["start"], r["end"])}
+    assert got == want
+
+
 def test_ascii_lower(spark):
     texts = ["ABC xyz", "ÀÉ Ab", "Σας ΣΑΣ", "İI", None, ""]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(common.ascii_lower(F.col("t"))).collect()]
