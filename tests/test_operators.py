@@ -1,0 +1,25 @@
+"""Operators without SQL of their own, against brute force."""
+
+import numpy as np
+
+from lodestone.plans import evidence
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_approximate_recall(spark):
+    """Every fiftieth id is asked; recall of the ten nearest others, against all distances."""
+    table = spark.read.parquet(f"{SF}/embeddings.parquet").toPandas()
+    ids, x = table["vec_id"].to_numpy(), np.stack(table["embedding"]).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in evidence.QUERIES["top11_approximate"][0](spark, SF).collect():
+        got.setdefault(r["query"], {})[r["vec_id"]] = r["distance"]
+    assert set(got) == {i for i in ids.tolist() if i % 50 == 0}
+    recall = []
+    for q, found in got.items():
+        exact = 1 - x @ x[ids == q][0]
+        best = ids[np.lexsort((ids, exact.round(6)))][:10].tolist()
+        assert len(found) == 10 and all(abs(exact[ids == i][0] - d) < 2e-6 for i, d in found.items())
+        recall.append(len((set(best) & set(found)) - {q}) / 9)
+    assert np.mean(recall) >= 0.9
