@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import durable
+
 
 def next_due(now: Column, outcome: Column, failures: Column, interval: Column, jitter: Column, base: Column, most: Column, retry_after: Column) -> Column:
     """Seconds at which a job is due after `outcome`; null parks it."""
@@ -54,21 +56,21 @@ def run_facts(events: DataFrame, run: str, order: str, kind: str, text: str) ->
 
 
 def lightest_bins(df: DataFrame, group: str, key: str, size: str, bins: int) -> DataFrame:
-    """Largest first into the lightest of `bins`, ties by key: a fold over each group's slim rows."""
-    import heapq
-
-    import pandas as pd
-
-    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
-        heap = [(0, b) for b in range(bins)]
-        ordered = pdf.sort_values([size, key], ascending=[False, True], kind="stable")
-        out = []
-        for n in ordered[size]:
-            held, b = heapq.heappop(heap)
-            out.append(b)
-            heapq.heappush(heap, (held + int(n), b))
-        return ordered.assign(bin=out)
+    """Rows of each group dealt to `bins` by size, largest first, ties by key, in snake order: 0 to bins - 1, then back.
 
+    Not the exact greedy order, in which each row goes to the lightest bin so far, and which
+    is one fold over the whole group: counts of bins differ by 1 at most, and the totals of two
+    bins by no more than the largest size (of sizes not below 0), but the greedy totals lie
+    closer. Ranks are prefix sums over ranges of rows, so no group is held by one task.
+    A null key is the first of equals; rows that repeat a key and a size come in any order.
+    """
     slim = df.select(group, key, F.col(size).cast("long").alias(size))
-    kinds = dict(slim.dtypes)
-    return slim.groupBy(group).applyInPandas(pack, f"{group} {kinds[group]}, {key} {kinds[key]}, {size} bigint, bin int")
+    order = [F.col(size).desc(), F.col(key)]
+    ranged = durable(slim.repartitionByRange(F.col(group), *order).withColumn("__part", F.spark_partition_id()))
+    counts = ranged.groupBy(group, "__part").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(W.partitionBy(group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1))
+    counts = counts.select(F.col(group).alias("__group"), F.col("__part").alias("__of"), F.coalesce(before, F.lit(0)).alias("__before"))
+    own = ranged.withColumn("__k", F.row_number().over(W.partitionBy(group, "__part").orderBy(*order)) - 1)
+    ranks = own.join(counts, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__part") == F.col("__of")))
+    turn = F.pmod(F.col("__before") + F.col("__k"), F.lit(2 * bins))
+    return ranks.select(group, key, size, F.when(turn < bins, turn).otherwise(2 * bins - 1 - turn).cast("int").alias("bin"))

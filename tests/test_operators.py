@@ -1,7 +1,11 @@
 """Operators without SQL of their own, against brute force."""
 
+import random
+
 import numpy as np
+from pyspark.sql import functions as F
 
+from lodestone.operators import queues
 from lodestone.plans import evidence
 
 SF = "/root/testdata/sf0.001"
@@ -23,3 +27,19 @@ def test_approximate_recall(spark):
         assert len(found) == 10 and all(abs(exact[ids == i][0] - d) < 2e-6 for i, d in found.items())
         recall.append(len((set(best) & set(found)) - {q}) / 9)
     assert np.mean(recall) >= 0.9
+
+
+def test_bins(spark):
+    """Snake order over many ranges, one group far larger than the others."""
+    rng = random.Random(1)
+    rows = [("big" if k % 3 else rng.choice("ab"), k, rng.randrange(1, 60)) for k in range(3000)] + [(None, 3001, 5), (None, 3002, 9)]
+    df = spark.createDataFrame(rows, "g string, k long, s long").repartition(7)
+    out = queues.lightest_bins(df, "g", "k", "s", 8)
+    assert "Pandas" not in out._jdf.queryExecution().toString()
+    want = set()
+    for g in {r[0] for r in rows}:
+        for n, r in enumerate(sorted((r for r in rows if r[0] == g), key=lambda r: (-r[2], r[1]))):
+            want.add((*r, n % 16 if n % 16 < 8 else 15 - n % 16))
+    assert {tuple(r) for r in out.collect()} == want and out.count() == len(rows)
+    totals = out.filter("g = 'big'").groupBy("bin").agg(F.sum("s")).collect()
+    assert max(t[1] for t in totals) - min(t[1] for t in totals) <= 60
