@@ -104,6 +104,39 @@ def anti_join_few(rows: DataFrame, found: DataFrame, keys: list[str]) -> DataFra
     return close.join(found.hint("merge"), keys, "left_anti").unionByName(far)
 
 
+#: A key that holds over this part of the rows is hot; fewer keys than this number can be.
+HOT = 1000
+
+
+def split_hot(counted: DataFrame, n: str = "n") -> tuple[DataFrame, DataFrame]:
+    """`counted` (a written table: keys with the number `n` of their rows) as hot keys and others.
+
+    A hot key alone would fill a task. There are fewer than HOT of them, whatever the
+    data, so they can be broadcast.
+    """
+    total = counted.agg(F.coalesce(F.sum(n), F.lit(0))).first()[0]
+    return counted.filter(F.col(n) * HOT > total), counted.filter(F.col(n) * HOT <= total)
+
+
+def join_counted(rows: DataFrame, counted: DataFrame, key: str, n: str = "n") -> DataFrame:
+    """Inner join of `rows` with `counted`, a written table of one row a key with its number of rows.
+
+    Hot keys are broadcast, the others shuffled, at every size.
+    """
+    hot, cold = split_hot(counted, n)
+    rest = rows.join(F.broadcast(hot.select(key)), key, "left_anti")
+    return rows.join(F.broadcast(hot), key).unionByName(rest.join(cold.hint("merge"), key))
+
+
+def packed(docs: DataFrame, *columns: Column) -> DataFrame:
+    """`docs` as one struct `row` beside `columns`, which so clash with none of its own."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *columns)
+
+
+def unpacked(rows: DataFrame, names: list[str]) -> DataFrame:
+    return rows.select(*[F.col("row")[c].alias(c) for c in names])
+
+
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """Columns that tell rows apart and put them in order, none null: __id, null ids last, and __text, a hash."""
     return [

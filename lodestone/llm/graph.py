@@ -15,10 +15,11 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One star step: every node hands its neighbours on to the least one it knows.
 
     A large star hands on larger neighbours, a small star the smaller ones and itself.
+    The centre of a large group has most of its edges; it is met by broadcast.
     """
     both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))) if large else edges
-    least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-    joined = both.join(least, "a")
+    least = C.durable(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count(F.lit(1)).alias("n")))
+    joined = C.join_counted(both, least, "a")
     if large:
         out = joined.filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
     else:
