@@ -1,35 +1,40 @@
 """Scoring with a gated recurrent language model.
 
 Tokens are lowered words, then one end. Counts of all training tokens give the base
-score, and the classes of the softmax: the most frequent words fall into classes of
-equal size by rank; every other token, known or not, belongs to a class that its
-spelling names. The network predicts the class from its state, then the word in a
-class of frequent words; in a class of other tokens, counts do. So probabilities of
-all known tokens and one unknown a class sum to one.
-
-The network is a gated recurrent unit in numpy. Training goes once over every
-training document: each partition trains a replica from the same start by truncated
-backpropagation, carrying the state from window to window, and Spark averages the
-replicas' parameters by tokens seen. Scoring carries the state through each whole
-document, however long.
-
-Tokens are looked up in a head of the vocabulary, bounded by `HEAD`, that every
-worker holds; the few tokens beyond it are joined to the counts by shuffle.
+score and the tree of the softmax, which spans the head of the vocabulary, the `HEAD`
+most frequent tokens: a class, a slot in the class, and, where a slot holds a bin of
+rarer words, the word in the bin. The `FREQUENT` first words have slots of their own;
+the rest of the head is put into bins of words of like spelling and rank. A token
+beyond the head belongs to a class that its spelling names, inside which counts
+decide. So probabilities of all known tokens and one unknown a class sum to one.
+
+The network is a gated recurrent unit in numpy that reads slots. Its state predicts
+class, slot and word. Training is truncated backpropagation, the state carried from
+window to window; the words of bins learn on the states as they are, many windows at
+once. It goes once over every training document, in `ROUNDS` rounds: a hash deals
+documents to parts, each part of a round trains a replica from the same weights, and
+Spark averages the replicas, each row of a matrix by how often a replica met it. So
+the number of updates grows with the corpus, and neither files nor partitions matter.
+Scoring carries the state through each whole document, however long.
+
+Tokens are looked up in the head, which every worker holds and `HEAD` bounds; the
+tokens beyond it are joined to the counts by shuffle.
 
 Defined results: a null text is empty, and is one token, the end; a null id is no
 held-out one; rows that repeat are scored one by one; an empty table gives an empty
-result; without training documents every token is unknown.
+result; without training documents every token is unknown; a document longer than a
+chunk is a chunk of its own.
 """
 
 from __future__ import annotations
 
 import heapq
+from collections import Counter
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import chain, repeat
 
 import numpy as np
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -38,14 +43,26 @@ from . import common as C
 FOLDS, HELD = 5, 1
 END = " "
 HEAD = 200_000
-WORDS, CLASS_SIZE = 512, 32
+#: Words with a slot of their own, words of a bin, slots of a class.
+FREQUENT, BIN, CLASS_SIZE = 512, 64, 64
 HIDDEN = 16
-LANES, STEPS = 512, 16
-RATE = 0.08
+LANES, STEPS = 1024, 16
+#: Windows that a chunk gives at least, by fewer lanes, so that a small corpus teaches too.
+LEAST_WINDOWS = 32
+RATE = 0.3
+#: Sums of squares at the start of each round, for all but leaves, and for leaves.
+CALM, LEAF_CALM = (1e-4, 1e-4, 1e-4), 0.005
+ROUNDS = len(CALM)
+#: Windows after which the words of bins learn.
+LEAF_EVERY = 64
+#: A round has a part for PART_TOKENS of its tokens, up to FEW_PARTS; beyond, for MOST_PART_TOKENS.
+PART_TOKENS, FEW_PARTS, MOST_PART_TOKENS = 1_000_000, 12, 4_000_000
+#: Replicas that one task averages at a time.
+FAN = 64
 #: Tokens that a worker holds at once, but for a longer document.
-CHUNK = 3_000_000
-#: States that meet the softmax at once in scoring.
-BLOCK = 16_384
+CHUNK = 1_000_000
+#: States of one scoring block, and rows that meet a softmax at once, so that they stay in the cache.
+BLOCK, AT_ONCE = 65_536, 2_048
 SPELLINGS = 16
 
 
@@ -72,53 +89,73 @@ def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
 
+def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts of each batch, with the same tokens that scoring sees."""
+    for frame in frames:
+        c = Counter(chain.from_iterable(map(tokens, frame["text"])))
+        c[END.encode()] += len(frame)
+        yield pd.DataFrame({"token": [t.decode("utf-8", "surrogatepass") for t in c], "c": list(c.values())})
+
+
 def counts(docs: DataFrame) -> DataFrame:
     """token, c of the training documents (doc_id, text), the end included."""
-    train = docs.filter(~held_out(F.col("doc_id")))
-    said = train.select(F.explode(C.words(C.ascii_lower(F.col("text")))).alias("token"))
-    ends = train.select(F.lit(END).alias("token"))
-    return C.durable(said.groupBy("token").agg(F.count(F.lit(1)).alias("c")).union(ends.groupBy("token").agg(F.count(F.lit(1)).alias("c"))))
+    train = docs.filter(~held_out(F.col("doc_id"))).select(F.col("text").cast("string"))
+    return C.durable(train.mapInPandas(_count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c")))
 
 
 class Vocabulary:
-    """The head of the counts, and the sums that cover the rest."""
+    """The head of the counts as a tree, and the sums that cover the rest.
+
+    Codes 0 to n_head - 1 are tokens of the head, then come the spelling classes.
+    """
 
     def __init__(self, head: list[tuple[str, int]], total: int, size: int, masses: dict[int, float]):
-        """`masses`: sum of c + 0.5 of all known tokens of a spelling class, frequent words included."""
+        """`masses`: sum of c + 0.5 of all known tokens of a spelling class, those of the head included."""
         ranked = sorted(((t, c) for t, c in head if t != END), key=lambda x: (-x[1], x[0]))
-        end = dict(head).get(END, 0)
-        self.total, self.size = total, size
-        listed = [(END, end), *ranked]
+        spelt = lambda t: spelling_of(t.encode("utf-8", "surrogatepass"))
+        listed = [(END, dict(head).get(END, 0)), *ranked[: FREQUENT - 1], *sorted(ranked[FREQUENT - 1 :], key=lambda x: (spelt(x[0]), -x[1], x[0]))]
+        self.total, self.size, self.n_head = total, size, len(listed)
         self.ids = {t.encode("utf-8", "surrogatepass"): k for k, (t, _) in enumerate(listed)}
-        self.log_c = np.log(np.array([c for _, c in listed], dtype=float) + 0.5)
-        self.known = np.array([c > 0 for _, c in listed])
-        self.n_words = min(WORDS, len(listed))
-        self.n_classes = -(-self.n_words // CLASS_SIZE)
-        self.spelled = np.array([0] + [spelling_of(t.encode("utf-8", "surrogatepass")) for t, _ in ranked], dtype=np.int64)
+        c = np.array([c for _, c in listed], dtype=float)
+        self.log_c, self.known = np.log(c + 0.5), c > 0
+        self.n_single = min(FREQUENT, self.n_head)
+        self.n_bins = -(-(self.n_head - self.n_single) // BIN)
+        self.n_slots = self.n_single + self.n_bins
+        self.n_classes = -(-self.n_slots // CLASS_SIZE)
         mass = np.full(SPELLINGS, 0.5)
         for k, m in masses.items():
             mass[k] += m
-        for k, (t, c) in enumerate(listed[: self.n_words]):
-            if t != END:
-                mass[self.spelled[k]] -= c + 0.5
+        for t, n in ranked:
+            mass[spelt(t)] -= n + 0.5
         self.log_mass = np.log(np.maximum(mass, 0.5))
-        c = np.exp(self.log_c[: self.n_words])
-        word_class = np.arange(self.n_words) // CLASS_SIZE
-        of_class = np.concatenate([np.bincount(word_class, c, self.n_classes), np.exp(self.log_mass)])
+        slot = self.slots(np.arange(self.n_head))
+        of_slot = np.bincount(slot, c + 0.5, self.n_slots)
+        of_class = np.concatenate([np.bincount(np.arange(self.n_slots) // CLASS_SIZE, of_slot, self.n_classes), np.exp(self.log_mass)])
         self.class_bias = np.log(of_class / of_class.sum())
-        padded = np.full(self.n_classes * CLASS_SIZE, -30.0)
-        padded[: self.n_words] = np.log(c)
-        self.word_bias = padded.reshape(self.n_classes, CLASS_SIZE)
+        self.slot_bias = _padded(np.log(of_slot), CLASS_SIZE)
+        self.leaf_bias = _padded(self.log_c[self.n_single :], BIN)
+
+    def slots(self, codes: np.ndarray) -> np.ndarray:
+        """The slot of each code; spelling classes come after the slots."""
+        inner = np.where(codes < self.n_single, codes, self.n_single + (codes - self.n_single) // BIN)
+        return np.where(codes < self.n_head, inner, codes - self.n_head + self.n_slots)
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Head ids (-1 beyond) and input codes of the tokens and the end, and the tokens beyond the head."""
+    def encode(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
+        """Codes of the tokens and the end, and the tokens beyond the head."""
         said = tokens(text)
-        at = np.array(list(map(self.ids.get, said, repeat(-1))), dtype=np.int64)
-        at = np.append(at, 0)
-        beyond = [said[k] for k in np.flatnonzero(at < 0)]
-        code = np.where(at < self.n_words, at, self.n_words + self.spelled[np.maximum(at, 0)])
-        code[at < 0] = [self.n_words + spelling_of(t) for t in beyond]
-        return at, code, beyond
+        codes = np.array(list(map(self.ids.get, said, repeat(-1))), dtype=np.int32)
+        codes = np.append(codes, np.int32(0))
+        beyond = [said[k] for k in np.flatnonzero(codes < 0)]
+        codes[codes < 0] = [self.n_head + spelling_of(t) for t in beyond]
+        return codes, beyond
+
+
+def _padded(logs: np.ndarray, width: int) -> np.ndarray:
+    """`logs` in rows of `width`, the last one filled up with next to no probability."""
+    out = np.full(-(-len(logs) // width) * width, -30.0)
+    out[: len(logs)] = logs
+    out = out.reshape(-1, width)
+    return out - out.max(1, keepdims=True, initial=-30.0)
 
 
 def vocabulary(counted: DataFrame) -> Vocabulary:
@@ -157,39 +194,32 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 class Network:
-    """Gated recurrent unit over input codes; class and word softmax over states."""
-
-    NAMES = ("inputs", "recurrent", "candidate", "classes", "class_bias", "words", "word_bias")
+    """Gated recurrent unit over slots; class, slot and word softmax over states."""
 
-    def __init__(self, vocab: Vocabulary, flat: np.ndarray | None = None):
+    def __init__(self, vocab: Vocabulary, weights: dict[str, np.ndarray] | None = None, calm: float = CALM[0], kind=np.float32):
         rng = np.random.default_rng(7)
-        h, n_in = HIDDEN, vocab.n_words + SPELLINGS + 1
-        n_out = vocab.n_classes + SPELLINGS
-        self.start, self.n_classes, self.n_words = n_in - 1, vocab.n_classes, vocab.n_words
-        draw = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
-        self.p = {
+        h, v = HIDDEN, vocab
+        n_in, n_out = v.n_slots + SPELLINGS + 1, v.n_classes + SPELLINGS
+        self.vocab, self.start, self.n_classes, self.n_slots, self.kind = v, n_in - 1, v.n_classes, v.n_slots, kind
+        draw = lambda *s: rng.normal(0, 0.1, s)
+        made = weights or {
             "inputs": draw(n_in, 3 * h),
             "recurrent": draw(h, 2 * h),
             "candidate": draw(h, h),
             "classes": draw(h, n_out) * 0.1,
-            "class_bias": vocab.class_bias.astype(np.float32),
-            "words": draw(vocab.n_classes, h, CLASS_SIZE) * 0.1,
-            "word_bias": vocab.word_bias.astype(np.float32),
+            "class_bias": v.class_bias,
+            "slots": draw(v.n_classes, h, CLASS_SIZE) * 0.1,
+            "slot_bias": v.slot_bias,
+            "leaves": np.zeros((v.n_bins, h, BIN)),
+            "leaf_bias": v.leaf_bias,
         }
-        if flat is not None:
-            at = 0
-            for k in self.NAMES:
-                self.p[k] = np.asarray(flat[at : at + self.p[k].size], dtype=np.float32).reshape(self.p[k].shape)
-                at += self.p[k].size
-        self.squares = {k: np.full_like(v, 1e-4) for k, v in self.p.items()}
-
-    def flat(self) -> np.ndarray:
-        return np.concatenate([self.p[k].ravel() for k in self.NAMES])
+        self.p = {k: np.array(w, dtype=kind) for k, w in made.items()}
+        self.squares = {k: np.full_like(w, LEAF_CALM if k.startswith("leaf") or k == "leaves" else calm) for k, w in self.p.items()}
 
     def run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         """States after each step of `x` (steps, lanes); `fresh` resets a lane before the step."""
         n, tape = HIDDEN, []
-        states = np.empty((*x.shape, n), dtype=np.float32)
+        states = np.empty((*x.shape, n), dtype=self.kind)
         for t in range(len(x)):
             if fresh[t].any():
                 h = h * ~fresh[t][:, None]
@@ -204,51 +234,71 @@ class Network:
             states[t] = h
         return states, tape
 
-    def split(self, target: np.ndarray) -> np.ndarray:
-        """The class of each target code."""
-        return np.where(target < self.n_words, target // CLASS_SIZE, target - self.n_words + self.n_classes)
-
-    def log_p(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """log P of each target code: its class, and the word if it is a frequent one."""
-        group = self.split(target)
-        p = _softmax(states @ self.p["classes"] + self.p["class_bias"])[np.arange(len(target)), group].astype(np.float64)
-        for c, rows in self._by_class(group):
-            p[rows] *= _softmax(states[rows] @ self.p["words"][c] + self.p["word_bias"][c])[np.arange(len(rows)), target[rows] - c * CLASS_SIZE]
+    def split(self, slot: np.ndarray) -> np.ndarray:
+        """The class of each slot."""
+        return np.where(slot < self.n_slots, slot // CLASS_SIZE, slot - self.n_slots + self.n_classes)
+
+    def log_p(self, states: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        """log P of each slot: its class, and the slot in the class."""
+        group, p = self.split(slot), np.empty(len(slot))
+        for k in range(0, len(slot), AT_ONCE):
+            part = group[k : k + AT_ONCE]
+            p[k : k + AT_ONCE] = _softmax(states[k : k + AT_ONCE] @ self.p["classes"] + self.p["class_bias"])[np.arange(len(part)), part]
+        order, spans = _by(group, self.n_classes)
+        states, slot, inner = states[order], slot[order], np.ones(len(slot))
+        for c, a, b in spans:
+            inner[a:b] = _softmax(states[a:b] @ self.p["slots"][c] + self.p["slot_bias"][c])[np.arange(b - a), slot[a:b] - c * CLASS_SIZE]
+        p[order] *= inner
         return np.log(np.maximum(p, 1e-300))
 
-    def _by_class(self, group: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(group, kind="stable")
-        bounds = np.searchsorted(group[order], np.arange(self.n_classes + 1))
-        for c in range(self.n_classes):
-            if bounds[c] < bounds[c + 1]:
-                yield c, order[bounds[c] : bounds[c + 1]]
+    def log_leaf(self, states: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """log P of each word in its bin; `place` counts words from the first bin on."""
+        p = np.empty(len(place))
+        order, spans = _by(place // BIN, self.vocab.n_bins)
+        states, place = states[order], place[order]
+        inner = np.empty(len(place))
+        for k, a, b in spans:
+            inner[a:b] = _softmax(states[a:b] @ self.p["leaves"][k] + self.p["leaf_bias"][k])[np.arange(b - a), place[a:b] - k * BIN]
+        p[order] = inner
+        return np.log(np.maximum(p, 1e-300))
 
-    def learn(self, x: np.ndarray, fresh: np.ndarray, target: np.ndarray, h: np.ndarray) -> np.ndarray:
-        """One window of truncated backpropagation; the state it leaves."""
+    def gradients(self, x: np.ndarray, fresh: np.ndarray, slot: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
+        """Of the mean loss of class and slot over one window, -1 being no target; and the states."""
         steps, lanes = x.shape
         n = HIDDEN
         states, tape = self.run(x, fresh, h, True)
-        flat, goal = states.reshape(-1, n), target.ravel()
+        flat, goal = states.reshape(-1, n), slot.ravel()
         live = goal >= 0
         goal = np.maximum(goal, 0)
         group = self.split(goal)
-        scale = np.float32(1 / max(1, live.sum()))
-        d = _softmax(flat @ self.p["classes"] + self.p["class_bias"])
-        d[np.arange(len(goal)), group] -= 1
-        d *= (live * scale)[:, None]
-        g = {"classes": flat.T @ d, "class_bias": d.sum(0), "words": np.zeros_like(self.p["words"]), "word_bias": np.zeros_like(self.p["word_bias"])}
-        dh = d @ self.p["classes"].T
-        for c, rows in self._by_class(group):
-            s = flat[rows]
-            e = _softmax(s @ self.p["words"][c] + self.p["word_bias"][c])
-            e[np.arange(len(rows)), goal[rows] - c * CLASS_SIZE] -= 1
-            e *= (live[rows] * scale)[:, None]
-            g["words"][c], g["word_bias"][c] = s.T @ e, e.sum(0)
-            dh[rows] += e @ self.p["words"][c].T
+        scale = self.kind(1 / max(1, live.sum()))
+        g = {k: np.zeros_like(self.p[k]) for k in ("classes", "class_bias", "slots", "slot_bias")}
+        dh, turned = np.empty_like(flat), np.ascontiguousarray(self.p["classes"].T)
+        for k in range(0, len(goal), AT_ONCE):
+            s, part = flat[k : k + AT_ONCE], group[k : k + AT_ONCE]
+            d = _softmax(s @ self.p["classes"] + self.p["class_bias"])
+            d[np.arange(len(part)), part] -= 1
+            if not live[k : k + AT_ONCE].all():
+                d[~live[k : k + AT_ONCE]] = 0
+            g["classes"] += s.T @ d
+            g["class_bias"] += d.sum(0)
+            dh[k : k + AT_ONCE] = d @ turned
+        order, spans = _by(np.where(live, group, self.n_classes), self.n_classes)
+        s, inner = flat[order], np.zeros_like(flat)
+        goal = goal[order]
+        for c, a, b in spans:
+            e = _softmax(s[a:b] @ self.p["slots"][c] + self.p["slot_bias"][c])
+            e[np.arange(b - a), goal[a:b] - c * CLASS_SIZE] -= 1
+            g["slots"][c], g["slot_bias"][c] = s[a:b].T @ e, e.sum(0)
+            inner[a:b] = e @ self.p["slots"][c].T
+        dh[order] += inner
+        dh *= scale
+        for v in g.values():
+            v *= scale
         dh = dh.reshape(steps, lanes, n)
-        into = np.empty((steps, lanes, 3 * n), dtype=np.float32)
-        held, reset = (np.empty((steps, lanes, n), dtype=np.float32) for _ in range(2))
-        back = np.zeros((lanes, n), dtype=np.float32)
+        into = np.empty((steps, lanes, 3 * n), dtype=self.kind)
+        held, reset = (np.empty((steps, lanes, n), dtype=self.kind) for _ in range(2))
+        back = np.zeros((lanes, n), dtype=self.kind)
         for t in range(steps - 1, -1, -1):
             before, z, r, rh, new = tape[t]
             back = back + dh[t]
@@ -267,11 +317,27 @@ class Network:
         g["candidate"] = reset.reshape(-1, n).T @ spread[:, 2 * n :]
         order = np.argsort(x.ravel(), kind="stable")
         codes, first = np.unique(x.ravel()[order], return_index=True)
-        sums = np.add.reduceat(spread[order], first, axis=0)
+        g["inputs"] = (codes, np.add.reduceat(spread[order], first, axis=0))
+        return g, states
+
+    def learn(self, x: np.ndarray, fresh: np.ndarray, slot: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """One window of truncated backpropagation; the states."""
+        g, states = self.gradients(x, fresh, slot, h)
         for k, v in g.items():
-            self._move(k, slice(None), v)
-        self._move("inputs", codes, sums)
-        return states[-1]
+            self._move(k, *(v if k == "inputs" else (slice(None), v)))
+        return states
+
+    def learn_leaves(self, states: np.ndarray, place: np.ndarray) -> None:
+        """One step of the words of each bin that `place` meets."""
+        order, spans = _by(place // BIN, self.vocab.n_bins)
+        states, place = states[order], place[order]
+        for k, a, b in spans:
+            s = states[a:b]
+            e = _softmax(s @ self.p["leaves"][k] + self.p["leaf_bias"][k])
+            e[np.arange(b - a), place[a:b] - k * BIN] -= 1
+            e /= b - a
+            self._move("leaves", k, s.T @ e)
+            self._move("leaf_bias", k, e.sum(0))
 
     def _move(self, name: str, at, grad: np.ndarray) -> None:
         grad = np.clip(grad, -0.1, 0.1)
@@ -279,64 +345,177 @@ class Network:
         self.p[name][at] -= RATE * grad / np.sqrt(self.squares[name][at])
 
 
-def _chunks(frames: Iterator[pd.DataFrame], vocab: Vocabulary) -> Iterator[tuple[pd.DataFrame, list]]:
-    """Parts of the frames with about CHUNK tokens, and their encoded texts."""
-    for frame in frames:
-        begin, held, size = 0, [], 0
-        for k, text in enumerate(frame["text"]):
-            held.append(vocab.encode(text))
-            size += len(held[-1][0])
-            if size >= CHUNK or k == len(frame) - 1:
-                yield frame.iloc[begin : k + 1], held
-                begin, held, size = k + 1, [], 0
-
+def _by(group: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
+    """An order of `group`, and each number below `n` that occurs in it with the span it takes there."""
+    order = np.argsort(group.astype(np.int16), kind="stable")
+    bounds = np.searchsorted(group[order], np.arange(n + 1))
+    return order, [(k, int(bounds[k]), int(bounds[k + 1])) for k in np.flatnonzero(bounds[:-1] < bounds[1:]).tolist()]
 
-def _train(sent):
-    """A replica a partition: its parameters and how many tokens it learnt from."""
 
+def _encode(vocab_sent):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab = sent.value
-        net, seen = Network(vocab), 0
-        for _, encoded in _chunks(frames, vocab):
-            target = np.concatenate([e[1] for e in encoded])
-            fresh = np.zeros(len(target), dtype=bool)
-            fresh[np.cumsum([0] + [len(e[1]) for e in encoded[:-1]])] = True
-            x = np.concatenate(([net.start], target[:-1]))
-            x[fresh] = net.start
-            lanes = max(1, min(LANES, len(target) // STEPS))
-            width = -(-len(target) // lanes)
-            width = -(-width // STEPS) * STEPS
-            wide = lambda a, fill: np.concatenate([a, np.full(lanes * width - len(a), fill, dtype=a.dtype)]).reshape(lanes, width).T
-            x, fresh, goal = wide(x, net.start), wide(fresh, True), wide(target, -1)
-            h = np.zeros((lanes, HIDDEN), dtype=np.float32)
-            for t in range(0, width, STEPS):
-                h = net.learn(x[t : t + STEPS], fresh[t : t + STEPS], goal[t : t + STEPS], h)
-            seen += len(target)
-        if seen:
-            yield pd.DataFrame({"n": [seen], "weights": [net.flat()]})
+        vocab = vocab_sent.value
+        for frame in frames:
+            coded = [vocab.encode(t) for t in frame["text"]]
+            inner = [c[c < vocab.n_head] for c, _ in coded]
+            yield frame.drop(columns=["text"]).assign(
+                n_tokens=[len(c) for c, _ in coded],
+                base=[vocab.log_c[c].sum() for c in inner],
+                known=[vocab.known[c].sum() for c in inner],
+                codes=[c.tobytes() for c, _ in coded],
+                beyond=[[t.decode("utf-8", "surrogatepass") for t in b] for _, b in coded],
+            )
 
     return run
 
 
-def fit(docs: DataFrame, vocab_sent) -> np.ndarray:
-    """Parameters averaged over the partitions' replicas, by tokens."""
-    train = docs.filter(~held_out(F.col("doc_id"))).select("text")
-    replicas = C.durable(train.mapInPandas(_train(vocab_sent), "n long, weights array<float>"))
-    each = replicas.select("n", F.posexplode("weights").alias("k", "w"))
-    mean = each.groupBy("k").agg((F.sum(F.col("n") * F.col("w")) / F.sum("n")).alias("w"))
-    got = mean.toPandas().sort_values("k")
-    return got["w"].to_numpy(dtype=np.float32) if len(got) else Network(vocab_sent.value).flat()
+def encoded(docs: DataFrame, vocab_sent, n_parts: int) -> DataFrame:
+    """row, doc_id, held_out, part, text_key, n_tokens, base, known, codes, beyond of each row of `docs` (doc_id, text)."""
+    rows = docs.select(
+        F.monotonically_increasing_id().alias("row"),
+        F.col("doc_id").cast("long").alias("doc_id"),
+        held_out(F.col("doc_id")).alias("held_out"),
+        F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_parts)).cast("int").alias("part"),
+        F.xxhash64("text").alias("text_key"),
+        F.col("text").cast("string").alias("text"),
+    )
+    kind = "row long, doc_id long, held_out boolean, part int, text_key long, n_tokens long, base double, known long, codes binary, beyond array<string>"
+    return C.durable(rows.mapInPandas(_encode(vocab_sent), kind))
 
 
-def score_texts(net: Network, encoded: list) -> np.ndarray:
+def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[np.ndarray], bool]]:
+    """Part, codes of documents with about CHUNK tokens, and whether the part ends there; frames are in order of parts."""
+    part, held, size = None, [], 0
+    for frame in frames:
+        for now, codes in zip(frame["part"], frame["codes"], strict=True):
+            if held and (now != part or size >= CHUNK):
+                yield part, held, now != part
+                held, size = [], 0
+            part = now
+            held.append(np.frombuffer(codes, dtype=np.int32))
+            size += len(held[-1])
+    if held:
+        yield part, held, True
+
+
+def train_chunk(net: Network, texts: list[np.ndarray], met: dict[str, np.ndarray]) -> None:
+    """Trains `net` on the codes of texts laid out in lanes; adds to `met` how often each row of a matrix was met."""
+    vocab = net.vocab
+    code = np.concatenate(texts)
+    fresh = np.zeros(len(code), dtype=bool)
+    fresh[np.cumsum([0] + [len(t) for t in texts[:-1]])] = True
+    slot = vocab.slots(code)
+    x = np.concatenate(([net.start], slot[:-1]))
+    x[fresh] = net.start
+    met["all"] += len(code)
+    met["inputs"] += np.bincount(x, minlength=len(met["inputs"]))
+    inner = slot[slot < vocab.n_slots]
+    met["slots"] += np.bincount(inner // CLASS_SIZE, minlength=vocab.n_classes)
+    met["leaves"] += np.bincount(inner[inner >= vocab.n_single] - vocab.n_single, minlength=vocab.n_bins)
+    lanes = max(1, min(LANES, len(code) // (STEPS * LEAST_WINDOWS)))
+    width = -(-len(code) // lanes)
+    width = -(-width // STEPS) * STEPS
+    wide = lambda a, fill: np.ascontiguousarray(np.concatenate([a, np.full(lanes * width - len(a), fill, dtype=a.dtype)]).reshape(lanes, width).T)
+    x, fresh, slot, code = wide(x, net.start), wide(fresh, True), wide(slot, -1), wide(code, -1)
+    h = np.zeros((lanes, HIDDEN), dtype=net.kind)
+    rare: list[tuple[np.ndarray, np.ndarray]] = []
+    for t in range(0, width, STEPS):
+        states = net.learn(x[t : t + STEPS], fresh[t : t + STEPS], slot[t : t + STEPS], h)
+        h = states[-1]
+        now = code[t : t + STEPS]
+        tail = (now >= vocab.n_single) & (now < vocab.n_head)
+        rare.append((states[tail], now[tail] - vocab.n_single))
+        if len(rare) == LEAF_EVERY or t + STEPS >= width:
+            net.learn_leaves(np.concatenate([s for s, _ in rare]), np.concatenate([p for _, p in rare]))
+            rare = []
+
+
+#: Which counts of `met` a matrix is averaged by; the others by all tokens, as one row.
+ROWS_OF = {"inputs": "inputs", "slots": "slots", "slot_bias": "slots", "leaves": "leaves", "leaf_bias": "leaves"}
+#: Leaves, the bulk of the weights, travel in 16 bits.
+WIRE = {"leaves": np.float16}
+BLOCK_FLOATS = 1 << 16
+
+
+def _blocks(net: Network, met: dict[str, np.ndarray]) -> Iterator[tuple[str, int, bytes, bytes]]:
+    """name, first row, mass of each row and the rows themselves, in blocks; blocks that nothing met are left out."""
+    for name, w in net.p.items():
+        mass = met[ROWS_OF[name]] if name in ROWS_OF else met["all"]
+        w = w.reshape(len(mass), -1) if w.size else w.reshape(0, 1)
+        step = max(1, BLOCK_FLOATS // max(1, w.shape[1]))
+        for k in range(0, len(w), step):
+            if mass[k : k + step].any():
+                yield name, k, mass[k : k + step].astype(np.float64).tobytes(), w[k : k + step].astype(WIRE.get(name, np.float32)).tobytes()
+
+
+REPLICA = "part int, name string, first int, mass binary, rows binary"
+
+
+def _train(vocab_sent, weights_sent, calm: float):
+    """A replica a part."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocab, net, met = vocab_sent.value, None, {}
+        for part, texts, ends in _chunks(frames):
+            if net is None:
+                net = Network(vocab, weights_sent.value, calm)
+                met = {"all": np.zeros(1), "inputs": np.zeros(net.start + 1), "slots": np.zeros(vocab.n_classes), "leaves": np.zeros(vocab.n_bins)}
+            train_chunk(net, texts, met)
+            if ends:
+                yield pd.DataFrame([(part, *b) for b in _blocks(net, met)], columns=["part", "name", "first", "mass", "rows"])
+                net = None
+
+    return run
+
+
+def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One block for the same block of several replicas, each row by its mass."""
+    pdf = pdf.sort_values("part")
+    name = pdf["name"].iloc[0]
+    mass = np.stack([np.frombuffer(m, dtype=np.float64) for m in pdf["mass"]])
+    rows = np.stack([np.frombuffer(r, dtype=WIRE.get(name, np.float32)).astype(np.float64) for r in pdf["rows"]]).reshape(*mass.shape, -1)
+    total = mass.sum(0)
+    mean = (mass[:, :, None] * rows).sum(0) / np.maximum(total, 1e-9)[:, None]
+    return pd.DataFrame([(pdf["part"].iloc[0], name, pdf["first"].iloc[0], total.tobytes(), mean.astype(WIRE.get(name, np.float32)).tobytes())], columns=["part", "name", "first", "mass", "rows"])
+
+
+def parts_of(train_tokens: int) -> int:
+    """Parts of one round."""
+    share = train_tokens // ROUNDS
+    return max(1, min(FEW_PARTS, share // PART_TOKENS), share // MOST_PART_TOKENS)
+
+
+def fit(coded: DataFrame, vocab_sent, per_round: int) -> dict[str, np.ndarray]:
+    """Weights after ROUNDS rounds of replicas over the parts of `coded`."""
+    spark = coded.sparkSession
+    weights = Network(vocab_sent.value).p
+    train = coded.filter("not held_out").select("part", "doc_id", "text_key", "codes")
+    for k in range(ROUNDS):
+        own = train.filter((F.col("part") % ROUNDS) == k)
+        own = own.repartitionByRange(per_round, "part").sortWithinPartitions("part", "doc_id", "text_key")
+        replicas = own.select("part", "codes").mapInPandas(_train(vocab_sent, spark.sparkContext.broadcast(weights), CALM[k]), REPLICA)
+        n = per_round
+        while n > FAN:
+            replicas = replicas.groupBy("name", "first", F.floor(F.col("part") / (FAN * per_round * ROUNDS / n)).alias("group")).applyInPandas(lambda pdf: _mean(pdf), REPLICA)
+            n = -(-n // FAN)
+        for row in replicas.groupBy("name", "first").applyInPandas(_mean, REPLICA).collect():
+            name, mass = row["name"], np.frombuffer(row["mass"], dtype=np.float64)
+            w = weights[name].reshape(len(weights[name]), -1) if name in ROWS_OF else weights[name].reshape(1, -1)
+            new = np.frombuffer(row["rows"], dtype=WIRE.get(name, np.float32)).reshape(len(mass), -1)
+            w[row["first"] : row["first"] + len(mass)][mass > 0] = new[mass > 0]
+    return weights
+
+
+def score_texts(net: Network, texts: list[np.ndarray]) -> np.ndarray:
     """Sum of log P over the codes of each text, its state carried from end to end.
 
     Texts are dealt to lanes, longest first, each to the lane that is least full.
     """
-    lengths = np.array([len(e[1]) for e in encoded])
+    vocab = net.vocab
+    lengths = np.array([len(t) for t in texts])
     lanes = int(max(1, min(LANES, lengths.sum() // lengths.max())))
     heap = [(0, k) for k in range(lanes)]
-    begin, lane = np.empty(len(encoded), dtype=np.int64), np.empty(len(encoded), dtype=np.int64)
+    begin, lane = np.empty(len(texts), dtype=np.int64), np.empty(len(texts), dtype=np.int64)
     for k in np.argsort(-lengths, kind="stable"):
         begin[k], lane[k] = heap[0]
         heapq.heapreplace(heap, (int(begin[k] + lengths[k]), int(lane[k])))
@@ -344,50 +523,42 @@ def score_texts(net: Network, encoded: list) -> np.ndarray:
     goal = np.full((lanes, width), -1, dtype=np.int32)
     doc = np.zeros((lanes, width), dtype=np.int32)
     fresh = np.zeros((lanes, width), dtype=bool)
-    for k, (_, code, _) in enumerate(encoded):
-        goal[lane[k], begin[k] : begin[k] + len(code)] = code
-        doc[lane[k], begin[k] : begin[k] + len(code)] = k
+    for k, codes in enumerate(texts):
+        goal[lane[k], begin[k] : begin[k] + lengths[k]] = codes
+        doc[lane[k], begin[k] : begin[k] + lengths[k]] = k
         fresh[lane[k], begin[k]] = True
-    x = np.concatenate([np.full((lanes, 1), net.start, dtype=np.int32), np.maximum(goal[:, :-1], 0)], axis=1)
+    x = np.concatenate([np.full((lanes, 1), net.start, dtype=np.int32), vocab.slots(np.maximum(goal[:, :-1], 0)).astype(np.int32)], axis=1)
     x[fresh] = net.start
     goal, doc, fresh, x = (np.ascontiguousarray(a.T) for a in (goal, doc, fresh, x))
-    out = np.zeros(len(encoded))
-    h = np.zeros((lanes, HIDDEN), dtype=np.float32)
+    out = np.zeros(len(texts))
+    h = np.zeros((lanes, HIDDEN), dtype=net.kind)
     ahead = max(STEPS, BLOCK // lanes)
+    rare = []
     for t in range(0, width, ahead):
         states, _ = net.run(x[t : t + ahead], fresh[t : t + ahead], h, False)
         h = states[-1]
-        live = goal[t : t + ahead] >= 0
-        out += np.bincount(doc[t : t + ahead][live], net.log_p(states[live], goal[t : t + ahead][live]), len(encoded))
+        now, whose = goal[t : t + ahead], doc[t : t + ahead]
+        live = now >= 0
+        out += np.bincount(whose[live], net.log_p(states[live], vocab.slots(now[live])), len(texts))
+        tail = (now >= vocab.n_single) & (now < vocab.n_head)
+        rare.append((states[tail], now[tail] - vocab.n_single, whose[tail]))
+    s, place, whose = (np.concatenate([r[k] for r in rare]) for k in range(3))
+    out += np.bincount(whose, net.log_leaf(s, place), len(texts))
+    beyond = goal >= vocab.n_head
+    out -= np.bincount(doc[beyond], vocab.log_mass[goal[beyond] - vocab.n_head], len(texts))
     return out
 
 
 def _score(vocab_sent, weights_sent):
+    """`model`, log P but for the counts of the tokens beyond the head."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocab = vocab_sent.value
-        net = Network(vocab, weights_sent.value)
-        row = TaskContext.get().partitionId() << 33
-        for frame, encoded in _chunks(frames, vocab):
-            sums = score_texts(net, encoded)
-            base, known = np.empty(len(encoded)), np.empty(len(encoded), dtype=np.int64)
-            for k, (at, code, _) in enumerate(encoded):
-                own = at[at >= 0]
-                base[k], known[k] = vocab.log_c[own].sum(), vocab.known[own].sum()
-                other = code[code >= vocab.n_words] - vocab.n_words
-                sums[k] += vocab.log_c[at[at >= vocab.n_words]].sum() - vocab.log_mass[other].sum()
-            yield pd.DataFrame(
-                {
-                    "row": row + np.arange(len(encoded)),
-                    "doc_id": frame["doc_id"].array,
-                    "held_out": frame["held_out"].array,
-                    "n_tokens": [len(e[0]) for e in encoded],
-                    "base": base,
-                    "known": known,
-                    "model": sums,
-                    "beyond": [[t.decode("utf-8", "surrogatepass") for t in e[2]] for e in encoded],
-                }
-            )
-            row += len(encoded)
+        net = Network(vocab_sent.value, weights_sent.value)
+        for frame in frames:
+            sizes = frame["n_tokens"].to_numpy()
+            cut = np.cumsum(sizes) // CHUNK
+            parts = [score_texts(net, [np.frombuffer(c, dtype=np.int32) for c in frame["codes"][cut == k]]) for k in np.unique(cut)]
+            yield frame.drop(columns=["codes"]).assign(model=np.concatenate(parts))
 
     return run
 
@@ -398,17 +569,14 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     counted = counts(docs)
     vocab = vocabulary(counted)
     vocab_sent = spark.sparkContext.broadcast(vocab)
-    weights_sent = spark.sparkContext.broadcast(fit(docs, vocab_sent))
-    rows = docs.select(F.col("doc_id").cast("long"), held_out(F.col("doc_id")).alias("held_out"), F.col("text").cast("string"))
-    scored = C.durable(
-        rows.mapInPandas(
-            _score(vocab_sent, weights_sent),
-            "row long, doc_id long, held_out boolean, n_tokens long, base double, known long, model double, beyond array<string>",
-        )
-    )
-    rest = scored.select("row", F.explode("beyond").alias("token")).join(counted, "token", "left")
+    per_round = parts_of(vocab.total)
+    coded = encoded(docs, vocab_sent, per_round * ROUNDS)
+    weights_sent = spark.sparkContext.broadcast(fit(coded, vocab_sent, per_round))
+    rows = coded.select("row", "doc_id", "held_out", "n_tokens", "base", "known", "codes")
+    scored = rows.mapInPandas(_score(vocab_sent, weights_sent), "row long, doc_id long, held_out boolean, n_tokens long, base double, known long, model double")
+    rest = coded.select("row", F.explode("beyond").alias("token")).join(counted, "token", "left")
     rest = rest.groupBy("row").agg(F.sum(F.log(F.coalesce("c", F.lit(0)) + 0.5)).alias("rest"), F.count("c").alias("rest_known"))
-    out = scored.drop("beyond").join(rest, "row", "left").fillna(0, ["rest", "rest_known"])
+    out = scored.join(rest, "row", "left").fillna(0, ["rest", "rest_known"])
     ten = float(np.log(10))
     log_all = float(np.log(vocab.total + 0.5 * (vocab.size + 1)))
     return out.select(
