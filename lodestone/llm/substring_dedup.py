@@ -38,6 +38,8 @@ from . import common as C
 BITS = 2
 CONTEXT = 16
 LEAST_WORDS = 16
+#: Parts that the rows of a hot window are dealt to.
+SALTS = 256
 PIECE = 1 << 20
 GEAR = np.random.default_rng(20240229).integers(0, 1 << 16, 256, dtype=np.uint16)
 _SPACE = np.zeros(256, dtype=bool)
@@ -119,18 +121,15 @@ def windows_of(digests: list[int], words: np.ndarray, least: int) -> tuple[np.nd
 def _chunk(least: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            cut = [chunks_of(t or "") for t in frame["text"]]
-            seen = [windows_of(c[1], c[2], least) for c in cut]
-            yield pd.DataFrame(
-                {
-                    "id": frame["id"],
-                    "text_key": frame["text_key"],
-                    "places": [np.append(0, c[0]).astype(np.int32) for c in cut],
-                    "begun": [np.append(0, np.cumsum(c[2])).astype(np.int32) for c in cut],
-                    "spans": [w[0] << 32 | w[1] for w in seen],
-                    "hashes": [w[2] for w in seen],
-                }
-            )
+            starts, sizes, hashes = [], [], []
+            for text in frame["text"]:
+                chars, digests, words = chunks_of(text or "")
+                a, e, found = windows_of(digests, words, least)
+                places = np.append(0, chars).astype(np.int32)
+                starts.append(places[a])
+                sizes.append(places[e] - places[a])
+                hashes.append(found)
+            yield pd.DataFrame({"id": frame["id"], "text_key": frame["text_key"], "starts": starts, "sizes": sizes, "hashes": hashes})
 
     return run
 
@@ -140,51 +139,47 @@ def _row_key(doc_id: Column, text: Column) -> list[Column]:
     return [F.coalesce(doc_id.cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.xxhash64(C.text_or_empty(text)).alias("text_key")]
 
 
-def chunks(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """id, text_key, places, begun, spans, hashes: where the chunks of each row begin and the last ends, the words before, and the windows.
-
-    A span is the first chunk, by 32 bits to the left, and the last one, exclusive.
-    """
+def windows(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
+    """id, text_key, starts, sizes, hashes: the windows of each row, where they stand in code points and what they hold."""
     body = F.col(f"`{text}`")
     rows = docs.select(*_row_key(F.col(f"`{doc_id}`"), body), body.cast("string").alias("text"))
-    return rows.mapInPandas(_chunk(least_words), "id long, text_key long, places array<int>, begun array<int>, spans array<long>, hashes array<long>")
+    return rows.mapInPandas(_chunk(least_words), "id long, text_key long, starts array<int>, sizes array<int>, hashes array<long>")
+
+
+def later_places(found: DataFrame) -> DataFrame:
+    """id, text_key, start, size, first_id of every window of `found` (a written table) that stands earlier elsewhere.
+
+    Windows that occur once leave after a count. The few hot ones find their first
+    place by a partial minimum, which is broadcast, and are dealt with a salt; the
+    others find it among the rows of their key.
+    """
+    counted = found.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    hot, cold = C.split_hot(C.durable(counted))
+    placed = found.select("id", "text_key", F.explode(F.arrays_zip("hashes", "starts", "sizes")).alias("w"))
+    placed = placed.select("id", "text_key", F.col("w.hashes").alias("hash"), F.col("w.starts").alias("start"), F.col("w.sizes").alias("size"))
+    at = F.struct("id", "text_key", "start", "size")
+    first = C.durable(placed.join(F.broadcast(hot.select("hash")), "hash").groupBy("hash").agg(F.min(at).alias("first")))
+    dealt = placed.join(F.broadcast(first), "hash", "left")
+    dealt = dealt.withColumn("salt", F.when(F.col("first").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "text_key"), F.lit(SALTS)).cast("int")))
+    keys = cold.select("hash", F.lit(0).alias("salt")).union(hot.select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
+    again = dealt.join(keys.hint("merge"), ["hash", "salt"])
+    again = again.withColumn("first", F.coalesce("first", F.min(at).over(W.partitionBy("hash", "salt"))))
+    return again.filter(at > F.col("first")).select("id", "text_key", "start", "size", F.col("first.id").alias("first_id"))
 
 
 def repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
-    """id, text_key, start, end, n_words, n_chunks, first_id: the runs that stand earlier elsewhere.
+    """id, text_key, start, end, first_id: the runs that stand earlier elsewhere.
 
     `first_id` is where the run's first window stands first.
     """
-    cut = C.durable(chunks(docs, doc_id, text, least_words))
-    often = cut.select(F.explode("hashes").alias("hash")).groupBy("hash").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("hash")
-    often = C.durable(often)
-    placed = cut.select("id", "text_key", F.inline(F.arrays_zip("hashes", "spans"))).withColumnRenamed("hashes", "hash").withColumnRenamed("spans", "span")
-    again = C.durable(placed.join(often, "hash"))
-    at = F.struct("id", "text_key", "span")
-    first = again.groupBy("hash").agg(F.min(at).alias("first"))
-    later = again.join(first, "hash").filter(at > F.col("first"))
-    later = later.select("id", "text_key", "span", F.shiftright("span", 32).cast("int").alias("a"), F.col("span").bitwiseAND(F.lit(0xFFFFFFFF)).cast("int").alias("e"), F.col("first.id").alias("first_id"))
-    in_row = W.partitionBy("id", "text_key").orderBy("span")
-    reached = F.max("e").over(in_row.rowsBetween(W.unboundedPreceding, -1))
-    begins = F.when(F.col("a") <= reached, 0).otherwise(1)
-    runs = (
-        later.withColumn("begins", begins)
-        .withColumn("run", F.sum("begins").over(in_row.rowsBetween(W.unboundedPreceding, 0)))
-        .groupBy("id", "text_key", "run")
-        .agg(F.min("a").alias("a"), F.max("e").alias("e"), F.min_by("first_id", "span").alias("first_id"))
-    )
-    per = C.durable(runs.groupBy("id", "text_key").agg(F.collect_list(F.struct("a", "e", "first_id")).alias("runs")))
-    held = C.left_join_few(cut.select("id", "text_key", "places", "begun"), per, ["id", "text_key"]).filter("runs is not null")
-    one = held.dropDuplicates(["id", "text_key"]).select("id", "text_key", "places", "begun", F.explode("runs").alias("r"))
-    return one.select(
-        "id",
-        "text_key",
-        F.get("places", F.col("r.a")).alias("start"),
-        F.get("places", F.col("r.e")).alias("end"),
-        (F.get("begun", F.col("r.e")) - F.get("begun", F.col("r.a"))).cast("long").alias("n_words"),
-        (F.col("r.e") - F.col("r.a")).cast("long").alias("n_chunks"),
-        F.col("r.first_id").alias("first_id"),
-    )
+    later = later_places(C.durable(windows(docs, doc_id, text, least_words)))
+    end = F.col("start") + F.col("size")
+    in_row = W.partitionBy("id", "text_key").orderBy("start", "size")
+    reached = F.max(end).over(in_row.rowsBetween(W.unboundedPreceding, -1))
+    begins = F.when(F.col("start") <= reached, 0).otherwise(1)
+    runs = later.withColumn("begins", begins).withColumn("run", F.sum("begins").over(in_row.rowsBetween(W.unboundedPreceding, 0)))
+    runs = runs.groupBy("id", "text_key", "run").agg(F.min("start").alias("start"), F.max(end).alias("end"), F.min(F.struct("start", "size", "first_id")).alias("f"))
+    return runs.select("id", "text_key", "start", "end", F.col("f.first_id").alias("first_id"))
 
 
 def substring_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least_words: int = LEAST_WORDS) -> DataFrame:
@@ -212,4 +207,4 @@ def query(docs: DataFrame) -> DataFrame:
     """A row for each run that goes: where it is, and the document that has it first."""
     null = F.lit((1 << 63) - 1)
     runs = repeats(docs.select("doc_id", "text"))
-    return runs.select(F.nullif("id", null).alias("doc_id"), F.nullif("first_id", null).alias("first_doc_id"), "start", "end", "n_words", "n_chunks")
+    return runs.select(F.nullif("id", null).alias("doc_id"), F.nullif("first_id", null).alias("first_doc_id"), "start", "end")
