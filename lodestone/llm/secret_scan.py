@@ -10,9 +10,12 @@ such as a run of hexadecimal digits, scans every text.
 Spans count code points, from 0, end exclusive. Matches are leftmost and do not
 overlap within a kind; those shorter than the rule's least length are dropped.
 
-Defined results: a null text is empty and has no spans; candidates are looked up by
-id, so rows that repeat an id share theirs and are each verified on their own text;
-null ids are one id; an empty table gives an empty result.
+Postings name a row by its id and a hash of its text; only rows that may be
+candidates, told by a broadcast of hash buckets, go through the join with their text.
+
+Defined results: a null text is empty and has no spans; rows that repeat an id and a
+text are one posting and have equal spans; a null id is as good as another; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -134,23 +137,23 @@ def trigram_query(regex: str) -> list[frozenset[str]]:
 
 
 def index(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Postings (trigram, doc_id) of the trigrams that `rules` ask for."""
+    """Postings (trigram, __id, __text) of the trigrams that `rules` ask for."""
     asked = sorted({t for r in rules for a in trigram_query(r.regex) for t in a})
     held = C.let(
         F.lower(C.text_or_empty(F.col(f"`{text}`"))),
         lambda low: F.array_compact(F.array(*[F.when(F.contains(low, F.lit(t)), F.lit(t)) for t in asked])),
     )
-    return docs.select(F.explode(held).alias("trigram"), F.col(f"`{doc_id}`").alias("doc_id"))
+    return docs.select(F.explode(held).alias("trigram"), *C.row_key(F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
 
 
 def candidates(postings: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """doc_id, kinds: the rules for which the index does not rule the document out."""
+    """__id, __text, kinds: the rules for which the index does not rule the row out."""
     spark = postings.sparkSession
     plan = [(r.kind, k, t, len(a)) for r in rules for k, a in enumerate(trigram_query(r.regex)) for t in sorted(a)]
     asked = spark.createDataFrame(plan, "kind string, alternative int, trigram string, n int")
     met = postings.distinct().join(F.broadcast(asked), "trigram")
-    whole = met.groupBy("doc_id", "kind", "alternative").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n")).filter("held = n")
-    return whole.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"))
+    whole = met.groupBy("__id", "__text", "kind", "alternative").agg(F.count(F.lit(1)).alias("held"), F.first("n").alias("n")).filter("held = n")
+    return whole.groupBy("__id", "__text").agg(F.collect_set("kind").alias("kinds"))
 
 
 def _spans(rule: Rule, text: Column) -> Column:
@@ -189,9 +192,9 @@ def _gate(rule: Rule) -> str:
 def secret_scan(docs: DataFrame, rules: tuple[Rule, ...] = RULES, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with `spans`: array of (start, end, kind) in order of start, then of kinds."""
     names = docs.columns
-    found = candidates(index(docs, rules, doc_id, text), rules).withColumnRenamed("doc_id", "__candidate")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{doc_id}`").alias("__id"), C.text_or_empty(F.col(f"`{text}`")).alias("body"))
-    met = rows.join(found, F.col("__id").eqNullSafe(F.col("__candidate")), "left")
+    found = C.durable(candidates(index(docs, rules, doc_id, text), rules))
+    own = F.col(f"`{text}`")
+    met = C.left_join_few(C.packed(docs, C.text_or_empty(own).alias("body"), *C.row_key(F.col(f"`{doc_id}`"), own)), found, ["__id", "__text"])
     body, none = F.col("body"), F.array().cast("array<struct<start:int,end:int,kind:int>>")
     each = [
         F.when(
