@@ -221,13 +221,12 @@ def quality_rules(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] =
 def keep_good(docs: DataFrame, text: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """The rows of `docs` that the rules keep, all columns as they came.
 
-    Votes are taken twice, once to fit and once to judge, so that no text is shuffled or stored.
+    Rows are written once beside their votes, so each text is measured once and none is shuffled.
     """
-    names = docs.columns
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{text}`").alias("text"))
-    voted = votes(features(packed, "text"), rules)
-    model = C.durable(fit(voted.select("votes"), len(rules)))
-    return judge(voted, model).filter("kept").select(*[F.col("row")[c].alias(c) for c in names])
+    voted = votes(features(C.packed(docs, F.col(f"`{text}`").alias("text")), "text"), rules)
+    voted = C.durable(voted.select("row", "votes", "n_words", "n_repeat_words"))
+    model = C.durable(fit(voted, len(rules)))
+    return C.unpacked(judge(voted, model).filter("kept"), docs.columns)
 
 
 def query(docs: DataFrame) -> DataFrame:
