@@ -249,8 +249,8 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80, doc_id: str = "doc_
     """
     found = groups(docs, n, percent, doc_id, text).filter("doc_id != component_id")
     gone = C.durable(found.select(F.col("doc_id").alias("__gone")).distinct())
-    keyed = docs.withColumn("__gone", F.col(f"`{doc_id}`").cast("long"))
-    return C.anti_join_few(keyed, gone, ["__gone"]).drop("__gone")
+    keyed = C.packed(docs, F.col(f"`{doc_id}`").cast("long").alias("__gone"))
+    return C.unpacked(C.anti_join_few(keyed, gone, ["__gone"]), docs.columns)
 
 
 def oracle(n: int = 3, percent: int = 85) -> str:
