@@ -7,11 +7,13 @@ posterior whose prior mean is the global one, and every path one whose prior mea
 its host's. The weights of the priors are method-of-moments estimates from the
 spread between hosts, and between paths of one host, beyond what sampling explains:
 a site with few documents is drawn to the prior, one with many stands on its own.
-The document's ratio then moves its path's posterior mean.
+The document's ratio then moves its path's posterior mean, from which its own
+probability is left out at both levels: it is counted once.
 
 Defined results: a null text has no words and takes the features of an empty one; a
 null host or path is one of its own; rows that repeat count and are scored one by
-one; labels for no document, or null ones, teach nothing; without labels of both
+one; a document labelled twice is good if one label says so; of rows that repeat an
+id the one with the least features is learnt from; labels for no document, or null ones, teach nothing; without labels of both
 kinds the classifier is neutral and every document stands at the share of good
 labels (0.5 without any); an empty table gives an empty result.
 """
@@ -64,7 +66,7 @@ def classifier(rows: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tupl
     known = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.max("quality").alias("quality"))
     some = known.orderBy(F.xxhash64("doc_id", F.lit("quality")), "doc_id").limit(sample)
     share = known.agg(F.avg("quality")).first()[0]
-    got = rows.join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).select("x", "quality").toPandas()
+    got = rows.join(F.broadcast(some), "doc_id").groupBy("doc_id", "quality").agg(F.min("x").alias("x")).orderBy("doc_id").toPandas()
     y = got["quality"].to_numpy(dtype=float)
     if len(set(y)) < 2:
         return None, 0.5 if share is None else float(share)
@@ -111,14 +113,16 @@ def quality_classifier(docs: DataFrame, labels: DataFrame, host: Column, path: C
     whole = per_host.agg(F.sum("s"), F.sum("n")).first()
     mean = whole[0] / whole[1] if whole[1] else share
     k_host = _weight(per_host, F.lit(mean))
-    hosts = per_host.select(F.col("host").alias("h"), ((F.col("s") + k_host * mean) / (F.col("n") + k_host)).alias("p_host"))
+    hosts = per_host.select(F.col("host").alias("h"), ((F.col("s") + k_host * mean) / (F.col("n") + k_host)).alias("p_host"), F.col("s").alias("host_s"), F.col("n").alias("host_n"))
     paths = per_path.join(hosts, F.col("host").eqNullSafe(F.col("h")))
     k_path = _weight(paths, F.col("p_host"))
-    sites = C.durable(paths.select("h", F.col("path").alias("p"), "p_host", ((F.col("s") + k_path * F.col("p_host")) / (F.col("n") + k_path)).alias("p_path")))
+    sites = C.durable(paths.select("h", F.col("path").alias("p"), "p_host", ((F.col("s") + k_path * F.col("p_host")) / (F.col("n") + k_path)).alias("p_path"), "s", "n", "host_s", "host_n"))
     if C.bounded(sites, BROADCAST_ROWS):
         sites = F.broadcast(sites)
     met = rated.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
-    prior = F.greatest(F.least("p_path", F.lit(0.999)), F.lit(0.001))
+    of_host = (F.col("host_s") - F.col("p_doc") + k_host * mean) / (F.col("host_n") - 1 + k_host)
+    of_path = (F.col("s") - F.col("p_doc") + k_path * of_host) / (F.col("n") - 1 + k_path)
+    prior = F.greatest(F.least(of_path, F.lit(0.999)), F.lit(0.001))
     p_good = 1 / (1 + F.exp(-(F.col("logit") - base + F.log(prior / (1 - prior)))))
     return met.select("doc_id", "host", "path", "p_doc", "p_host", "p_path", p_good.alias("p_good")).withColumn("kept", F.col("p_good") >= KEEP_AT)
 

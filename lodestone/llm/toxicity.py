@@ -16,14 +16,15 @@ in hash order, are read for it; that bounds the model, which is broadcast. All r
 are scored, whole.
 
 Defined results: a null or empty text scores what the curve gives for no evidence;
-rows without a label, or with one for no document, teach nothing; a document
-labelled twice is toxic if one label says so; null ids are scored, held out false;
+rows without a label, or with one for no document, teach nothing; of rows that
+repeat an id the least text is learnt from; a document labelled twice is toxic if one label says so; null ids are scored, held out false;
 without labels of both classes every score is the share of toxic labels, or 0; an
 empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -47,8 +48,12 @@ def fold(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % FOLDS
 
 
+_WORD = re.compile("[^\x20\x09-\x0d]+")
+
+
 def tokens(text: str | None) -> list[str]:
-    return [t for w in (text or "").lower().split() if (t := w.strip(STRIP))]
+    """Lowered words without the marks around them; training and scoring share this."""
+    return [t for w in _WORD.findall((text or "").lower()) if (t := w.strip(STRIP))]
 
 
 def labelled(docs: DataFrame, labels: DataFrame, of_folds: tuple[int, ...], sample: int) -> DataFrame:
@@ -57,7 +62,8 @@ def labelled(docs: DataFrame, labels: DataFrame, of_folds: tuple[int, ...], samp
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     order = F.xxhash64("doc_id", F.lit("toxicity"))
     some = [known.filter(F.col("toxic") == c).orderBy(order, "doc_id").limit(sample) for c in (0, 1)]
-    return docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id").dropDuplicates(["doc_id", "toxic"]).select("text", "toxic")
+    met = docs.select("doc_id", "text").join(F.broadcast(some[0].union(some[1])), "doc_id")
+    return met.groupBy("doc_id", "toxic").agg(F.min(C.text_or_empty(F.col("text"))).alias("text")).select("text", "toxic")
 
 
 class Model:
@@ -116,9 +122,8 @@ class Model:
 
 def train(sample: DataFrame) -> Model:
     """Counts by grouping, of a bounded sample; what passes the discount comes to the driver."""
-    strip = F.lit("^[" + "".join("\\" + c for c in STRIP) + "]+|[" + "".join("\\" + c for c in STRIP) + "]+$")
-    said = F.filter(F.transform(C.words(F.lower("text")), lambda w: F.regexp_replace(w, strip, F.lit(""))), lambda w: w != "")
-    rows = C.durable(sample.select("toxic", said.alias("words")))
+    said = F.pandas_udf(lambda texts: texts.map(tokens), "array<string>")
+    rows = C.durable(sample.select("toxic", said("text").alias("words")))
     pairs = rows.select("toxic", F.explode(F.arrays_zip(F.slice("words", 1, F.greatest(F.size("words") - 1, F.lit(0))).alias("a"), F.slice("words", 2, F.greatest(F.size("words") - 1, F.lit(0))).alias("b"))).alias("p"))
     counts = C.durable(pairs.groupBy("toxic", "p.a", "p.b").agg(F.count(F.lit(1)).alias("n")))
     history = counts.groupBy("toxic", F.col("a").alias("w")).agg(F.sum("n").alias("n"))
@@ -146,14 +151,17 @@ FEATURE_TYPES = ", ".join(f"f{k} double" for k in range(CURVE_FEATURES))
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """doc_id, held_out, score and predicted of each row of `docs` (doc_id, text)."""
+    """doc_id, held_out, score, log_ratio and predicted of each row of `docs` (doc_id, text).
+
+    log_ratio is the plain comparison: the two log-likelihoods' difference a word.
+    """
     spark = docs.sparkSession
     held = F.coalesce(fold(F.col("doc_id")) == 0, F.lit(False))
     totals = {r["toxic"]: r["n"] for r in labels.filter("toxic in (0, 1)").filter(fold(F.col("doc_id")) != 0).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     model = train(labelled(docs, labels, (2, 3, 4), sample)) if len(totals) == 2 else None
     if model is None:
-        scored = docs.select("doc_id", held.alias("held_out"), F.lit(float(share)).alias("score"))
+        scored = docs.select("doc_id", held.alias("held_out"), F.lit(float(share)).alias("score"), F.lit(0.0).alias("log_ratio"))
     else:
         sent = spark.sparkContext.broadcast(model)
         curve = labelled(docs, labels, (1,), sample).mapInPandas(_featured(sent), f"toxic int, {FEATURE_TYPES}").toPandas()
@@ -168,7 +176,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         rows = docs.select(F.col("doc_id").cast("long"), held.alias("held_out"), F.col("text").cast("string"))
         featured = rows.mapInPandas(_featured(sent), f"doc_id long, held_out boolean, {FEATURE_TYPES}")
         logit = sum((F.col(f"f{k}") * float(beta[k]) for k in range(CURVE_FEATURES)), F.lit(float(beta[-1])))
-        scored = featured.select("doc_id", "held_out", (1 / (1 + F.exp(-logit))).alias("score"))
+        scored = featured.select("doc_id", "held_out", (1 / (1 + F.exp(-logit))).alias("score"), F.col("f0").alias("log_ratio"))
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
