@@ -158,7 +158,9 @@ def later_places(found: DataFrame) -> DataFrame:
     placed = found.select("id", "text_key", F.explode(F.arrays_zip("hashes", "starts", "sizes")).alias("w"))
     placed = placed.select("id", "text_key", F.col("w.hashes").alias("hash"), F.col("w.starts").alias("start"), F.col("w.sizes").alias("size"))
     at = F.struct("id", "text_key", "start", "size")
-    first = C.durable(placed.join(F.broadcast(hot.select("hash")), "hash").groupBy("hash").agg(F.min(at).alias("first")))
+    marked = placed.join(F.broadcast(hot.select("hash", F.lit(True).alias("hot"))), "hash", "left")
+    marked = marked.withColumn("key", F.when(F.col("hot"), F.col("hash"))).filter("key is not null")
+    first = C.durable(marked.groupBy(F.col("key").alias("hash")).agg(F.min(at).alias("first")))
     dealt = placed.join(F.broadcast(first), "hash", "left")
     dealt = dealt.withColumn("salt", F.when(F.col("first").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("id", "text_key"), F.lit(SALTS)).cast("int")))
     keys = cold.select("hash", F.lit(0).alias("salt")).union(hot.select("hash", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))))
