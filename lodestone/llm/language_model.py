@@ -173,13 +173,12 @@ def vocabulary(counted: DataFrame) -> Vocabulary:
     return Vocabulary([(r["token"], r["c"]) for r in head], sums[0], sums[1], {r["k"]: float(r["m"]) for r in masses})
 
 
-#: Logits stay far below this, as states are within one; it only keeps exp finite.
-MOST_LOGIT = 60.0
+#: Bound of every weight. States are within one and biases start below zero, so logits stay below 16 times it, far from where exp overflows.
+MOST_WEIGHT = 3.0
 
 
 def _softmax(x: np.ndarray) -> np.ndarray:
     """Probabilities of the rows of `x`, which is overwritten."""
-    np.minimum(x, MOST_LOGIT, out=x)
     np.exp(x, out=x)
     x /= (x @ np.ones(x.shape[1], dtype=x.dtype))[:, None]
     return x
@@ -342,7 +341,8 @@ class Network:
     def _move(self, name: str, at, grad: np.ndarray) -> None:
         grad = np.clip(grad, -0.1, 0.1)
         self.squares[name][at] += grad * grad
-        self.p[name][at] -= RATE * grad / np.sqrt(self.squares[name][at])
+        moved = self.p[name][at] - RATE * grad / np.sqrt(self.squares[name][at])
+        self.p[name][at] = np.minimum(moved, MOST_WEIGHT) if name.endswith("bias") else np.clip(moved, -MOST_WEIGHT, MOST_WEIGHT)
 
 
 def _by(group: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
