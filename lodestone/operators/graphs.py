@@ -2,26 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MOST_DEPTH = 50
+from ..scratch import durable
 
+#: Rounds after which the reached rows are written as one table.
+CONSOLIDATE = 8
 
-def descendants(edges: DataFrame, roots: DataFrame, most_depth: int = MOST_DEPTH) -> DataFrame:
+
+def descendants(edges: DataFrame, roots: DataFrame, most_depth: int | None = None) -> DataFrame:
     """root, node, depth of all nodes below `roots` (root) along `edges` (parent, child), least depth; safe on cycles.
 
-    Each round holds the reached pairs once; a checkpoint folder, where one is set,
-    keeps long chains from growing the plan.
+    Runs until nothing new is reached, or to `most_depth` where that is asked for. Each
+    round is written once, so a lost executor costs a reread.
     """
-    reached = roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct()
-    frontier = reached
-    named = edges.sparkSession.sparkContext.getCheckpointDir()
-    for depth in range(1, most_depth + 1):
+    edges = durable(edges.select("parent", "child").distinct())
+    reached = durable(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
+    frontier, depth = reached, 0
+    while most_depth is None or depth < most_depth:
+        depth += 1
         step = frontier.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct()
-        frontier = step.join(reached.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth))
-        frontier = frontier.checkpoint() if named else frontier.cache()
+        frontier = durable(step.join(reached.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         reached = reached.unionByName(frontier)
+        if depth % CONSOLIDATE == 0:
+            reached = durable(reached)
     return reached
+
+
+def below(nodes: DataFrame, key: str, parent: str, marked: Column) -> DataFrame:
+    """The `key` of every row of `nodes` that is marked or stands below a marked one; a row has one parent at most.
+
+    Pointers to ancestors double their reach each round, so a chain of n rows takes
+    log n rounds. A chain passes its mark on without gaps: a round that marks nothing
+    new is the last, on cycles too.
+    """
+    state = durable(nodes.select(F.col(key).alias("k"), F.col(parent).alias("up"), F.coalesce(marked, F.lit(False)).alias("gone")))
+    n = state.filter("gone").count()
+    while True:
+        above = state.select(F.col("k").alias("up"), F.col("up").alias("next"), F.col("gone").alias("above"))
+        state = durable(state.join(above, "up", "left").select("k", F.col("next").alias("up"), (F.col("gone") | F.coalesce("above", F.lit(False))).alias("gone")))
+        now = state.filter("gone").count()
+        if now == n:
+            return state.filter("gone").select(F.col("k").alias(key))
+        n = now

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .graphs import descendants
+from .graphs import below
 
 KEY = ["source", "native_id"]
 
@@ -44,12 +44,11 @@ def current(log: DataFrame) -> DataFrame:
     return log.groupBy(*KEY).agg(F.max_by(row, "revision").alias("r")).select(*KEY, "r.*").select(*log.columns)
 
 
-def live(log: DataFrame, depth: int = 20) -> DataFrame:
-    """Current rows that are no tombstones and stand below none."""
+def live(log: DataFrame) -> DataFrame:
+    """Current rows that are no tombstones and stand below none, however far."""
     now = current(log)
-    roots = now.filter("is_tombstone").select(F.struct(*KEY).alias("root")).distinct()
-    edges = now.filter("parent is not null").select(F.struct("source", F.col("parent").alias("native_id")).alias("parent"), F.struct(*KEY).alias("child"))
-    gone = descendants(edges, roots, depth).select("node.*").distinct()
+    up = F.when(F.col("parent").isNotNull(), F.struct("source", F.col("parent").alias("native_id")))
+    gone = below(now.withColumns({"key": F.struct(*KEY), "up": up}), "key", "up", F.col("is_tombstone")).select("key.*")
     return now.join(gone, KEY, "left_anti")
 
 

@@ -33,8 +33,8 @@ def within_budget(df: DataFrame, key: str, ts: str, tie: str, seconds: int, most
     return df.withColumn("allowed", F.row_number().over(w) <= most)
 
 
-def relations(edges: DataFrame, roots: DataFrame, most_depth: int = 10) -> DataFrame:
-    """root, node, depth along child and fork edges (parent, child) in both directions."""
+def relations(edges: DataFrame, roots: DataFrame, most_depth: int | None = None) -> DataFrame:
+    """root, node, depth along child and fork edges (parent, child) in both directions, to the end unless a depth is asked for."""
     both = edges.select("parent", "child").union(edges.select(F.col("child").alias("parent"), F.col("parent").alias("child")))
     return descendants(both, roots, most_depth)
 

@@ -25,9 +25,10 @@ def _budget(spark, d):
 
 
 def _relations(spark, d):
-    c = T(spark, d, "customer").filter("c_custkey > 1 and c_custkey <= 300")
-    edges = c.select(F.floor(F.col("c_custkey") / 2).alias("parent"), F.col("c_custkey").alias("child"))
-    return lifecycle.relations(edges, T(spark, d, "customer").filter("c_custkey in (9, 40)").select(F.col("c_custkey").alias("root")), 4)
+    """Every customer from two roots, the customer of half a number being its parent."""
+    c = T(spark, d, "customer")
+    edges = c.filter("c_custkey > 1").select(F.floor(F.col("c_custkey") / 2).alias("parent"), F.col("c_custkey").alias("child"))
+    return lifecycle.relations(edges, c.filter("c_custkey in (9, 40)").select(F.col("c_custkey").alias("root")))
 
 
 def _disagreements(spark, d):
@@ -41,6 +42,6 @@ QUERIES = {
     "src28_captures": (_captures, "SELECT CASE WHEN turn % 7 = 0 THEN 'body' WHEN turn % 5 = 0 THEN 'occurred_at' ELSE 'ok' END AS fault, count(*) AS n FROM conversations GROUP BY 1"),
     "stm21_settled": (_settled, "WITH k AS (SELECT *, event_id % 3 AS thread FROM events) SELECT user_id, thread, arg_max(props, event_id) FILTER (WHERE event_type <> 'error') AS text, count(*) AS n_changes FROM k GROUP BY ALL HAVING arg_max(event_type, event_id) <> 'error'"),
     "stm22_budget": (_budget, "SELECT event_id, row_number() OVER (PARTITION BY user_id, epoch_us(ts) // 3600000000 ORDER BY ts, event_id) <= 1 AS allowed FROM events"),
-    "jon16_relations": (_relations, "WITH RECURSIVE e AS (SELECT c_custkey // 2 AS a, c_custkey AS b FROM customer WHERE c_custkey > 1 AND c_custkey <= 300), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT c_custkey AS root, c_custkey AS node, 0 AS depth FROM customer WHERE c_custkey IN (9, 40) UNION SELECT root, b, depth + 1 FROM r JOIN u ON a = node WHERE depth < 4) SELECT root, node, min(depth) AS depth FROM r GROUP BY ALL"),
+    "jon16_relations": (_relations, "WITH RECURSIVE up AS (SELECT c_custkey AS k, c_custkey AS a, 0 AS d FROM customer UNION ALL SELECT k, a // 2, d + 1 FROM up WHERE a > 1) SELECT r.k AS root, n.k AS node, min(r.d + n.d) AS depth FROM up r JOIN up n ON r.a = n.a WHERE r.k IN (9, 40) GROUP BY ALL"),
     "aud06_agreement": (_disagreements, "SELECT coalesce(a.k, b.k) AS o_custkey, a.n AS at_boundary, b.n AS stored FROM (SELECT o_custkey k, count(*) n FROM orders WHERE o_orderdate < '1998-06-01' GROUP BY 1) a FULL JOIN (SELECT o_custkey k, count(*) n FROM orders GROUP BY 1) b ON a.k = b.k WHERE a.n IS DISTINCT FROM b.n"),
 }

@@ -14,13 +14,12 @@ from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
 
 MOST_RECORDS = 500
-MOST_PAGES = 100_000
 
 
 def pages(fetch: Callable, cursor: str | None = None) -> Iterator[tuple[list[dict], str | None]]:
     """Pages from `cursor` on; a cursor that comes twice is an error."""
     seen = set()
-    for _ in range(MOST_PAGES):
+    while True:
         records, following = fetch(cursor, MOST_RECORDS)
         if len(records) > MOST_RECORDS:
             raise ValueError("page is too large")
