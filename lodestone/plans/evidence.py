@@ -47,7 +47,7 @@ def _visible(spark, d):
 
 def _actor_columns(spark, d):
     """Distinct sorted triples as three arrays side by side."""
-    l, s = T(spark, d, "lineitem").filter("l_orderkey <= 3000"), T(spark, d, "supplier")
+    l, s = T(spark, d, "lineitem"), T(spark, d, "supplier")
     triple = F.struct(F.col("l_suppkey").alias("id"), F.col("s_name").alias("name"), F.col("l_returnflag").alias("relation"))
     got = l.join(s, l.l_suppkey == s.s_suppkey).groupBy("l_orderkey").agg(F.array_sort(F.collect_set(triple)).alias("a"))
     each = lambda f: F.array_join(F.transform("a", lambda x: x[f].cast("string")), ",")
@@ -186,7 +186,7 @@ QUERIES = {
     "flt11_validation": (_validated, "SELECT CASE WHEN event_id IS NULL THEN 'id' WHEN event_type NOT IN ('click', 'purchase', 'signup', 'view') THEN 'type' WHEN value < 5 THEN 'range' WHEN NOT regexp_matches(props, '^\\{.*\\}$') THEN 'props' WHEN CAST(json_extract_string(props, '$.k') AS BIGINT) > 90 THEN 'key' ELSE 'ok' END AS code, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1"),
     "prj01_items": (_items, "SELECT CASE WHEN role IN ('user', 'assistant') THEN role ELSE 'note' END AS surface, 'lode://conversations/' || conv_id || '?rev=1#item=' || turn AS receipt, role || ': ' || text AS text FROM conversations"),
     "prj03_visible": (_visible, "SELECT conv_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS md5, count(*) AS n FROM conversations WHERE role <> 'system' GROUP BY 1"),
-    "prj06_actor_columns": (_actor_columns, "SELECT l_orderkey, string_agg(l_suppkey, ',' ORDER BY l_suppkey, s_name, l_returnflag) AS ids, string_agg(s_name, ',' ORDER BY l_suppkey, s_name, l_returnflag) AS names, string_agg(l_returnflag, ',' ORDER BY l_suppkey, s_name, l_returnflag) AS relations FROM (SELECT DISTINCT l_orderkey, l_suppkey, s_name, l_returnflag FROM lineitem JOIN supplier ON l_suppkey = s_suppkey WHERE l_orderkey <= 3000) GROUP BY 1"),
+    "prj06_actor_columns": (_actor_columns, "SELECT l_orderkey, string_agg(l_suppkey, ',' ORDER BY l_suppkey, s_name, l_returnflag) AS ids, string_agg(s_name, ',' ORDER BY l_suppkey, s_name, l_returnflag) AS names, string_agg(l_returnflag, ',' ORDER BY l_suppkey, s_name, l_returnflag) AS relations FROM (SELECT DISTINCT l_orderkey, l_suppkey, s_name, l_returnflag FROM lineitem JOIN supplier ON l_suppkey = s_suppkey) GROUP BY 1"),
     "jon10_latest": (_latest, "SELECT o_custkey, o_orderkey, o_orderstatus FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) = 1"),
     "jon17_parameters": (_parameters, "SELECT CAST(place AS INT) AS place, (place * 37) % 500 + 1 AS key, count(*) AS n FROM range(40) t(place) JOIN orders ON o_custkey = (place * 37) % 500 + 1 GROUP BY ALL"),
     "jon18_filtered_join": (_filtered_join, "SELECT o_orderstatus, count(l_orderkey) AS n, count(DISTINCT l_suppkey) AS n_actors FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderdate >= '1996-06-01' AND o_orderdate < '1996-09-01' GROUP BY 1"),

@@ -133,7 +133,7 @@ def _metrics(spark, d):
 
 
 def _ordered_array(spark, d):
-    l = T(spark, d, "lineitem").filter("l_orderkey <= 2000")
+    l = T(spark, d, "lineitem")
     item = F.struct("l_linenumber", "l_partkey")
     return l.groupBy("l_orderkey").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda x: x["l_partkey"].cast("string")), ",").alias("parts"),
@@ -204,7 +204,7 @@ def _map_sums(spark, d):
 
 
 def _duplicates(spark, d):
-    return T(spark, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("text").alias("n_texts")).filter("n > n_texts")
+    return T(spark, d, "documents").groupBy("source", "lang").agg(F.count(F.lit(1)).alias("n"), F.count_distinct(F.unhex(F.md5(F.col("text").cast("binary")))).alias("n_texts")).filter("n > n_texts")
 
 
 def _neighbours(spark, d):
@@ -238,7 +238,7 @@ QUERIES = {
     "agg05_parity": (_parity, "SELECT o_orderstatus, count(*) eligible, count(k) represented, count(*) - count(k) missing FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey k FROM lineitem) ON o_orderkey = k GROUP BY 1"),
     "agg06_exclusive": (_exclusive, "SELECT l_partkey FROM lineitem JOIN supplier ON l_suppkey = s_suppkey GROUP BY 1 HAVING count(DISTINCT s_nationkey) = 1 AND bool_and(s_acctbal > 0)"),
     "agg07_duplicates": (_duplicates, "SELECT source, lang, count(*) n, count(DISTINCT text) n_texts FROM documents GROUP BY ALL HAVING count(*) > count(DISTINCT text)"),
-    "agg08_ordered_arrays": (_ordered_array, "SELECT l_orderkey, string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS parts, first(l_partkey ORDER BY l_quantity DESC, l_linenumber DESC, l_partkey DESC) AS largest, first(l_partkey ORDER BY l_linenumber, l_partkey) AS first FROM lineitem WHERE l_orderkey <= 2000 GROUP BY 1"),
+    "agg08_ordered_arrays": (_ordered_array, "SELECT l_orderkey, string_agg(l_partkey, ',' ORDER BY l_linenumber, l_partkey) AS parts, first(l_partkey ORDER BY l_quantity DESC, l_linenumber DESC, l_partkey DESC) AS largest, first(l_partkey ORDER BY l_linenumber, l_partkey) AS first FROM lineitem GROUP BY 1"),
     "agg16_percentiles": (_percentiles, "SELECT event_type, round(quantile_cont(value, 0.95), 6) p95, quantile_disc(value, 0.5) p50_nearest, round(stddev_samp(value), 6) stdev, min(value) least, max(value) most FROM events GROUP BY 1"),
     "agg21_map_sums": (_map_sums, "SELECT event_type, count(*) n, count(DISTINCT user_id) n_maps FROM events GROUP BY 1"),
     "agg32_rollup": (_rollup, "SELECT event_type, CAST(ts AS DATE) AS day, count(*) n, round(sum(value), 2) total FROM events GROUP BY ROLLUP (event_type, CAST(ts AS DATE))"),
