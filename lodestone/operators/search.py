@@ -6,13 +6,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..scratch import durable
+
 K1, B = 1.2, 0.75
 RRF_K = 60
+LEXEME = r"[a-z0-9][a-z0-9_./#-]*"
 
 
 def lexemes(text: Column) -> Column:
     """Lowered runs of letters, digits and joiners."""
-    return F.regexp_extract_all(F.lower(text), F.lit(r"[a-z0-9][a-z0-9_./#-]*"), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(LEXEME), F.lit(0))
 
 
 def postings(df: DataFrame, key: str, text: str) -> DataFrame:
@@ -24,11 +27,17 @@ def postings(df: DataFrame, key: str, text: str) -> DataFrame:
 def bm25(df: DataFrame, key: str, text: str, terms: list[str], k: int, every: bool = False) -> DataFrame:
     """The `k` best documents for `terms` by BM25 (any term, or every one), ties by key.
 
-    Only the postings of the terms are shuffled; document lengths need one sum.
+    One pass over the texts counts words and takes the terms of those that hold one;
+    what it leaves is small and written. Only the postings of the terms are shuffled.
     """
-    said = df.select(key, lexemes(F.col(text)).alias("w")).withColumn("length", F.size("w"))
+    low = F.lower(F.col(text))
+    holds = F.lit(False)
+    for t in terms:
+        holds = holds | F.contains(low, F.lit(t))
+    own = F.when(holds, F.filter(lexemes(F.col(text)), lambda t: t.isin(*terms)))
+    said = durable(df.select(key, F.regexp_count(low, F.lit(LEXEME)).alias("length"), own.alias("w")))
     stats = said.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean")).first()
-    hits = said.select(key, "length", F.explode(F.filter("w", lambda t: t.isin(*terms))).alias("term")).groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
+    hits = said.select(key, "length", F.explode("w").alias("term")).groupBy(key, "length", "term").agg(F.count(F.lit(1)).alias("tf"))
     freq = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     met = hits.join(F.broadcast(freq), "term")  # one row a query term
     idf = F.log((stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)

@@ -47,9 +47,10 @@ def _federated(spark, d):
 def _measures(spark, d):
     """Items as queries: documents ranked by shared words of the item, answers those that hold its first five words."""
     items = T(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.lower("text").alias("q"), F.array_distinct(S.lexemes(F.col("text"))).alias("terms"))
-    docs = T(spark, d, "documents").select(F.col("doc_id").alias("item"), F.explode(F.array_distinct(S.lexemes(F.col("text")))).alias("term"))
-    asked = items.select("query", F.explode("terms").alias("term")).filter(F.length("term") > 6)
-    hits = docs.join(F.broadcast(asked), "term").groupBy("query", "item").agg(F.count(F.lit(1)).alias("n"))
+    long = lambda words: F.array_distinct(F.filter(words, lambda w: F.length(w) > 6))
+    docs = T(spark, d, "documents").select(F.col("doc_id").alias("item"), F.explode(long(S.lexemes(F.col("text")))).alias("term"))
+    asked = items.select("query", F.explode(long(F.col("terms"))).alias("term"))
+    hits = docs.join(asked, "term").groupBy("query", "item").agg(F.count(F.lit(1)).alias("n"))
     run = hits.withColumn("rank", F.row_number().over(W.partitionBy("query").orderBy(F.desc("n"), "item"))).filter("rank <= 20")
     answers = hits.filter("n >= 6").select("query", "item")
     return S.measures(run.select("query", "item", "rank"), answers)
