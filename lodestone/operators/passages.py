@@ -26,8 +26,7 @@ def chunk_text(text: str, most: int = CHUNK_BYTES, back: int = LOOK_BACK) -> Ite
             end -= max(1, (len(text[at:end].encode()) - most + 3) // 4)
         if end < len(text):
             low = max(at + 1, end - back)
-            cut = max(text.rfind("\n", low, end), -1)
-            cut = cut if cut >= 0 else text.rfind(" ", low, end)
+            cut = max(text.rfind("\n", low, end), text.rfind(" ", low, end))
             end = cut + 1 if cut >= 0 else end
         yield text[at:end]
         at = end
