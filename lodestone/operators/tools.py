@@ -1,0 +1,151 @@
+"""Query analysis and evidence tools: terms and probes, coordinates, ranges, visible text, segments, merges, tiers."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
+
+from ..functions.text import informative_terms
+from .search import lexemes
+
+UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+# Names of months.
+MONTHS = ("january", "february", "march", "april", "may", "june", "july", "august", "september", "october", "november", "december")
+MOST_TERMS = 16
+
+
+def identifier_terms(text: Column) -> Column:
+    """Distinct terms that look like identifiers: a digit and a joiner, or eight hexadecimal digits."""
+    looks = lambda t: (t.rlike("[0-9]") & t.rlike("[-_./#]")) | t.rlike("^[0-9a-f]{8,}$")
+    return F.filter(F.array_distinct(lexemes(text)), looks)
+
+
+def focused_terms(query: Column, scaffold: tuple[str, ...] = MONTHS) -> Column:
+    """The terms worth asking for, at most MOST_TERMS: a UUID alone, else no scaffold words and no day or year beside a month."""
+    terms = informative_terms(query)
+    dated = F.arrays_overlap(terms, F.array(*[F.lit(m) for m in MONTHS]))
+    number = lambda t: F.when(t.rlike("^[0-9]{1,9}$"), t.cast("int"))
+    in_date = lambda t: F.coalesce(number(t).between(1, 31) | number(t).between(1900, 2100), F.lit(False))
+    kept = F.filter(terms, lambda t: ~t.isin(*scaffold) & ~(dated & in_date(t)))
+    uuid = F.regexp_extract(F.lower(query), UUID, 0)
+    return F.when(uuid != "", F.array(uuid)).otherwise(F.slice(F.when(F.size(kept) > 0, kept).otherwise(terms), 1, MOST_TERMS))
+
+
+def partial_probes(terms: Column, timed: Column) -> Column:
+    """Probes for one drifting term, as struct(query, kind): the two best terms, the longest compound, or the first term of a timed query.
+
+    Terms rank by a joiner, a digit, their length and their place.
+    """
+    rank = lambda t, i: F.struct(t.rlike("[._/-]").alias("j"), t.rlike("[0-9]").alias("d"), F.length(t).alias("n"), (-i).alias("i"), t.alias("t"))
+    best = F.sort_array(F.transform(terms, rank), asc=False)
+    compound = F.sort_array(F.transform(F.filter(terms, lambda t: t.rlike("[._/-]")), lambda t, i: F.struct(F.length(t).alias("n"), (-i).alias("i"), t.alias("t"))), asc=False)
+    probe = lambda query, kind: F.struct(query.alias("query"), F.lit(kind).alias("kind"))
+    return F.array_compact(
+        F.array(
+            F.when(F.size(terms) >= 2, probe(F.concat_ws(" ", F.get(best, F.lit(0))["t"], F.get(best, F.lit(1))["t"]), "pair")),
+            F.when(F.size(compound) > 0, probe(F.get(compound, F.lit(0))["t"], "anchor")),
+            F.when(timed & (F.size(compound) == 0) & (F.size(terms) > 0), probe(F.get(terms, F.lit(0)), "time-anchor")),
+        )
+    )
+
+
+def coordinates(text: Column, start: int, end: int) -> dict[str, Column]:
+    """Characters and UTF-8 bytes of the slice from `start` to `end` (exclusive), cut at the text's length."""
+    n = F.length(text)
+    a, b = F.least(F.lit(start), n), F.least(F.lit(end), n)
+    upto = lambda k: F.octet_length(F.substring(text, F.lit(1), k))
+    return {"content_start": a, "content_end": b, "content_length": n, "byte_start": upto(a), "byte_end": upto(b), "n_bytes": F.octet_length(text), "complete": (a == 0) & (b == n)}
+
+
+def faults(required: dict[str, str], optional: dict[str, str], enums: dict[str, tuple[str, ...]]) -> Column:
+    """Names of the rules that a record breaks, in order: missing:f, type:f, enum:f. Types are names that try_cast knows."""
+    missing = [F.when(F.col(f).isNull(), F.lit(f"missing:{f}")) for f in required]
+    typed = [F.when(F.col(f).isNotNull() & F.col(f).try_cast(t).isNull(), F.lit(f"type:{f}")) for f, t in (required | optional).items()]
+    listed = [F.when(F.col(f).isNotNull() & ~F.col(f).isin(*v), F.lit(f"enum:{f}")) for f, v in enums.items()]
+    return F.array_compact(F.array(*missing, *typed, *listed))
+
+
+def open_ranges(records: DataFrame, ranges: DataFrame, key: str, ordinal: str, around: int = 2) -> DataFrame:
+    """Records in the asked ranges (key, first, last) and `around` of them, with `core` and `place`: asked ones first, then in order."""
+    asked = ranges.select(key, "first", "last", F.explode(F.sequence(F.greatest(F.col("first") - around, F.lit(0)), F.col("last") + around)).alias(ordinal))
+    wanted = asked.groupBy(key, ordinal).agg(F.max(F.col(ordinal).between(F.col("first"), F.col("last"))).alias("core"))
+    met = records.join(wanted, [key, ordinal])
+    return met.withColumn("place", F.row_number().over(W.partitionBy(key).orderBy(F.desc("core"), ordinal)))
+
+
+def deep_search(df: DataFrame, key: str, text: str, terms: list[str], k: int) -> DataFrame:
+    """The `k` rows whose whole text holds the terms most often, ties by key: a top-k search."""
+    low = F.lower(F.col(text))
+    n = sum((((F.length(low) - F.length(F.replace(low, F.lit(t), F.lit("")))) / len(t)).cast("long") for t in terms), F.lit(0).cast("long"))
+    return df.select(key, n.alias("score")).filter("score > 0").orderBy(F.desc("score"), key).limit(k)
+
+
+#: Where envelopes hold text that a person sees, in order.
+VISIBLE = ("$.payload.message", "$.payload.content", "$.message.content", "$.content", "$.text")
+
+
+def visible_text(text: Column) -> Column:
+    """What a person sees of a JSON envelope, equal blocks once; a text that is no object stands for itself; null if blank."""
+    blocks = F.array_distinct(F.array_compact(F.array(*[F.get_json_object(text, p) for p in VISIBLE])))
+    shown = F.when(F.get_json_object(text, "$").rlike(r"^\{"), F.array_join(blocks, "\n")).otherwise(text)
+    return F.when(shown.rlike(r"\S"), shown)
+
+
+def segments(text: Column, most: int) -> Column:
+    """`text` in segments of at most `most` (4 or more) UTF-8 bytes, never inside a character; one empty segment of an empty text."""
+    data = F.encode(text, "UTF-8")
+    inside = lambda at: F.hex(F.substring(data, at + 1, F.lit(1))).between("80", "BF")
+
+    def step(acc: Column, _: Column) -> Column:
+        end = F.least(acc["at"] + most, F.octet_length(data))
+        for _k in range(3):
+            end = F.when(inside(end), end - 1).otherwise(end)
+        return F.when(acc["at"] >= F.octet_length(data), acc).otherwise(F.struct(end.alias("at"), F.array_append(acc["out"], F.decode(F.substring(data, acc["at"] + 1, end - acc["at"]), "UTF-8")).alias("out")))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+    turns = F.sequence(F.lit(1), F.greatest(F.ceil(F.octet_length(data) / (most - 3)), F.lit(1)).cast("int"))
+    return F.when(F.octet_length(data) <= most, F.array(text)).otherwise(F.aggregate(turns, start, step, lambda acc: acc["out"]))
+
+
+def merge_observed(parts: DataFrame, key: str, value: str, order: str, most: int) -> DataFrame:
+    """Partial observations merged: per key the first `most` distinct values by `order`, and how many were left out."""
+    once = parts.groupBy(key, value).agg(F.min(order).alias(order))
+    rank = F.row_number().over(W.partitionBy(key).orderBy(order, value))
+    kept = once.withColumn("rank", rank).filter(F.col("rank") <= most).groupBy(key).agg(F.sort_array(F.collect_list(F.struct("rank", value))).alias("kept"))
+    counted = once.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return counted.join(kept, key).select(key, F.transform("kept", lambda x: x[value]).alias("kept"), F.greatest(F.col("n") - most, F.lit(0)).alias("omitted"))
+
+
+def merged_json(first: Column, second: Column) -> Column:
+    """Two JSON objects as one map of strings; where both hold a key the second counts."""
+    kind = "map<string,string>"
+    later = F.coalesce(F.from_json(second, kind), F.create_map().cast(kind))
+    earlier = F.coalesce(F.from_json(first, kind), F.create_map().cast(kind))
+    return F.map_concat(F.map_filter(earlier, lambda k, _: ~F.map_contains_key(later, k)), later)
+
+
+def json_type(json: Column) -> Column:
+    """object, array, string, number, boolean or null."""
+    shape = F.schema_of_variant(F.parse_json(json))
+    return F.when(shape.startswith("OBJECT"), "object").when(shape.startswith("ARRAY"), "array").when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean").when(shape == "VOID", "null").otherwise("number")
+
+
+def sound_vector(vector: Column, n: int) -> Column:
+    """Whether a vector has `n` finite entries."""
+    return (F.size(vector) == n) & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+
+
+def utc_instant(text: Column) -> Column:
+    """The instant of an ISO time with a zone; null without one."""
+    return F.when(text.rlike(r"(Z|[+-][0-9]{2}:?[0-9]{2})$"), F.try_to_timestamp(text))
+
+
+def tiered(hits: DataFrame, session: str, k: int) -> DataFrame:
+    """The `k` best sessions of `hits` (session, tier, score, n_long): tier first, then the best score and 0.2 ln(1 + hits).
+
+    Sessions of tier 0 need two long terms in their best hit.
+    """
+    best = hits.groupBy(session).agg(F.max(F.struct("tier", "score", "n_long")).alias("b"), F.count(F.lit(1)).alias("n"))
+    kept = best.filter("b.tier > 0 or b.n_long >= 2")
+    return kept.select(session, F.col("b.tier").alias("tier"), F.round(F.col("b.score") + 0.2 * F.log1p("n"), 8).alias("score")).orderBy(F.desc("tier"), F.desc("score"), session).limit(k)

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import derived, evidence, ingest, lifecycle, relational, search, sequence, streams, text
+from . import derived, evidence, ingest, lifecycle, relational, search, sequence, streams, text, tools
 
-_MODULES = (relational, sequence, text, search, ingest, derived, evidence, lifecycle, streams)
+_MODULES = (relational, sequence, text, search, ingest, derived, evidence, lifecycle, streams, tools)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

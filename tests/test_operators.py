@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import queues
+from lodestone.operators import graphs, ingest, queues, tools
 from lodestone.plans import evidence
 
 SF = "/root/testdata/sf0.001"
@@ -43,3 +43,32 @@ def test_bins(spark):
     assert {tuple(r) for r in out.collect()} == want and out.count() == len(rows)
     totals = out.filter("g = 'big'").groupBy("bin").agg(F.sum("s")).collect()
     assert max(t[1] for t in totals) - min(t[1] for t in totals) <= 60
+
+
+def test_segments(spark):
+    """Greedy cuts at whole characters, against bytes cut by hand."""
+    texts = ["", "abc", "é日本語🙂" * 40, "a" * 101, "x🙂" * 33]
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tools.segments(F.col("t"), 10)).collect()]
+    for text, parts in zip(texts, got, strict=True):
+        want, data, at = [], text.encode(), 0
+        while at < len(data) or not want:
+            end = min(at + 10, len(data))
+            while end < len(data) and data[end] & 0xC0 == 0x80:
+                end -= 1
+            want.append(data[at:end].decode())
+            at = end
+        assert parts == want
+
+
+def test_live_below_a_long_chain(spark):
+    """A tombstone reaches 200 rows below it; a cycle ends."""
+    rows = [("s", "k0", True, None)] + [("s", f"k{k}", False, f"k{k - 1}") for k in range(1, 201)]
+    rows += [("s", "a", False, "b"), ("s", "b", False, "a"), ("t", "k5", False, "k4"), ("s", "c", False, "gone")]
+    log = spark.createDataFrame([(*r, 1) for r in rows], "source string, native_id string, is_tombstone boolean, parent string, revision int")
+    assert {(r["source"], r["native_id"]) for r in ingest.live(log).collect()} == {("s", "a"), ("s", "b"), ("t", "k5"), ("s", "c")}
+
+
+def test_descendants_to_the_end(spark):
+    edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(20, 5)], "parent int, child int")
+    got = {r["node"]: r["depth"] for r in graphs.descendants(edges, spark.createDataFrame([(0,)], "root int")).collect()}
+    assert got == {k: k for k in range(21)}
