@@ -1,12 +1,15 @@
 """Benchmark decontamination: rare n-gram seeds find passages, alignment scores them.
 
-Seeds are the n-grams of words of the test items that a text would hardly hold by
-chance: their expected count, from how often each of their words occurs in the
-whole corpus, is below `RARE` (the rarest few of an item always count). Rarity is
-never taken from how many documents hold a seed, so an item that leaked into many
-of them keeps its seeds. Seeds meet the n-grams of all documents in a hash join. A
-meeting puts the item's start on a diagonal; meetings of one document and item on
-near diagonals are one region. Smith-Waterman over the words of region and item
+Seeds are the n-grams of words of the test items but for common ones: those whose
+chance at a place, from how often each of their words occurs in the whole corpus, is
+below `COMMON`, and the rarer half of an item's at any rate, so the share of seeds
+does not shrink as the corpus grows. Rarity is never taken from how many documents
+hold a seed, so an item that leaked into many of them keeps its seeds. Three words
+survive an edit of every fourth one. Seeds meet the n-grams of all documents in a
+hash join. A meeting puts the item's start on a diagonal; meetings of one document
+and item on near diagonals are one region, which counts if it holds a seed that the
+corpus would hardly hold by chance (expected less than `RARE` times, or among the
+`LEAST_SEEDS` rarest of its item), or two seeds. Smith-Waterman over the words of region and item
 (match 2, mismatch -1, gap -1) scores the copy, edits included; the score over that
 of a verbatim copy, at least `SCORE`, makes a match.
 
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 
 from . import common as C
 
-SEED_WORDS = 4
+SEED_WORDS = 3
+COMMON = 1e-7
 RARE = 1.0
 LEAST_SEEDS = 3
 SCORE = 0.5
@@ -52,7 +56,7 @@ def _small(df: DataFrame) -> DataFrame:
 
 
 def seeds(docs: DataFrame, items: DataFrame, text: str = "text", n: int = SEED_WORDS) -> DataFrame:
-    """item (row number), item_id, words (hashes), gram, at: the rare n-grams of the items.
+    """item (row number), item_id, words (hashes), gram, at, rare: the n-grams of the items that are not common.
 
     `items` has item_id and text.
     """
@@ -60,8 +64,12 @@ def seeds(docs: DataFrame, items: DataFrame, text: str = "text", n: int = SEED_W
     listed = C.durable(listed.withColumn("item", F.monotonically_increasing_id()))
     vocabulary = C.durable(listed.select(F.explode("words").alias("word")).distinct())
     said = docs.select(F.explode(_hashes(F.col(f"`{text}`"))).alias("word"))
-    known = _small(vocabulary.withColumn("known", F.col("word")))
-    counts = C.durable(said.join(known, "word", "left").groupBy("known").agg(F.count(F.lit(1)).alias("n")))
+    known = vocabulary.withColumn("known", F.col("word"))
+    if C.bounded(vocabulary, BROADCAST_ROWS):
+        met = said.join(F.broadcast(known), "word", "left").groupBy("known").agg(F.count(F.lit(1)).alias("n"))
+    else:  # words are counted before they meet the items' ones, so none fills a task
+        met = said.groupBy("word").agg(F.count(F.lit(1)).alias("n")).join(known, "word", "left").groupBy("known").agg(F.sum("n").alias("n"))
+    counts = C.durable(met)
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] + 1.0
     placed = listed.select("item", F.posexplode("words").alias("at", "known")).join(counts, "known", "left")
     logs = placed.select("item", "at", F.log((F.coalesce("n", F.lit(0)) + 0.5) / total).alias("p"))
@@ -73,10 +81,10 @@ def seeds(docs: DataFrame, items: DataFrame, text: str = "text", n: int = SEED_W
             i.alias("at"),
         ),
     )
-    chosen = per.select("item", F.sort_array(spans).alias("s")).select(
-        "item", F.explode(F.filter("s", lambda x, k: (x["expected"] < float(np.log(RARE))) | (k < LEAST_SEEDS))).alias("x")
-    )
-    found = chosen.join(listed, "item").select("item", "item_id", "words", F.get(_grams(F.col("words"), n), F.col("x.at")).alias("gram"), F.col("x.at").alias("at"))
+    rare = lambda x, k: (x["expected"] < float(np.log(RARE))) | (k < LEAST_SEEDS)
+    marked = lambda x, k: F.struct(x["at"].alias("at"), rare(x, k).alias("rare"), ((x["expected"] < float(np.log(COMMON * total))) | (2 * k < F.size("s"))).alias("taken"))
+    chosen = per.select("item", F.sort_array(spans).alias("s")).select("item", F.explode(F.transform("s", marked)).alias("x")).filter("x.taken or x.rare")
+    found = chosen.join(listed, "item").select("item", "item_id", "words", F.get(_grams(F.col("words"), n), F.col("x.at")).alias("gram"), F.col("x.at").alias("at"), F.col("x.rare").alias("rare"))
     return C.durable(found)
 
 
@@ -96,10 +104,15 @@ def regions(docs: DataFrame, seeded: DataFrame, doc_id: str = "doc_id", text: st
     body = F.col(f"`{text}`")
     grams = docs.select(*_row_key(F.col(f"`{doc_id}`"), body), C.let(_hashes(body), lambda h: _grams(h, n)).alias("grams"))
     said = grams.select("doc_id", "text_key", F.posexplode("grams").alias("pos", "gram"))
-    slim = seeded.select("gram", "item", "at", F.size("words").alias("length"))
-    met = said.join(_small(slim), "gram")
+    slim = seeded.select("gram", "item", "at", "rare", F.size("words").alias("length"))
+    if C.bounded(slim, BROADCAST_ROWS):
+        met = said.join(F.broadcast(slim), "gram")
+    else:  # only n-grams in a bucket of a seed are shuffled
+        near = F.broadcast(slim.select(C.bucket("gram").alias("__bucket")).distinct())
+        met = said.withColumn("__bucket", C.bucket("gram")).join(near, "__bucket", "left_semi").drop("__bucket").join(slim, "gram")
     slot = F.floor((F.col("pos") - F.col("at")) / F.col("length")).cast("int")
-    return met.groupBy("doc_id", "text_key", "item", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n_seeds"))
+    found = met.groupBy("doc_id", "text_key", "item", slot.alias("slot")).agg(F.count(F.lit(1)).alias("n_seeds"), F.max("rare").alias("rare"))
+    return found.filter("rare or n_seeds > 1").drop("rare")
 
 
 def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
@@ -153,7 +166,7 @@ def keep_clean(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     body, own = F.col(f"`{text}`"), F.col(f"`{doc_id}`")
     id_key = C.row_key(F.col("doc_id"), F.lit(""))[0]
     found = C.durable(matches(docs, items, doc_id, text).select(id_key, F.col("text_key").alias("__text")).distinct())
-    return C.anti_join_few(docs.select("*", *C.row_key(own, body)), found, ["__id", "__text"]).drop("__id", "__text")
+    return C.unpacked(C.anti_join_few(C.packed(docs, *C.row_key(own, body)), found, ["__id", "__text"]), docs.columns)
 
 
 def query(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -208,6 +208,32 @@ def test_decontamination(spark, docs, rows):
     assert got[(500, 0)] == 1.0 and 0.7 < got[(501, 1)] < 1.0
 
 
+@pytest.mark.parametrize("bound", [1_000_000, 0])
+def test_decontamination_of_edited_copies(spark, monkeypatch, bound):
+    """All pairs by exhaustive alignment: every fourth word replaced, and a quarter at random; with and without broadcasts."""
+    monkeypatch.setattr(decontamination, "BROADCAST_ROWS", bound)
+    rng = random.Random(9)
+    items = [(k, prose(rng, rng.randrange(14, 21))) for k in range(30)]
+    texts = {}
+    for k, text in items:
+        for d, hit in ((1000 + k, lambda i: i % 4 == 3), (2000 + k, lambda i: rng.random() < 0.25)):
+            texts[d] = prose(rng, 30) + " " + " ".join("edit" if hit(i) else w for i, w in enumerate(text.split())) + " " + prose(rng, 30)
+    want = set()
+    for d, text in texts.items():
+        said = np.array([hash(w) for w in text.split()])
+        for k, item in items:
+            asked = np.array([hash(w) for w in item.split()])
+            if decontamination.smith_waterman(asked, said)[0] >= decontamination.SCORE * 2 * len(asked):
+                want.add((d, k))
+    assert {(1000 + k, k) for k, _ in items} <= want
+    docs = spark.createDataFrame([(d, t) for d, t in texts.items()], "doc_id long, text string").withColumns({"__id": F.lit(1), "__text": F.lit(2), "row": F.lit(3)})
+    table = spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontamination.query(docs, table).collect()}
+    assert got <= want and {p for p in want if p[0] < 2000} <= got and len(got) >= 0.95 * len(want)
+    clean = decontamination.keep_clean(docs, table)
+    assert clean.columns == docs.columns and {r["doc_id"] for r in clean.collect()} == set(texts) - {d for d, _ in got}
+
+
 def test_smith_waterman():
     def slow(a, b):
         h = np.zeros((len(a) + 1, len(b) + 1))
