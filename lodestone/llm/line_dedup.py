@@ -119,10 +119,15 @@ def line_dedup(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wind
     return out.select(*same, *[v.alias(k) for k, v in added.items()])
 
 
-def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with its columns as they came and repeated runs of lines cut from the text."""
+def without_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", keep_emptied: bool = True) -> DataFrame:
+    """`docs` with its columns as they came and repeated runs of lines cut from the text.
+
+    A row that loses every line with a word stands whole in others; it goes if `keep_emptied` is false.
+    """
     names = docs.columns
     out = line_dedup(docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text")))
+    if not keep_emptied:
+        out = out.filter("n_removed = 0 or n_removed < n_lines")
     return out.select(*[(F.col("text") if c == text else F.col("row")[c]).alias(c) for c in names])
 
 
