@@ -13,8 +13,8 @@ def reject_poor(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def cut_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without runs of lines that stand earlier elsewhere."""
-    return line_dedup.without_repeats(docs)
+    """Documents without runs of lines that stand earlier elsewhere; those of which nothing is left go."""
+    return line_dedup.without_repeats(docs, keep_emptied=False)
 
 
 def keep_one_of_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
