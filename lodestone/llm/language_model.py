@@ -31,6 +31,7 @@ from __future__ import annotations
 import heapq
 from collections import Counter
 from collections.abc import Iterator
+from copy import copy
 from itertools import chain, repeat
 
 import numpy as np
@@ -128,7 +129,11 @@ class Vocabulary:
         for t, n in ranked:
             mass[spelt(t)] -= n + 0.5
         self.log_mass = np.log(np.maximum(mass, 0.5))
-        slot = self.slots(np.arange(self.n_head))
+        code = np.arange(self.n_head + SPELLINGS)
+        tail = self.n_single + (code - self.n_single) // BIN
+        inner = np.where(code < self.n_single, code, tail)
+        self.slot_of = np.where(code < self.n_head, inner, code - self.n_head + self.n_slots).astype(np.int32)
+        slot = self.slot_of[: self.n_head]
         of_slot = np.bincount(slot, c + 0.5, self.n_slots)
         of_class = np.concatenate([np.bincount(np.arange(self.n_slots) // CLASS_SIZE, of_slot, self.n_classes), np.exp(self.log_mass)])
         self.class_bias = np.log(of_class / of_class.sum())
@@ -137,8 +142,13 @@ class Vocabulary:
 
     def slots(self, codes: np.ndarray) -> np.ndarray:
         """The slot of each code; spelling classes come after the slots."""
-        inner = np.where(codes < self.n_single, codes, self.n_single + (codes - self.n_single) // BIN)
-        return np.where(codes < self.n_head, inner, codes - self.n_head + self.n_slots)
+        return self.slot_of[codes]
+
+    def without_words(self) -> Vocabulary:
+        """A copy for workers that meet codes alone."""
+        other = copy(self)
+        other.ids = {}
+        return other
 
     def encode(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
         """Codes of the tokens and the end, and the tokens beyond the head."""
@@ -184,6 +194,18 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def _log_softmax_at(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """log P of `goal` in each row of the softmax of `states`, without the other probabilities."""
+    out, ones = np.empty(len(goal)), np.ones(weights.shape[1], dtype=states.dtype)
+    for k in range(0, len(goal), AT_ONCE):
+        x = states[k : k + AT_ONCE] @ weights
+        x += bias
+        said = x[np.arange(len(x)), goal[k : k + AT_ONCE]]
+        np.exp(x, out=x)
+        out[k : k + AT_ONCE] = said - np.log(x @ ones)
+    return out
+
+
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     x *= 0.5
     np.tanh(x, out=x)
@@ -195,7 +217,8 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class Network:
     """Gated recurrent unit over slots; class, slot and word softmax over states."""
 
-    def __init__(self, vocab: Vocabulary, weights: dict[str, np.ndarray] | None = None, calm: float = CALM[0], kind=np.float32):
+    def __init__(self, vocab: Vocabulary, weights: dict[str, np.ndarray] | None = None, calm: float | None = CALM[0], kind=np.float32):
+        """`calm`: sums of squares to start from; None for a network that only scores, which then shares `weights`."""
         rng = np.random.default_rng(7)
         h, v = HIDDEN, vocab
         n_in, n_out = v.n_slots + SPELLINGS + 1, v.n_classes + SPELLINGS
@@ -212,8 +235,8 @@ class Network:
             "leaves": np.zeros((v.n_bins, h, BIN)),
             "leaf_bias": v.leaf_bias,
         }
-        self.p = {k: np.array(w, dtype=kind) for k, w in made.items()}
-        self.squares = {k: np.full_like(w, LEAF_CALM if k.startswith("leaf") or k == "leaves" else calm) for k, w in self.p.items()}
+        self.p = {k: np.array(w, dtype=kind, copy=None if calm is None else True) for k, w in made.items()}
+        self.squares = {} if calm is None else {k: np.full_like(w, LEAF_CALM if k.startswith("leaf") or k == "leaves" else calm) for k, w in self.p.items()}
 
     def run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         """States after each step of `x` (steps, lanes); `fresh` resets a lane before the step."""
@@ -239,27 +262,22 @@ class Network:
 
     def log_p(self, states: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """log P of each slot: its class, and the slot in the class."""
-        group, p = self.split(slot), np.empty(len(slot))
-        for k in range(0, len(slot), AT_ONCE):
-            part = group[k : k + AT_ONCE]
-            p[k : k + AT_ONCE] = _softmax(states[k : k + AT_ONCE] @ self.p["classes"] + self.p["class_bias"])[np.arange(len(part)), part]
+        group = self.split(slot)
+        p = _log_softmax_at(states, self.p["classes"], self.p["class_bias"], group)
         order, spans = _by(group, self.n_classes)
-        states, slot, inner = states[order], slot[order], np.ones(len(slot))
         for c, a, b in spans:
-            inner[a:b] = _softmax(states[a:b] @ self.p["slots"][c] + self.p["slot_bias"][c])[np.arange(b - a), slot[a:b] - c * CLASS_SIZE]
-        p[order] *= inner
-        return np.log(np.maximum(p, 1e-300))
+            at = order[a:b]
+            p[at] += _log_softmax_at(states[at], self.p["slots"][c], self.p["slot_bias"][c], slot[at] - c * CLASS_SIZE)
+        return p
 
     def log_leaf(self, states: np.ndarray, place: np.ndarray) -> np.ndarray:
         """log P of each word in its bin; `place` counts words from the first bin on."""
         p = np.empty(len(place))
         order, spans = _by(place // BIN, self.vocab.n_bins)
-        states, place = states[order], place[order]
-        inner = np.empty(len(place))
         for k, a, b in spans:
-            inner[a:b] = _softmax(states[a:b] @ self.p["leaves"][k] + self.p["leaf_bias"][k])[np.arange(b - a), place[a:b] - k * BIN]
-        p[order] = inner
-        return np.log(np.maximum(p, 1e-300))
+            at = order[a:b]
+            p[at] = _log_softmax_at(states[at], self.p["leaves"][k], self.p["leaf_bias"][k], place[at] - k * BIN)
+        return p
 
     def gradients(self, x: np.ndarray, fresh: np.ndarray, slot: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
         """Of the mean loss of class and slot over one window, -1 being no target; and the states."""
@@ -275,7 +293,9 @@ class Network:
         dh, turned = np.empty_like(flat), np.ascontiguousarray(self.p["classes"].T)
         for k in range(0, len(goal), AT_ONCE):
             s, part = flat[k : k + AT_ONCE], group[k : k + AT_ONCE]
-            d = _softmax(s @ self.p["classes"] + self.p["class_bias"])
+            d = s @ self.p["classes"]
+            d += self.p["class_bias"]
+            _softmax(d)
             d[np.arange(len(part)), part] -= 1
             if not live[k : k + AT_ONCE].all():
                 d[~live[k : k + AT_ONCE]] = 0
@@ -285,10 +305,13 @@ class Network:
         order, spans = _by(np.where(live, group, self.n_classes), self.n_classes)
         s, inner = flat[order], np.zeros_like(flat)
         goal = goal[order]
-        for c, a, b in spans:
-            e = _softmax(s[a:b] @ self.p["slots"][c] + self.p["slot_bias"][c])
+        for c, a, b in ((c, k, min(k + AT_ONCE, b)) for c, a, b in spans for k in range(a, b, AT_ONCE)):
+            e = s[a:b] @ self.p["slots"][c]
+            e += self.p["slot_bias"][c]
+            _softmax(e)
             e[np.arange(b - a), goal[a:b] - c * CLASS_SIZE] -= 1
-            g["slots"][c], g["slot_bias"][c] = s[a:b].T @ e, e.sum(0)
+            g["slots"][c] += s[a:b].T @ e
+            g["slot_bias"][c] += e.sum(0)
             inner[a:b] = e @ self.p["slots"][c].T
         dh[order] += inner
         dh *= scale
@@ -329,11 +352,13 @@ class Network:
     def learn_leaves(self, states: np.ndarray, place: np.ndarray) -> None:
         """One step of the words of each bin that `place` meets."""
         order, spans = _by(place // BIN, self.vocab.n_bins)
-        states, place = states[order], place[order]
         for k, a, b in spans:
-            s = states[a:b]
-            e = _softmax(s @ self.p["leaves"][k] + self.p["leaf_bias"][k])
-            e[np.arange(b - a), place[a:b] - k * BIN] -= 1
+            at = order[a:b]
+            s = states[at]
+            e = s @ self.p["leaves"][k]
+            e += self.p["leaf_bias"][k]
+            _softmax(e)
+            e[np.arange(b - a), place[at] - k * BIN] -= 1
             e /= b - a
             self._move("leaves", k, s.T @ e)
             self._move("leaf_bias", k, e.sum(0))
@@ -405,7 +430,7 @@ def train_chunk(net: Network, texts: list[np.ndarray], met: dict[str, np.ndarray
     fresh = np.zeros(len(code), dtype=bool)
     fresh[np.cumsum([0] + [len(t) for t in texts[:-1]])] = True
     slot = vocab.slots(code)
-    x = np.concatenate(([net.start], slot[:-1]))
+    x = np.concatenate((np.full(1, net.start, dtype=np.int32), slot[:-1]))
     x[fresh] = net.start
     met["all"] += len(code)
     met["inputs"] += np.bincount(x, minlength=len(met["inputs"]))
@@ -527,25 +552,30 @@ def score_texts(net: Network, texts: list[np.ndarray]) -> np.ndarray:
         goal[lane[k], begin[k] : begin[k] + lengths[k]] = codes
         doc[lane[k], begin[k] : begin[k] + lengths[k]] = k
         fresh[lane[k], begin[k]] = True
-    x = np.concatenate([np.full((lanes, 1), net.start, dtype=np.int32), vocab.slots(np.maximum(goal[:, :-1], 0)).astype(np.int32)], axis=1)
-    x[fresh] = net.start
-    goal, doc, fresh, x = (np.ascontiguousarray(a.T) for a in (goal, doc, fresh, x))
+    goal, doc, fresh = (np.ascontiguousarray(a.T) for a in (goal, doc, fresh))
     out = np.zeros(len(texts))
     h = np.zeros((lanes, HIDDEN), dtype=net.kind)
+    before = np.full((1, lanes), net.start, dtype=np.int32)
     ahead = max(STEPS, BLOCK // lanes)
-    rare = []
+    rare, n_rare = [], 0
     for t in range(0, width, ahead):
-        states, _ = net.run(x[t : t + ahead], fresh[t : t + ahead], h, False)
-        h = states[-1]
-        now, whose = goal[t : t + ahead], doc[t : t + ahead]
+        now, whose, first = goal[t : t + ahead], doc[t : t + ahead], fresh[t : t + ahead]
+        slot = vocab.slots(now)
+        x = np.concatenate([before, slot[:-1]])
+        x[first] = net.start
+        states, _ = net.run(x, first, h, False)
+        h, before = states[-1], slot[-1:]
         live = now >= 0
-        out += np.bincount(whose[live], net.log_p(states[live], vocab.slots(now[live])), len(texts))
+        out += np.bincount(whose[live], net.log_p(states[live], slot[live]), len(texts))
         tail = (now >= vocab.n_single) & (now < vocab.n_head)
         rare.append((states[tail], now[tail] - vocab.n_single, whose[tail]))
-    s, place, whose = (np.concatenate([r[k] for r in rare]) for k in range(3))
-    out += np.bincount(whose, net.log_leaf(s, place), len(texts))
-    beyond = goal >= vocab.n_head
-    out -= np.bincount(doc[beyond], vocab.log_mass[goal[beyond] - vocab.n_head], len(texts))
+        n_rare += len(rare[-1][1])
+        if n_rare >= 2 * BLOCK or t + ahead >= width:
+            s, place, text = (np.concatenate([r[k] for r in rare]) for k in range(3))
+            out += np.bincount(text, net.log_leaf(s, place), len(texts))
+            rare, n_rare = [], 0
+        beyond = now >= vocab.n_head
+        out -= np.bincount(whose[beyond], vocab.log_mass[now[beyond] - vocab.n_head], len(texts))
     return out
 
 
@@ -553,7 +583,7 @@ def _score(vocab_sent, weights_sent):
     """`model`, log P but for the counts of the tokens beyond the head."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        net = Network(vocab_sent.value, weights_sent.value)
+        net = Network(vocab_sent.value, weights_sent.value, None)
         for frame in frames:
             sizes = frame["n_tokens"].to_numpy()
             cut = np.cumsum(sizes) // CHUNK
@@ -571,9 +601,10 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     vocab_sent = spark.sparkContext.broadcast(vocab)
     per_round = parts_of(vocab.total)
     coded = encoded(docs, vocab_sent, per_round * ROUNDS)
-    weights_sent = spark.sparkContext.broadcast(fit(coded, vocab_sent, per_round))
+    codes_sent = spark.sparkContext.broadcast(vocab.without_words())
+    weights_sent = spark.sparkContext.broadcast(fit(coded, codes_sent, per_round))
     rows = coded.select("row", "doc_id", "held_out", "n_tokens", "base", "known", "codes")
-    scored = rows.mapInPandas(_score(vocab_sent, weights_sent), "row long, doc_id long, held_out boolean, n_tokens long, base double, known long, model double")
+    scored = rows.mapInPandas(_score(codes_sent, weights_sent), "row long, doc_id long, held_out boolean, n_tokens long, base double, known long, model double")
     rest = coded.select("row", F.explode("beyond").alias("token")).join(counted, "token", "left")
     rest = rest.groupBy("row").agg(F.sum(F.log(F.coalesce("c", F.lit(0)) + 0.5)).alias("rest"), F.count("c").alias("rest_known"))
     out = scored.join(rest, "row", "left").fillna(0, ["rest", "rest_known"])
