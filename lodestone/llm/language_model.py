@@ -241,9 +241,9 @@ class Network:
     def run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         """States after each step of `x` (steps, lanes); `fresh` resets a lane before the step."""
         n, tape = HIDDEN, []
-        states = np.empty((*x.shape, n), dtype=self.kind)
+        states, resets = np.empty((*x.shape, n), dtype=self.kind), fresh.any(1)
         for t in range(len(x)):
-            if fresh[t].any():
+            if resets[t]:
                 h = h * ~fresh[t][:, None]
             into = self.p["inputs"][x[t]]
             gates = _sigmoid(into[:, : 2 * n] + h @ self.p["recurrent"])
@@ -580,13 +580,16 @@ def score_texts(net: Network, texts: list[np.ndarray]) -> np.ndarray:
 
 
 def _score(vocab_sent, weights_sent):
-    """`model`, log P but for the counts of the tokens beyond the head."""
+    """`model`, log P but for the counts of the tokens beyond the head.
+
+    Texts of like length are scored together, so that few lanes wait for a long one.
+    """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         net = Network(vocab_sent.value, weights_sent.value, None)
         for frame in frames:
-            sizes = frame["n_tokens"].to_numpy()
-            cut = np.cumsum(sizes) // CHUNK
+            frame = frame.sort_values("n_tokens", kind="stable")
+            cut = np.cumsum(frame["n_tokens"].to_numpy()) // CHUNK
             parts = [score_texts(net, [np.frombuffer(c, dtype=np.int32) for c in frame["codes"][cut == k]]) for k in np.unique(cut)]
             yield frame.drop(columns=["codes"]).assign(model=np.concatenate(parts))
 
