@@ -153,7 +153,7 @@ class Vocabulary:
     def encode(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
         """Codes of the tokens and the end, and the tokens beyond the head."""
         said = tokens(text)
-        codes = np.array(list(map(self.ids.get, said, repeat(-1))), dtype=np.int32)
+        codes = np.fromiter(map(self.ids.get, said, repeat(-1)), dtype=np.int32, count=len(said))
         codes = np.append(codes, np.int32(0))
         beyond = [said[k] for k in np.flatnonzero(codes < 0)]
         codes[codes < 0] = [self.n_head + spelling_of(t) for t in beyond]
@@ -207,11 +207,11 @@ def _log_softmax_at(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, g
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
-    x *= 0.5
-    np.tanh(x, out=x)
+    """Of `x`, which is overwritten; MOST_WEIGHT keeps exp from overflowing."""
+    np.negative(x, out=x)
+    np.exp(x, out=x)
     x += 1
-    x *= 0.5
-    return x
+    return np.reciprocal(x, out=x)
 
 
 class Network:
@@ -246,8 +246,8 @@ class Network:
             if resets[t]:
                 h = h * ~fresh[t][:, None]
             into = self.p["inputs"][x[t]]
-            gates = _sigmoid(into[:, : 2 * n] + h @ self.p["recurrent"])
-            z, r = gates[:, :n], gates[:, n:]
+            gates = h @ self.p["recurrent"]
+            z, r = _sigmoid(into[:, :n] + gates[:, :n]), _sigmoid(into[:, n : 2 * n] + gates[:, n:])
             rh = r * h
             new = np.tanh(into[:, 2 * n :] + rh @ self.p["candidate"])
             if keep:
@@ -290,7 +290,7 @@ class Network:
         group = self.split(goal)
         scale = self.kind(1 / max(1, live.sum()))
         g = {k: np.zeros_like(self.p[k]) for k in ("classes", "class_bias", "slots", "slot_bias")}
-        dh, turned = np.empty_like(flat), np.ascontiguousarray(self.p["classes"].T)
+        dh, turned, ones = np.empty_like(flat), np.ascontiguousarray(self.p["classes"].T), np.ones(AT_ONCE, dtype=self.kind)
         for k in range(0, len(goal), AT_ONCE):
             s, part = flat[k : k + AT_ONCE], group[k : k + AT_ONCE]
             d = s @ self.p["classes"]
@@ -300,7 +300,7 @@ class Network:
             if not live[k : k + AT_ONCE].all():
                 d[~live[k : k + AT_ONCE]] = 0
             g["classes"] += s.T @ d
-            g["class_bias"] += d.sum(0)
+            g["class_bias"] += ones[: len(d)] @ d
             dh[k : k + AT_ONCE] = d @ turned
         order, spans = _by(np.where(live, group, self.n_classes), self.n_classes)
         s, inner = flat[order], np.zeros_like(flat)
@@ -311,35 +311,35 @@ class Network:
             _softmax(e)
             e[np.arange(b - a), goal[a:b] - c * CLASS_SIZE] -= 1
             g["slots"][c] += s[a:b].T @ e
-            g["slot_bias"][c] += e.sum(0)
+            g["slot_bias"][c] += ones[: b - a] @ e
             inner[a:b] = e @ self.p["slots"][c].T
         dh[order] += inner
         dh *= scale
         for v in g.values():
             v *= scale
         dh = dh.reshape(steps, lanes, n)
-        into = np.empty((steps, lanes, 3 * n), dtype=self.kind)
-        held, reset = (np.empty((steps, lanes, n), dtype=self.kind) for _ in range(2))
+        dz, dr, dn, held, reset = (np.empty((steps, lanes, n), dtype=self.kind) for _ in range(5))
+        to_z, to_r = self.p["recurrent"][:, :n].T.copy(), self.p["recurrent"][:, n:].T.copy()
         back = np.zeros((lanes, n), dtype=self.kind)
         for t in range(steps - 1, -1, -1):
             before, z, r, rh, new = tape[t]
             back = back + dh[t]
-            dn = back * (1 - z) * (1 - new * new)
-            drh = dn @ self.p["candidate"].T
-            row = into[t]
-            row[:, :n] = back * (before - new) * z * (1 - z)
-            row[:, n : 2 * n] = drh * before * r * (1 - r)
-            row[:, 2 * n :] = dn
+            closed = back * (1 - z)
+            np.multiply(closed, 1 - new * new, out=dn[t])
+            drh = dn[t] @ self.p["candidate"].T
+            np.multiply(closed * z, before - new, out=dz[t])
+            np.multiply(drh * rh, 1 - r, out=dr[t])
             held[t], reset[t] = before, rh
-            back = back * z + drh * r + row[:, : 2 * n] @ self.p["recurrent"].T
+            back = back * z + drh * r + dz[t] @ to_z + dr[t] @ to_r
             if fresh[t].any():
                 back = back * ~fresh[t][:, None]
-        spread = into.reshape(-1, 3 * n)
-        g["recurrent"] = held.reshape(-1, n).T @ spread[:, : 2 * n]
-        g["candidate"] = reset.reshape(-1, n).T @ spread[:, 2 * n :]
-        order = np.argsort(x.ravel(), kind="stable")
-        codes, first = np.unique(x.ravel()[order], return_index=True)
-        g["inputs"] = (codes, np.add.reduceat(spread[order], first, axis=0))
+        dz, dr, dn, held, reset = (a.reshape(-1, n) for a in (dz, dr, dn, held, reset))
+        g["recurrent"] = np.hstack((held.T @ dz, held.T @ dr))
+        g["candidate"] = reset.T @ dn
+        codes, n_in = x.ravel().astype(np.intp), len(self.p["inputs"])
+        met = np.flatnonzero(np.bincount(codes, minlength=n_in))
+        sums = [np.bincount(codes, w, n_in)[met] for d in (dz, dr, dn) for w in d.T]
+        g["inputs"] = (met, np.stack(sums, 1).astype(self.kind))
         return g, states
 
     def learn(self, x: np.ndarray, fresh: np.ndarray, slot: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -364,10 +364,10 @@ class Network:
             self._move("leaf_bias", k, e.sum(0))
 
     def _move(self, name: str, at, grad: np.ndarray) -> None:
-        grad = np.clip(grad, -0.1, 0.1)
+        grad = np.minimum(np.maximum(grad, -0.1), 0.1)
         self.squares[name][at] += grad * grad
         moved = self.p[name][at] - RATE * grad / np.sqrt(self.squares[name][at])
-        self.p[name][at] = np.minimum(moved, MOST_WEIGHT) if name.endswith("bias") else np.clip(moved, -MOST_WEIGHT, MOST_WEIGHT)
+        self.p[name][at] = np.minimum(moved if name.endswith("bias") else np.maximum(moved, -MOST_WEIGHT), MOST_WEIGHT)
 
 
 def _by(group: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
