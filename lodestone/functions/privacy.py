@@ -87,8 +87,16 @@ def personal_spans(text: Column) -> Column:
     return _each("array<struct<start:int,end:int,category:string>>", lambda t: [{"start": a, "end": b, "category": c} for a, b, c in spans(t)])(text)
 
 
+def scrub_json(raw: str) -> str:
+    """Canonical JSON of the scrubbed structure; what is no JSON, or is nested too deeply to parse, is scrubbed as text."""
+    try:
+        return json.dumps(scrub_structure(json.loads(raw)), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    except (ValueError, RecursionError):
+        return scrub(raw)
+
+
 def scrubbed_json(raw: Column) -> Column:
-    return _each("string", lambda t: json.dumps(scrub_structure(json.loads(t)), sort_keys=True, separators=(",", ":"), ensure_ascii=False))(raw)
+    return _each("string", scrub_json)(raw)
 
 
 def content_hash(raw: Column) -> Column:

@@ -21,6 +21,14 @@ def test_hashes(spark):
     assert privacy.receipt_summary(spark.createDataFrame([("a@b.co c@d.co",), ("x",)], "t string"), "t").collect()[0][1:] == (2, 1)
 
 
+def test_scrubbed_json(spark):
+    rows = ['{"b": "a@b.co", "token": "x"}', "no json, a@b.co", '{"cut": "a@b.co', "", None, "[" * 100_000 + "a@b.co"]
+    df = spark.createDataFrame([(r,) for r in rows], "j string")
+    got = [r[0] for r in df.select(privacy.scrubbed_json(F.col("j"))).collect()]
+    assert got[:5] == ['{"b":"[REDACTED:email]","token":"[REDACTED:credential]"}', "no json, [REDACTED:email]", '{"cut": "[REDACTED:email]', "", None]
+    assert got[5].endswith("[REDACTED:email]")
+
+
 def test_commands():
     assert commands.segments("cd x && pytest -q | tee 'a b'") == [["cd", "x"], ["pytest", "-q"], ["tee", "a b"]]
     assert commands.verification_kind("cd x; python -m pytest tests") == "test" and commands.verification_kind("echo 'open") is None
