@@ -7,7 +7,21 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..tables import table
-from . import decontamination, language_model, line_dedup, mixing, near_dedup, quality_classifier, quality_rules, secret_scan, substring_dedup, toxicity
+from . import (
+    decontamination,
+    divergence,
+    language_model,
+    line_dedup,
+    mixing,
+    near_dedup,
+    periodic_runs,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    substring_dedup,
+    token_counts,
+    toxicity,
+)
 
 
 def _over_documents(run: Callable[[DataFrame], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -26,6 +40,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_language_model": _over_documents(language_model.query),
         "op9_toxicity": lambda spark, d: toxicity.query(table(spark, d, "documents"), table(spark, d, "labels")),
         "op10_substring_dedup": _over_documents(substring_dedup.query),
+        "op11_periodic_runs": _over_documents(periodic_runs.query),
+        "op12_token_counts": _over_documents(token_counts.query),
+        "op13_source_divergence": _over_documents(divergence.query),
     }
 
 
@@ -35,4 +52,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_line_dedup": line_dedup.oracle(),
         "op6_secret_scan": secret_scan.oracle(),
         "op7_mixing": mixing.oracle(),
+        "op13_source_divergence": divergence.oracle(),
     }
