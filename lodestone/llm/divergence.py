@@ -33,9 +33,10 @@ from __future__ import annotations
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
+from operator import itemgetter
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -62,11 +63,11 @@ def prepared(docs: DataFrame, text: str = "text", lang: str = "lang", source: st
     return docs.select(empty(lang).alias("lang"), empty(source).alias("source"), empty(text).cast("binary").alias("body"))
 
 
-def _blocks(batches: Iterator[pd.DataFrame], block: int) -> Iterator[dict[str, dict[str, list[bytes]]]]:
+def _blocks(batches: Iterator[pa.RecordBatch], block: int) -> Iterator[dict[str, dict[str, list[bytes]]]]:
     """Delimited bodies by language and source: `block` bytes of them or one longer text."""
     held, size = {}, 0
     for batch in batches:
-        for lang, source, body in zip(batch["lang"], batch["source"], batch["body"], strict=True):
+        for lang, source, body in zip(*(batch.column(c).to_pylist() for c in ("lang", "source", "body")), strict=True):
             if size and size + len(body) > block:
                 yield held
                 held, size = {}, 0
@@ -76,12 +77,12 @@ def _blocks(batches: Iterator[pd.DataFrame], block: int) -> Iterator[dict[str, d
         yield held
 
 
-def _texts(terms: list[bytes]) -> list[str]:
-    return b" ".join(terms).decode().split(" ")
+def _same(value: str, n: int) -> pa.Array:
+    return pa.repeat(pa.scalar(value, pa.string()), n)
 
 
 def _documents_of_terms(block: int) -> Callable:
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _blocks(batches, block):
             for lang, sources in held.items():
                 n = Counter()
@@ -89,14 +90,15 @@ def _documents_of_terms(block: int) -> Callable:
                     for body in bodies:
                         n.update(set(body.split()))
                 if n:
-                    yield pd.DataFrame({"lang": [lang] * len(n), "term": _texts(list(n)), "n": list(n.values())})
+                    terms = pa.array(list(n.keys()), pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([_same(lang, len(n)), terms, pa.array(list(n.values()), pa.int64())], ["lang", "term", "n"])
 
     return count
 
 
 def vocabulary(rows: DataFrame, least: int = LEAST_DOCS, block: int = BLOCK) -> DataFrame:
     """lang and term of the terms that at least `least` documents of the language have."""
-    counted = rows.mapInPandas(_documents_of_terms(block), "lang string, term string, n long")
+    counted = rows.mapInArrow(_documents_of_terms(block), "lang string, term string, n long")
     return counted.groupBy("lang", "term").agg(F.sum("n").alias("n")).filter(F.col("n") >= least).select("lang", "term")
 
 
@@ -114,30 +116,31 @@ def bitmap(kept: DataFrame) -> np.ndarray:
 
 
 def _recount(kept: Broadcast, block: int) -> Callable:
-    def recount(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def recount(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        bits = kept.value
+        bits, number = kept.value, itemgetter(1)
         for held in _blocks(batches, block):
             for lang, sources in held.items():
-                own = list({t for bodies in sources.values() for body in bodies for t in body.split()})
-                start = zlib.crc32(f"{lang}\0".encode())
+                own = set()
+                for bodies in sources.values():
+                    for body in bodies:
+                        own.update(body.split())
+                own, start = list(own), zlib.crc32(f"{lang}\0".encode())
                 places = np.fromiter((zlib.crc32(t, start) % BITS for t in own), dtype=np.int64, count=len(own))
                 may = (bits[places >> 3] >> (places & 7)) & 1 == 1
-                terms = _texts([t for t, m in zip(own, may, strict=True) if m]) if may.any() else []
-                if not terms:
+                if not may.any():
                     continue
+                terms = pa.array(own, pa.binary()).filter(pa.array(may)).cast(pa.string())
                 automaton = ahocorasick.Automaton()
-                for k, t in enumerate(terms):
+                for k, t in enumerate(terms.to_pylist()):
                     automaton.add_word(f" {t} ", k)
                 automaton.make_automaton()
                 for source, bodies in sources.items():
                     text = f" {b' '.join(bodies).decode()} "
-                    n = np.bincount(np.fromiter((k for _, k in automaton.iter(text)), dtype=np.int64), minlength=len(terms))
+                    n = np.bincount(np.fromiter(map(number, automaton.iter(text)), dtype=np.int64), minlength=len(terms))
                     at = np.flatnonzero(n)
-                    if not len(at):
-                        continue
-                    yield pd.DataFrame({"lang": [lang] * len(at), "source": [source] * len(at), "term": [terms[k] for k in at], "count": n[at]})
+                    yield pa.RecordBatch.from_arrays([_same(lang, len(at)), _same(source, len(at)), terms.take(pa.array(at)), pa.array(n[at], pa.int64())], ["lang", "source", "term", "count"])
 
     return recount
 
@@ -145,23 +148,23 @@ def _recount(kept: Broadcast, block: int) -> Callable:
 def postings(rows: DataFrame, kept: DataFrame, block: int = BLOCK) -> DataFrame:
     """lang, source, term and count (above 0) of kept terms, by automata."""
     sent = rows.sparkSession.sparkContext.broadcast(bitmap(kept))
-    counted = rows.mapInPandas(_recount(sent, block), "lang string, source string, term string, count long")
+    counted = rows.mapInArrow(_recount(sent, block), "lang string, source string, term string, count long")
     return counted.groupBy("lang", "source", "term").agg(F.sum("count").alias("count")).join(kept, ["lang", "term"], "left_semi")
 
 
 def _share(count: Column, n: Column, v: Column) -> Column:
-    """1 + floor(10^9 (count + 1) / (n + v)), in decimals so that no count is too large."""
-    return F.when(n + v > 0, 1 + F.call_function("div", F.lit(SCALE).cast("decimal(10,0)") * (count + 1).cast("decimal(20,0)"), (n + v).cast("decimal(20,0)")))
+    """1 + floor(10^9 (count + 1) / (n + v)); in decimals where the product leaves a long."""
+    div = lambda a, b: F.call_function("div", a, b)
+    more = (count + 1).cast("long")
+    wide = div(F.lit(SCALE).cast("decimal(10,0)") * more.cast("decimal(19,0)"), (n + v).cast("decimal(19,0)"))
+    return F.when(n + v > 0, 1 + F.when(more < SCALE, div(F.lit(SCALE).cast("long") * more, n + v)).otherwise(wide))
 
 
 def _stray(p: Column, q: Column) -> Column:
+    """A long: shares are below 2^31. Over a vocabulary these sum to 10^9 (10^9 + V) + V at most, a long too."""
     return F.call_function("div", (p - q) * (p - q), q)
 
 
-def _total(value: Column) -> Column:
-    return F.sum(value.cast("decimal(38,0)"))
-
-
 def divergence(docs: DataFrame, least: int = LEAST_DOCS, best: int = BEST_TERMS, block: int = BLOCK) -> DataFrame:
     """lang, source, part ('pair' or 'term'), item, value, rank: see the module's text."""
     rows = prepared(docs)
@@ -189,17 +192,17 @@ def divergence(docs: DataFrame, least: int = LEAST_DOCS, best: int = BEST_TERMS,
     both = (
         a.select("lang", "term", "source", "p", "p0").join(b.hint("merge"), ["lang", "term"]).filter("source != item")
         .groupBy("lang", "source", "item")
-        .agg(_total(_stray(F.col("p"), F.col("q_p")) - _stray(F.col("p"), F.col("q_p0")) - _stray(F.col("p0"), F.col("q_p")) + _stray(F.col("p0"), F.col("q_p0"))).alias("part"))
+        .agg(F.sum(_stray(F.col("p"), F.col("q_p")) - _stray(F.col("p"), F.col("q_p0")) - _stray(F.col("p0"), F.col("q_p")) + _stray(F.col("p0"), F.col("q_p0"))).alias("part"))
     )
     histogram = C.durable(told.groupBy("lang", "source", "p", "p0").agg(F.count(F.lit(1)).alias("k")))
     others = groups.select("lang", F.col("source").alias("other"), F.col("p0").alias("other_p0"))
     one_sided = histogram.join(others, "lang").filter("source != other")
-    of_source = one_sided.groupBy("lang", "source", F.col("other").alias("item")).agg(_total(F.col("k") * _stray(F.col("p"), F.col("other_p0"))).alias("part"))
-    of_item = one_sided.groupBy("lang", F.col("other").alias("source"), F.col("source").alias("item")).agg(_total(F.col("k") * _stray(F.col("other_p0"), F.col("p"))).alias("part"))
+    of_source = one_sided.groupBy("lang", "source", F.col("other").alias("item")).agg(F.sum(F.col("k") * _stray(F.col("p"), F.col("other_p0"))).alias("part"))
+    of_item = one_sided.groupBy("lang", F.col("other").alias("source"), F.col("source").alias("item")).agg(F.sum(F.col("k") * _stray(F.col("other_p0"), F.col("p"))).alias("part"))
     g, h = groups.select("lang", "source", "v", "n_terms", "p0"), groups.select("lang", F.col("source").alias("item"), F.col("n_terms").alias("item_terms"), F.col("p0").alias("q_p0"))
     neither = F.when(F.col("v") > 0, (F.col("v") - F.col("n_terms") - F.col("item_terms")) * _stray(F.col("p0"), F.col("q_p0"))).otherwise(0)
-    rest = g.join(h, "lang").filter("source != item").select("lang", "source", "item", neither.cast("decimal(38,0)").alias("part"))
-    summed = rest.unionByName(both).unionByName(of_source).unionByName(of_item).groupBy("lang", "source", "item").agg(_total(F.col("part")).cast("long").alias("value"))
+    rest = g.join(h, "lang").filter("source != item").select("lang", "source", "item", neither.alias("part"))
+    summed = rest.unionByName(both).unionByName(of_source).unionByName(of_item).groupBy("lang", "source", "item").agg(F.sum("part").alias("value"))
     order = W.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
     pairs = summed.withColumns({"part": F.lit("pair"), "rank": F.row_number().over(order)})
 
