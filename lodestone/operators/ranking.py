@@ -87,69 +87,3 @@ def fair_turn(df: DataFrame, group: str, key: str, after: Column) -> DataFrame:
     """The next row of each group in key order after its last served `after`, from the start again at the end."""
     turn = F.row_number().over(W.partitionBy(group).orderBy(F.when(F.col(key) > after, 0).otherwise(1), key))
     return df.withColumn("__t", turn).filter("__t = 1").drop("__t")
-
-
-def random_planes(vector: Column, n_bits: int, size: int, seed: str) -> Column:
-    """Sign bits of `vector` against fixed random directions, as a long: near vectors share most of them."""
-    import hashlib
-
-    bits = []
-    for b in range(n_bits):
-        raw = b"".join(hashlib.sha256(f"{seed}:{b}:{k}".encode()).digest() for k in range(-(-size // 32)))
-        plane = F.array(*[F.lit(float(x) - 127.5) for x in raw[:size]])
-        dot = F.aggregate(F.zip_with(vector, plane, lambda x, y: x.cast("double") * y), F.lit(0.0), lambda s, x: s + x)
-        bits.append(F.when(dot > 0, F.lit(1 << b)).otherwise(F.lit(0)).cast("long"))
-    out = bits[0]
-    for b in bits[1:]:
-        out = out + b
-    return out
-
-
-def plane_rows(n_bits: int, size: int, seed: str) -> list[list[float]]:
-    """The directions of `random_planes` as numbers."""
-    import hashlib
-
-    raw = [b"".join(hashlib.sha256(f"{seed}:{b}:{k}".encode()).digest() for k in range(-(-size // 32)))[:size] for b in range(n_bits)]
-    return [[x - 127.5 for x in r] for r in raw]
-
-
-def near_by_tables(queries: DataFrame, vectors: DataFrame, key: str, vector: str, size: int, k: int, n_tables: int = 12, n_bits: int = 16, radius: int = 5, block: tuple[int, int] = (1024, 8192)) -> DataFrame:
-    """query, `key`, distance: about the `k` nearest rows to each of `queries` by cosine, itself among them, ties by key.
-
-    Every row meets every query, in blocks of bounded size. Rows within `radius` sign bits
-    of a query in one of `n_tables` tables get an exact distance. Null vectors and those
-    of no length have no neighbours.
-    """
-    import numpy as np
-    import pandas as pd
-
-    planes = np.array(plane_rows(n_tables * n_bits, size, "planes"))
-
-    def unit(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        x = np.stack([np.asarray(v, dtype=np.float64) for v in pdf[vector]])
-        long = np.linalg.norm(x, axis=1)
-        keys, x = pdf[key].to_numpy()[long > 0], x[long > 0] / long[long > 0, None]
-        return keys, x, np.where(x @ planes.T > 0, 1, -1).astype(np.float32)
-
-    def meet(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(asked) and len(rows):
-            (q_keys, q, q_signs), (r_keys, r, r_signs) = unit(asked), unit(rows)
-            for own, x, signs in zip(q_keys, q, q_signs, strict=True):
-                agree = (r_signs * signs).reshape(len(r), n_tables, n_bits).sum(axis=2)
-                close = np.flatnonzero((n_bits - agree <= 2 * radius).any(axis=1))
-                distance = np.round(1 - r[close] @ x, 6) + 0.0
-                best = np.lexsort((r_keys[close], distance))[:k]
-                out.append(pd.DataFrame({"query": own, key: r_keys[close][best], "distance": distance[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], key: [], "distance": []})
-
-    held = [df.select(key, vector).filter(F.col(vector).isNotNull()) for df in (queries, vectors)]
-    n_q, n_r = (max(1, -(-df.count() // b)) for df, b in zip(held, block, strict=True))
-    part = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    q = held[0].select(key, vector, part(n_q).alias("q"), every(n_r).alias("r"))
-    r = held[1].select(key, vector, every(n_q).alias("q"), part(n_r).alias("r"))
-    kind = dict(vectors.dtypes)[key]
-    met = q.groupBy("q", "r").cogroup(r.groupBy("q", "r")).applyInPandas(meet, f"query {kind}, {key} {kind}, distance double")
-    place = F.row_number().over(W.partitionBy("query").orderBy("distance", key))
-    return met.withColumn("place", place).filter(F.col("place") <= k).drop("place")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import filters, ranking, search
+from ..operators import filters, ranking, search, vectors
 from ..tables import table as T
 
 # Questions and what they mean on 2024-01-31 12:00.
@@ -160,9 +160,9 @@ def _closest(spark, d):
 
 
 def _approximate(spark, d):
-    """Neighbours of every fiftieth vector among all rows that share most sign bits with it in a table, exact distances."""
+    """Neighbours of every fiftieth vector by an inverted file of all rows."""
     v = T(spark, d, "embeddings")
-    return ranking.near_by_tables(v.filter("vec_id % 50 = 0"), v, "vec_id", "embedding", 64, 10)
+    return vectors.approximate(v.filter("vec_id % 50 = 0"), v, "vec_id", "embedding", 10).drop("place")
 
 
 def _reset_minutes(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import search as S
+from ..operators import vectors
 from ..tables import table as T
 
 TERMS = ["licensed", "license", "version", "public"]
@@ -19,19 +20,23 @@ def _bm25_all(spark, d):
     return S.bm25(T(spark, d, "documents"), "doc_id", "text", TERMS[:2] + ["the"], 20, every=False)
 
 
-def _query_vector(spark, d):
-    return list(T(spark, d, "embeddings").filter("vec_id = 7").select("embedding").first()[0])
-
-
 def _nearest(spark, d):
-    return S.nearest(T(spark, d, "embeddings"), "vec_id", "embedding", _query_vector(spark, d), 20)
+    """The 20 nearest of every fiftieth vector, from all rows."""
+    v = T(spark, d, "embeddings")
+    return vectors.exact(v.filter("vec_id % 50 = 0"), v, "vec_id", "embedding", 20).select("query", "vec_id", "distance")
 
 
 def _fused(spark, d):
-    docs = T(spark, d, "documents")
-    lexical = S.ranked(S.bm25(docs, "doc_id", "text", TERMS, 50), "doc_id", [F.desc("score"), F.col("doc_id")], "lexical", 0.7)
-    dense = S.ranked(_nearest(spark, d).withColumnRenamed("vec_id", "doc_id"), "doc_id", [F.col("distance"), F.col("doc_id")], "dense", 0.3)
-    return S.fuse([lexical, dense], "doc_id").orderBy(F.desc("score"), "doc_id").limit(30)
+    """For every fiftieth vector its neighbours, fused with the documents that answer the terms."""
+    v = T(spark, d, "embeddings")
+    asked = v.filter("vec_id % 50 = 0")
+    dense = vectors.exact(asked, v, "vec_id", "embedding", 20).select("query", F.col("vec_id").alias("doc_id"), F.col("place").alias("rank"))
+    lexical = S.ranked(S.bm25(T(spark, d, "documents"), "doc_id", "text", TERMS, 50), "doc_id", [F.desc("score"), F.col("doc_id")], "lexical", 0.7)
+    every = asked.select(F.col("vec_id").alias("query")).join(F.broadcast(lexical))  # 50 rows a query
+    legs = [every.select("query", "doc_id", "rank", "weight", "leg"), dense.withColumns({"weight": F.lit(0.3), "leg": F.lit("dense")})]
+    pair = F.struct("query", "doc_id").alias("pair")
+    fused = S.fuse([leg.select(pair, "rank", "weight", "leg") for leg in legs], "pair").select("pair.*", "score", "n_legs")
+    return fused.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy(F.desc("score"), "doc_id"))).filter("place <= 30")
 
 
 def _federated(spark, d):
@@ -94,7 +99,10 @@ f AS (SELECT term, count(*) AS df FROM t GROUP BY 1)
 SELECT doc_id, round(sum(ln((n - df + 0.5) / (df + 0.5) + 1) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))), 8) AS score
 FROM t JOIN f USING (term), s GROUP BY doc_id ORDER BY score DESC, doc_id LIMIT {k}
 """
-_NEAR = "SELECT vec_id, round(1 - list_cosine_similarity(CAST(embedding AS DOUBLE[]), (SELECT CAST(embedding AS DOUBLE[]) FROM embeddings WHERE vec_id = 7)), 6) AS distance FROM embeddings ORDER BY distance, vec_id LIMIT 20"
+_NEAR = """
+WITH p AS (SELECT a.vec_id AS query, b.vec_id, round(1 - list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 6) AS distance FROM embeddings a, embeddings b WHERE a.vec_id % 50 = 0)
+SELECT query, vec_id, distance FROM p QUALIFY row_number() OVER (PARTITION BY query ORDER BY distance, vec_id) <= 20
+"""
 _IN = ", ".join(f"'{t}'" for t in TERMS)
 _LEX = "regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_./#-]*')"
 _MEAS = f"""
@@ -113,7 +121,7 @@ QUERIES = {
     "top01_bm25": (_bm25, _BM25.format(terms=_IN, k=50)),
     "top01_bm25_common": (_bm25_all, _BM25.format(terms="'licensed', 'license', 'the'", k=20)),
     "jon21_nearest": (_nearest, _NEAR),
-    "top07_fusion": (_fused, f"WITH b AS ({_BM25.format(terms=_IN, k=50)}), v AS ({_NEAR}), l AS (SELECT doc_id, 0.7 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS p FROM b UNION ALL SELECT vec_id, 0.3 / (60 + row_number() OVER (ORDER BY distance, vec_id)) FROM v) SELECT doc_id, round(sum(p), 8) AS score, count(*) AS n_legs FROM l GROUP BY 1 ORDER BY score DESC, doc_id LIMIT 30"),
+    "top07_fusion": (_fused, f"WITH b AS ({_BM25.format(terms=_IN, k=50)}), v AS ({_NEAR}), q AS (SELECT DISTINCT query FROM v), l AS (SELECT query, doc_id, p FROM q, (SELECT doc_id, 0.7 / (60 + row_number() OVER (ORDER BY score DESC, doc_id)) AS p FROM b) UNION ALL SELECT query, vec_id, 0.3 / (60 + row_number() OVER (PARTITION BY query ORDER BY distance, vec_id)) FROM v), s AS (SELECT query, doc_id, round(sum(p), 8) AS score, count(*) AS n_legs FROM l GROUP BY 1, 2) SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, doc_id) AS place FROM s QUALIFY place <= 30"),
     "top13_federation": (_federated, "WITH p AS (SELECT *, count(*) OVER (PARTITION BY s_nationkey) AS n, round(1 / (1 + (s_suppkey % 400) / 180), 9) AS fresh, greatest(s_acctbal, 0) / 1000 AS lex FROM supplier) SELECT s_suppkey, fresh, round(0.45 * lex / (1 + lex) + 0.30 * (s_nationkey % 4) / 3 + 0.10 * fresh + 0.15 * least(n - 1, 3) / 3, 9) AS score FROM p"),
     "agg14_measures": (_measures, _MEAS),
     "agg15_strata": (_strata, f"SELECT query % 4 AS stratum, count(*) AS n, round(avg(ndcg), 6) AS ndcg, round(avg(mrr), 6) AS mrr FROM ({_MEAS}) GROUP BY GROUPING SETS ((query % 4), ())"),

@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import graphs, ingest, queues, tools
+from lodestone.operators import graphs, ingest, queues, tools, vectors
 from lodestone.plans import evidence
 
 SF = "/root/testdata/sf0.001"
@@ -72,3 +72,26 @@ def test_descendants_to_the_end(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(20)] + [(20, 5)], "parent int, child int")
     got = {r["node"]: r["depth"] for r in graphs.descendants(edges, spark.createDataFrame([(0,)], "root int")).collect()}
     assert got == {k: k for k in range(21)}
+
+
+def test_inverted_file_asks_few_cells_of_clustered_vectors(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.normal(size=(60, 32))
+    x = centres[rng.integers(0, 60, 6000)] + rng.normal(size=(6000, 32)) * 0.3
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(9000, None), (9001, [0.0] * 32)]
+    table = spark.createDataFrame(rows, "k long, v array<double>")
+    asked = table.filter("k % 50 = 0")
+    cells, probes = vectors.train(table, "k", "v")
+    placed = vectors.cells(table, "v", cells)
+    sizes = {r["cell"]: r["n"] for r in placed.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+    assert sum(sizes.values()) == 6000
+    met = sum(sizes[r["cell"]] for r in vectors.cells(asked, "v", cells, probes).collect())
+    assert met < 0.2 * 6000 * 120  # distances, of those of the exact scan
+    want, got = {}, {}
+    for into, found in ((want, vectors.exact(asked, table, "k", "v", 10, block=500)), (got, vectors.search(asked, placed, "k", "v", 10, cells, probes, block=40))):
+        for r in found.collect():
+            into.setdefault(r["query"], {})[r["k"]] = r["distance"]
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for q, found in want.items():
+        assert list(found) and set(found) == set(np.lexsort((np.arange(6000), (1 - unit @ unit[q]).round(6)))[:10].tolist())
+    assert len(want) == 120 and np.mean([len(set(want[q]) & set(got.get(q, {}))) / 10 for q in want]) >= 0.9
