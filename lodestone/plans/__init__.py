@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import derived, evidence, ingest, lifecycle, relational, search, searching, sequence, streams, text, tools
+from . import derived, evidence, ingest, lifecycle, relational, search, searching, sequence, storage, streams, text, tools
 
-_MODULES = (relational, sequence, text, search, searching, ingest, derived, evidence, lifecycle, streams, tools)
+_MODULES = (relational, sequence, text, search, searching, ingest, derived, evidence, lifecycle, storage, streams, tools)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
