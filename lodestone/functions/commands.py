@@ -39,22 +39,6 @@ def verification_kind(command: str) -> str | None:
     return None
 
 
-def status_rows(output: str) -> list[tuple[str, str, str]]:
-    """(kind, state, path) of a porcelain v2 status."""
-    out = []
-    for line in output.splitlines():
-        parts = line.split(" ")
-        if parts[0] == "1" and len(parts) >= 9:
-            out.append(("changed", parts[1], " ".join(parts[8:])))
-        elif parts[0] == "2" and len(parts) >= 10:
-            out.append(("renamed", parts[1], " ".join(parts[9:]).split("\t")[0]))
-        elif parts[0] == "u" and len(parts) >= 11:
-            out.append(("unmerged", parts[1], " ".join(parts[10:])))
-        elif parts[0] == "?":
-            out.append(("untracked", "??", " ".join(parts[1:])))
-    return out
-
-
 def kind_of(command: Column) -> Column:
     def run(s: pd.Series) -> pd.Series:
         return s.map(lambda x: None if x is None else verification_kind(x))
@@ -62,10 +46,38 @@ def kind_of(command: Column) -> Column:
     return F.pandas_udf(run, "string")(command)
 
 
-def status_of(output: Column) -> Column:
-    """array of struct(kind, state, path)."""
+#: A record of a porcelain v2 status by its first character: what it is, and where state and path stand.
+_RECORDS = (
+    ("1", "ordinary", r"(?s)^1 (\S+) (?:\S+ ){6}(.*)$"),
+    ("2", "rename_or_copy", r"(?s)^2 (\S+) (?:\S+ ){7}(.*)$"),
+    ("u", "unmerged", r"(?s)^u (\S+) (?:\S+ ){8}(.*)$"),
+    ("?", "untracked", r"(?s)^(\?) (.*)$"),
+    ("!", "ignored", r"(?s)^(!) (.*)$"),
+)
 
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: [{"kind": k, "state": st, "path": p} for k, st, p in status_rows(x or "")])
 
-    return F.pandas_udf(run, "array<struct<kind:string,state:string,path:string>>")(output)
+def status_of(output: Column) -> Column:
+    """array of struct(kind, state, path, original) of a porcelain v2 status whose records end with NUL.
+
+    A rename or copy is followed by a record that is its original path. Records that are cut short,
+    headers and the rest are left out; a null output has none.
+    """
+    kind = "struct<kind:string,state:string,path:string,original:string>"
+    records = F.split(F.coalesce(output, F.lit("")), "\0")
+    start = F.struct(F.lit(False).alias("moved"), F.array().cast(f"array<{kind}>").alias("out"))
+
+    def read(r: Column) -> Column:
+        found = F.lit(None).cast(kind)
+        for first, name, pattern in _RECORDS:
+            state, path = (F.regexp_extract(r, pattern, k) for k in (1, 2))
+            one = F.struct(F.lit(name).alias("kind"), state.alias("state"), path.alias("path"), F.lit(None).cast("string").alias("original"))
+            found = F.when(r.startswith(first + " ") & r.rlike(pattern), one).otherwise(found)
+        return found
+
+    def step(s: Column, r: Column) -> Column:
+        last, found = F.element_at(s["out"], -1), read(r)
+        named = F.struct(last["kind"].alias("kind"), last["state"].alias("state"), last["path"].alias("path"), r.alias("original"))
+        out = F.when(s["moved"], F.concat(F.slice(s["out"], 1, F.size(s["out"]) - 1), F.array(named))).when(found.isNull(), s["out"]).otherwise(F.array_append(s["out"], found))
+        return F.struct((~s["moved"] & F.coalesce(found["kind"] == "rename_or_copy", F.lit(False))).alias("moved"), out.alias("out"))
+
+    return F.aggregate(records, start, step, lambda s: s["out"])

@@ -7,10 +7,6 @@ from pyspark.sql import functions as F
 from ..operators import audits, passages
 from ..tables import table as T
 
-#: Items up to which the test items are broadcast.
-MOST_ITEMS = 100_000
-
-
 def _passages(spark, d):
     p = passages.passages(T(spark, d, "documents"), 64, 16)
     return p.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("first_token") + F.col("n_tokens")).alias("n_tokens"))
@@ -18,10 +14,12 @@ def _passages(spark, d):
 
 def _rebuilt(spark, d):
     """Documents that their passages or chunks do not give back: none."""
-    docs = T(spark, d, "documents").filter("text != ''")
-    cut = passages.rebuilt(passages.passages(docs, 64, 16), "end")
-    chunked = passages.rebuilt(passages.chunks(docs, 1000))
-    return audits.differing(docs, cut, "doc_id", "text").union(audits.differing(docs, chunked, "doc_id", "text"))
+    docs = T(spark, d, "documents")
+    known = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    whole = lambda built: known.select("doc_id").join(built, "doc_id", "left").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    cut = whole(passages.rebuilt(passages.passages(docs, 64, 16), "end"))
+    chunked = whole(passages.rebuilt(passages.chunks(docs, 1000)))
+    return audits.differing(known, cut, "doc_id", "text").union(audits.differing(known, chunked, "doc_id", "text"))
 
 
 def _chunks(spark, d):
@@ -50,15 +48,7 @@ def _set_scores(spark, d):
 
 
 def _contaminated(spark, d):
-    """Items that stand word for word in a document: candidates by their first five words, then containment."""
-    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
-    items = T(spark, d, "benchmark").select("item_id", norm("text").alias("q")).withColumn("key", F.array_join(F.slice(F.split("q", " "), 1, 5), " "))
-    docs = T(spark, d, "documents").select("doc_id", norm("text").alias("t")).withColumn("w", F.split("t", " "))
-    keys = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 4, F.lit(1))), lambda i: F.array_join(F.slice("w", i, 5), " "))
-    said = docs.select("doc_id", F.explode(F.array_distinct(keys)).alias("key"))
-    small = items.count() <= MOST_ITEMS
-    met = said.join(F.broadcast(items) if small else items, "key")
-    return met.select("doc_id", "item_id", "q").join(docs.select("doc_id", "t"), "doc_id").filter(F.contains("t", "q")).select("doc_id", "item_id")
+    return audits.contained(T(spark, d, "documents"), "doc_id", "text", T(spark, d, "benchmark"), "item_id", "text")
 
 
 QUERIES = {

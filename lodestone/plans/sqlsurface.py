@@ -1,17 +1,20 @@
-"""An open SQL surface over named views: one read-only statement, rows capped for the caller."""
+"""An open SQL surface over named views: one read-only statement, whose caller is told if there are more rows than it gives."""
 
 from __future__ import annotations
 
 import re
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 MOST_CHARS = 16_384
 MOST_ROWS = 10_000
 
 
 def run_program(spark: SparkSession, program: str, views: dict[str, DataFrame], most_rows: int = MOST_ROWS) -> DataFrame:
-    """The rows of `program`, a SELECT over `views` alone, at most `most_rows` of them.
+    """The rows of `program`, a SELECT over `views` alone, at most `most_rows` of them, and in each `complete`: whether
+    these are all. The views are gone afterwards; a program may not have a column `complete`.
 
     Spark's own parser reads the statement. Commands are refused, and so is every
     relation that is neither a view nor one of the statement's own WITH names.
@@ -30,4 +33,12 @@ def run_program(spark: SparkSession, program: str, views: dict[str, DataFrame],
         raise ValueError("only the views may be read")
     for name, df in views.items():
         df.createOrReplaceTempView(name)
-    return spark.sql(program).limit(most_rows)
+    try:
+        rows = spark.sql(program)  # names are resolved here, so the views need not stay
+    finally:
+        for name in views:
+            spark.catalog.dropTempView(name)
+    if "complete" in (c.lower() for c in rows.columns):
+        raise ValueError("the column complete is the surface's own")
+    held = rows.limit(most_rows + 1)  # the window is over that many rows at most
+    return held.withColumn("complete", F.count(F.lit(1)).over(W.partitionBy()) <= most_rows).limit(most_rows)

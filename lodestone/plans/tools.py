@@ -62,11 +62,14 @@ def _deep(spark, d):
 
 
 def _visible(spark, d):
-    """Turns as plain text and as envelopes of two shapes."""
-    t, k = F.col("text"), F.col("turn") % 3
+    """Turns as plain text and as envelopes of five shapes, with blocks, a bare message and a JSON string."""
+    t, k = F.col("text"), F.col("turn") % 6
     one = F.to_json(F.struct(F.struct(t.alias("content")).alias("message"), t.alias("text")))
     two = F.to_json(F.struct(F.struct(F.col("role").alias("message")).alias("payload"), t.alias("content")))
-    shown = tools.visible_text(F.when(k == 0, t).when(k == 1, one).otherwise(two))
+    block = lambda text: F.struct(F.lit("text").alias("type"), text.alias("text"))
+    three = F.to_json(F.struct(F.struct(F.array(block(t), block(F.lit("more")), block(t)).alias("content")).alias("message")))
+    four, five = F.to_json(F.struct(t.alias("message"))), F.substring(F.to_json(F.array(t)), F.lit(2), F.length(F.to_json(F.array(t))) - 2)
+    shown = tools.visible_text(F.when(k == 0, t).when(k == 1, one).when(k == 2, two).when(k == 3, three).when(k == 4, four).otherwise(five))
     return T(spark, d, "conversations").select("conv_id", "turn", F.md5(shown.cast("binary")).alias("md5"))
 
 
@@ -83,8 +86,9 @@ def _merged(spark, d):
 
 def _json_merge(spark, d):
     first = F.to_json(F.struct(F.get_json_object("props", "$.k").alias("k"), F.lit("props").alias("src")))
-    second = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.col("event_type").alias("k"), F.lit("y").alias("z"))))
-    m = tools.merged_json(first, second)
+    nested = F.struct(F.col("event_id").alias("n"), F.array(F.lit(1), F.lit(2)).alias("l"))
+    second = F.when(F.col("event_id") % 2 == 0, F.to_json(F.struct(F.col("event_type").alias("k"), F.lit("y").alias("z"), nested.alias("deep"))))
+    m = F.from_json(tools.merged_json(first, second), "map<string,string>")
     return T(spark, d, "events").select("event_id", F.array_join(F.transform(F.array_sort(F.map_entries(m)), lambda x: F.concat_ws("=", x["key"], x["value"])), ",").alias("merged"))
 
 
@@ -138,10 +142,10 @@ QUERIES = {
     "flt13_scope": (_scope, "SELECT CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 'source' WHEN NOT (o_orderdate BETWEEN '1995-01-01' AND '1997-12-31') THEN 'time' WHEN o_orderstatus = 'P' THEN 'state' ELSE 'in' END AS why, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys FROM orders GROUP BY 1"),
     "flt16_ranges": (_ranges, "SELECT conv_id, CAST(turn AS INT) AS turn, role, turn BETWEEN 3 AND 4 AS core, row_number() OVER (PARTITION BY conv_id ORDER BY turn BETWEEN 3 AND 4 DESC, turn) AS place FROM conversations WHERE turn BETWEEN 1 AND 6"),
     "udf06_deep_search": (_deep, f"SELECT doc_id, CAST({_COUNTS} AS BIGINT) AS score FROM (SELECT doc_id, lower(text) AS t FROM documents) WHERE {_COUNTS} > 0 ORDER BY score DESC, doc_id LIMIT 25"),
-    "prj04_visible_text": (_visible, "SELECT conv_id, turn, md5(CASE WHEN turn % 3 = 2 AND role <> text THEN role || chr(10) || text ELSE text END) AS md5 FROM conversations"),
+    "prj04_visible_text": (_visible, "SELECT conv_id, turn, md5(CASE WHEN trim(text, ' ' || chr(9) || chr(10) || chr(13)) = '' AND turn % 6 = 3 THEN 'more' WHEN turn % 6 = 2 AND role <> text THEN role || chr(10) || text WHEN turn % 6 = 3 AND text <> 'more' THEN text || chr(10) || 'more' ELSE text END) AS md5 FROM conversations"),
     "prj02_segments": (_segments, None),
     "agg26_merged_parts": (_merged, "WITH o AS (SELECT event_type, user_id, min(event_id) AS e FROM events GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY e, user_id) AS rn FROM o) SELECT event_type, string_agg(user_id, ',' ORDER BY rn) FILTER (WHERE rn <= 20) AS kept, greatest(count(*) - 20, 0) AS omitted FROM r GROUP BY 1"),
-    "jsn03_merge": (_json_merge, "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'k=' || event_type || ',src=props,z=y' ELSE 'k=' || json_extract_string(props, '$.k') || ',src=props' END AS merged FROM events"),
+    "jsn03_merge": (_json_merge, "SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'deep={\"l\":[1,2],\"n\":' || event_id || '},k=' || event_type || ',src=props,z=y' ELSE 'k=' || json_extract_string(props, '$.k') || ',src=props' END AS merged FROM events"),
     "jsn06_types": (_json_types, "SELECT CASE event_id % 7 WHEN 0 THEN 'number' WHEN 1 THEN 'string' WHEN 2 THEN 'boolean' WHEN 3 THEN 'null' WHEN 4 THEN 'object' WHEN 5 THEN 'array' ELSE 'number' END AS kind, count(*) AS n, min(event_id) AS first FROM events GROUP BY 1"),
     "mth06_sound_vectors": (_vectors, "SELECT vec_id, vec_id % 9 <> 0 AND vec_id % 7 <> 0 AND len(embedding) = 64 AS sound FROM embeddings"),
     "dte03_instants": (_instants, "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) + 36000 WHEN 1 THEN CAST(epoch(CAST(o_orderdate AS DATE)) AS BIGINT) + 28800 END AS s FROM orders"),

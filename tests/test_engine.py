@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import graphs, ingest, queues, tools, vectors
+from lodestone.operators import audits, graphs, ingest, queues, tools, vectors
 from lodestone.plans import evidence
 
 SF = "/root/testdata/sf0.001"
@@ -95,3 +95,30 @@ def test_inverted_file_asks_few_cells_of_clustered_vectors(spark):
     for q, found in want.items():
         assert list(found) and set(found) == set(np.lexsort((np.arange(6000), (1 - unit @ unit[q]).round(6)))[:10].tolist())
     assert len(want) == 120 and np.mean([len(set(want[q]) & set(got.get(q, {}))) / 10 for q in want]) >= 0.9
+
+
+def test_contained_items(spark):
+    texts = ["The quick  brown fox jumps over the lazy dog again", "xab cd efy", "alpha beta", None, "", "Ünder a bridge", "one two three four five six seven eight"]
+    said = ["quick brown fox jumps over the lazy", "ick brown fox jumps over the la", "ab cd ef", "ha be", "a", "", None, "lazy cat", "ünder", "two three four five six seven eight nine", "wo three fou", "bridge", "e q"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "d long, t string")
+    items = spark.createDataFrame(list(enumerate(said)), "i long, q string")
+    norm = lambda s: " ".join(s.lower().split())
+    want = {(d, i) for d, t in enumerate(texts) for i, q in enumerate(said) if t is not None and q is not None and norm(q) in norm(t)}
+    got = [tuple(r) for r in audits.contained(docs, "d", "t", items, "i", "q").collect()]
+    assert set(got) == want and len(got) == len(want)
+    assert audits.contained(docs, "d", "t", items.limit(0), "i", "q").count() == 0
+
+
+def test_visible_text(spark):
+    cases = {
+        '{"message":{"content":[{"type":"text","text":"hi"},{"type":"x"},{"content":[" ",{"text":"there"}]}]}}': "hi\nthere", '{"message":"hello"}': "hello", '"quoted"': "quoted", "plain {": "plain {",
+        "[1,2]": None, "12": None, "12 apples": "12 apples", " ": None, '{"a":1}': None, '{"payload":{"message":"m","content":"c"},"text":"m"}': "m\nc", "null": None, "NaN": "NaN", "{broken": "{broken",
+    }
+    rows = spark.createDataFrame([(k,) for k in cases] + [(None,)], "t string").select("t", tools.visible_text(F.col("t")).alias("v")).collect()
+    assert {r["t"]: r["v"] for r in rows} == {**cases, None: None}
+
+
+def test_merged_json_keeps_what_is_nested(spark):
+    rows = [('{"a":{"b":1},"k":1}', '{"k":[true,null],"z":"y"}'), ('{"a":1}', None), (None, None), ("[1]", '{"a":"1"}')]
+    got = [r[0] for r in spark.createDataFrame(rows, "x string, y string").select(tools.merged_json(F.col("x"), F.col("y"))).collect()]
+    assert got == ['{"a":{"b":1},"k":[true,null],"z":"y"}', '{"a":1}', "{}", '{"a":"1"}']

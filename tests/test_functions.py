@@ -32,7 +32,17 @@ def test_scrubbed_json(spark):
 def test_commands():
     assert commands.segments("cd x && pytest -q | tee 'a b'") == [["cd", "x"], ["pytest", "-q"], ["tee", "a b"]]
     assert commands.verification_kind("cd x; python -m pytest tests") == "test" and commands.verification_kind("echo 'open") is None
-    assert commands.status_rows("1 .M N... 1 1 1 a b some file.py\n? new\n2 R. N... 1 1 1 a b R100 to\tfrom") == [("changed", ".M", "some file.py"), ("untracked", "??", "new"), ("renamed", "R.", "to")]
+
+
+def test_status_records_end_with_nul(spark):
+    output = "# branch.oid 1\0001 .M N... 1 1 1 a b some\nodd file.py\0? new one\0002 R. N... 1 1 1 a b R100 to here\000from\tthere\0u UU N... 1 2 3 4 a b c both.py\0! out\0001 cut short\0"
+    (got,) = spark.createDataFrame([(output,)], "o string").select(commands.status_of(F.col("o"))).first()
+    assert [tuple(r) for r in got] == [
+        ("ordinary", ".M", "some\nodd file.py", None), ("untracked", "?", "new one", None), ("rename_or_copy", "R.", "to here", "from\tthere"),
+        ("unmerged", "UU", "both.py", None), ("ignored", "!", "out", None),
+    ]
+    rows = spark.createDataFrame([(None,), ("",), ("2 R. N... 1 1 1 a b R100 to",)], "o string").select(commands.status_of(F.col("o")).alias("s")).collect()
+    assert [len(r["s"]) for r in rows] == [0, 0, 1] and rows[2]["s"][0]["original"] is None
 
 
 def test_tokens_and_windows():

@@ -135,3 +135,10 @@ def test_sql_surface(spark):
     for bad in ("DROP TABLE docs", "SELECT * FROM parquet.`/etc/x`", "SELECT * FROM other", "CREATE VIEW v AS SELECT 1", "INSERT INTO docs SELECT 1"):
         with pytest.raises(ValueError):
             sqlsurface.run_program(spark, bad, views)
+    many = {"docs": spark.range(10_050).withColumnRenamed("id", "n")}
+    for program, n, complete in (("SELECT n FROM docs", 10_000, False), ("SELECT n FROM docs WHERE n < 10000", 10_000, True), ("SELECT n FROM docs WHERE n < 0", 0, None)):
+        rows = sqlsurface.run_program(spark, program, many).collect()
+        assert len(rows) == n and {r["complete"] for r in rows} == ({complete} if n else set())
+    assert [t.name for t in spark.catalog.listTables() if t.name == "docs"] == []
+    with pytest.raises(ValueError):
+        sqlsurface.run_program(spark, "SELECT n AS complete FROM docs", many)
