@@ -1,4 +1,4 @@
-"""Closure over parent and fork edges, by joins until nothing new comes."""
+"""Closure over parent and fork edges by doubling: strides of 1, 2, 4, ... edges, and reach put together from them."""
 
 from __future__ import annotations
 
@@ -7,28 +7,53 @@ from pyspark.sql import functions as F
 
 from ..scratch import durable
 
-#: Rounds after which the reached rows are written as one table.
-CONSOLIDATE = 8
+#: A table of strides may have so many rows a row of edges; then no longer strides are made.
+MOST_STRIDES = 4
+
+
+def strides(edges: DataFrame, most: int | None = None) -> list[DataFrame]:
+    """Tables (parent, child) of nodes that lie 1, 2, 4, ... edges apart, each the square of the one before.
+
+    They end where no walk is that long, beyond `most` edges or the number of edges, or
+    where squares grow beyond MOST_STRIDES times the edges: trees and chains have fewer
+    rows each time, graphs with many parents may have more.
+    """
+    out = [durable(edges.select("parent", "child").filter("parent != child").distinct())]
+    n = out[0].count()
+    while 1 << len(out) <= min(n, n if most is None else most):
+        a, b = out[-1].select("parent", F.col("child").alias("mid")), out[-1].select(F.col("parent").alias("mid"), "child")
+        twice = durable(a.join(b, "mid").select("parent", "child").filter("parent != child").distinct())
+        size = twice.count()
+        if not size or size > MOST_STRIDES * n:
+            break
+        out.append(twice)
+    return out
 
 
 def descendants(edges: DataFrame, roots: DataFrame, most_depth: int | None = None) -> DataFrame:
     """root, node, depth of all nodes below `roots` (root) along `edges` (parent, child), least depth; safe on cycles.
 
-    Runs until nothing new is reached, or to `most_depth` where that is asked for. Each
-    round is written once, so a lost executor costs a reread.
+    A shortest path is a number of longest strides and then one or none of each shorter
+    one, so a chain of n edges takes some 2 log n rounds. Only the longest stride is
+    repeated, until it reaches nothing new. Each round is written, so a lost executor
+    costs a reread.
     """
-    edges = durable(edges.select("parent", "child").distinct())
+    steps = strides(edges, most_depth)
     reached = durable(roots.select("root", F.col("root").alias("node"), F.lit(0).alias("depth")).distinct())
-    frontier, depth = reached, 0
-    while most_depth is None or depth < most_depth:
-        depth += 1
-        step = frontier.join(edges, F.col("node") == F.col("parent")).select("root", F.col("child").alias("node")).distinct()
-        frontier = durable(step.join(reached.select("root", "node"), ["root", "node"], "left_anti").withColumn("depth", F.lit(depth)))
+
+    def on(rows: DataFrame, k: int) -> DataFrame:
+        met = rows.join(steps[k], F.col("node") == F.col("parent")).select("root", F.col("child").alias("node"), (F.col("depth") + (1 << k)).alias("depth"))
+        return met if most_depth is None else met.filter(F.col("depth") <= most_depth)
+
+    frontier, top = reached, len(steps) - 1
+    while True:
+        new = on(frontier, top).groupBy("root", "node").agg(F.min("depth").alias("depth"))
+        frontier = durable(new.join(reached.select("root", "node"), ["root", "node"], "left_anti"))
         if frontier.isEmpty():
             break
-        reached = reached.unionByName(frontier)
-        if depth % CONSOLIDATE == 0:
-            reached = durable(reached)
+        reached = durable(reached.unionByName(frontier))
+    for k in range(top - 1, -1, -1):
+        reached = durable(reached.unionByName(on(reached, k)).groupBy("root", "node").agg(F.min("depth").alias("depth")))
     return reached
 
 

@@ -122,3 +122,33 @@ def test_merged_json_keeps_what_is_nested(spark):
     rows = [('{"a":{"b":1},"k":1}', '{"k":[true,null],"z":"y"}'), ('{"a":1}', None), (None, None), ("[1]", '{"a":"1"}')]
     got = [r[0] for r in spark.createDataFrame(rows, "x string, y string").select(tools.merged_json(F.col("x"), F.col("y"))).collect()]
     assert got == ['{"a":{"b":1},"k":[true,null],"z":"y"}', '{"a":1}', "{}", '{"a":"1"}']
+
+
+def test_closure_by_doubling_against_search_by_hand(spark):
+    rng = random.Random(7)
+    graphs_ = {
+        "chain with a shortcut": [(k, k + 1) for k in range(700)] + [(3, 500)],
+        "cycle": [(k, (k + 1) % 37) for k in range(37)] + [(5, 5)],
+        "many parents": [(rng.randrange(40), rng.randrange(40)) for _ in range(200)],
+        "tree": [(k // 2, k) for k in range(1, 300)],
+    }
+    for name, given in graphs_.items():
+        below = {}
+        for a, b in given:
+            below.setdefault(a, set()).add(b)
+        for most in (None, 5):
+            want = {}
+            for root in (0, 3, 999):
+                depth, at = {root: 0}, [root]
+                while at and (most is None or depth[at[0]] < most):
+                    new = [c for x in at for c in sorted(below.get(x, ())) if c not in depth]
+                    for x in dict.fromkeys(new):
+                        depth[x] = depth[at[0]] + 1
+                    at = list(dict.fromkeys(new))
+                want |= {(root, n): d for n, d in depth.items()}
+            edges, roots = spark.createDataFrame(given, "parent int, child int"), spark.createDataFrame([(0,), (3,), (999,), (0,)], "root int")
+            got = graphs.descendants(edges, roots, most).collect()
+            assert {(r["root"], r["node"]): r["depth"] for r in got} == want and len(got) == len(want), name
+    chain = graphs.strides(spark.createDataFrame([(k, k + 1) for k in range(700)], "parent int, child int"))
+    assert [s.count() for s in chain] == [701 - (1 << k) for k in range(10)]
+    assert graphs.descendants(spark.createDataFrame([], "parent int, child int"), roots).count() == 3
