@@ -5,7 +5,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
-from lodestone.operators import audits, graphs, ingest, queues, tools, vectors
+from lodestone.operators import audits, contextual, graphs, ingest, queues, tools, vectors
 from lodestone.plans import evidence
 
 SF = "/root/testdata/sf0.001"
@@ -152,3 +152,18 @@ def test_closure_by_doubling_against_search_by_hand(spark):
     chain = graphs.strides(spark.createDataFrame([(k, k + 1) for k in range(700)], "parent int, child int"))
     assert [s.count() for s in chain] == [701 - (1 << k) for k in range(10)]
     assert graphs.descendants(spark.createDataFrame([], "parent int, child int"), roots).count() == 3
+
+
+def test_passages_in_context(spark):
+    parts = [(1, k, n, t) for k, (n, t) in enumerate([(5, "opening zero"), (900, "opening one " + "x" * 300), (3, "two é"), (4, "three"), (2, "four"), (9, "five")])] + [(2, 0, 1, "日" * 4000)]
+    table = spark.createDataFrame(parts, "doc_id long, ordinal int, n_tokens int, text string")
+    lines = contextual.metadata_lines({"source": F.lit(" mail "), "branch": F.lit(None), "blank": F.lit("  ")})
+    out = {(r["doc_id"], r["ordinal"]): r for r in contextual.contextual(table, table.filter("doc_id = 1").select("doc_id").distinct().withColumn("lines", lines), most_tokens=30).collect()}
+    got = out[1, 3]["context_text"].split("\n")
+    # the second opening passage does not fit; the nearer ones after it do
+    assert got == ["[document context]", "source: mail", "[support passage 0]", "opening zero", "[support passage 2]", "two é", "[support passage 4]", "four", "[support passage 5]", "five", "[target passage 3]", "three"]
+    assert out[1, 3]["n_support"] == 4 and out[1, 1]["n_support"] == 0
+    alone = out[2, 0]["context_text"]
+    assert len(alone.encode()) <= contextual.MOST_BYTES and alone.count("日") > 2000 and contextual.LEFT_OUT in alone and "�" not in alone
+    tight = contextual.contextual(table, table.select("doc_id").limit(0).withColumn("lines", lines), most_bytes=560).collect()
+    assert all(len(r["context_text"].encode()) <= 560 for r in tight if r["doc_id"] == 1)
