@@ -215,7 +215,7 @@ def _seen(queries: DataFrame, rows: DataFrame) -> DataFrame:
 def search(chunks: DataFrame, queries: DataFrame, dense: DataFrame | None = None, limit: int = 10) -> DataFrame:
     """The `limit` best sessions of each query with terms: query, session, id, class, n_matched, fusion, legs, slot, place and the flags.
 
-    Legs in order: the same question in another session; for queries with identifiers the
+    Legs in order: the same question in other sessions, the first in each (`n_exact` of them); for queries with identifiers the
     first of three that is found; for the others `dense` (query, id, position: nearest
     chunks from any selector). Then rescues, each where what came before falls short:
     phrases (`ran_phrase`) if no question is the same and the sessions do not fill all
@@ -229,9 +229,14 @@ def search(chunks: DataFrame, queries: DataFrame, dense: DataFrame | None = None
     base = able.select("query", F.size("terms").alias("n_terms"), (F.size("ids") > 0).alias("has_identifier"))
 
     own = F.col("own").isNull() | (F.col("session") != F.col("own"))
-    same_key = able.select("query", "own", F.sha2(evidence_key(F.col("text")).cast("binary"), 256).alias("k"))
-    asked_before = chunks.filter("surface = 'user'").select("id", "session", F.sha2(evidence_key(F.col("text")).cast("binary"), 256).alias("k"))
-    question = _leg(best_of(index.scored(asked_before.join(same_key, "k").filter(own).select("query", "id")), ["query"], TOKEN_ROWS), "exact-question")
+    # copies of a question: the first in each session, as many as the leg has and the query's own; one score holds for all
+    key = F.sha2(evidence_key(F.col("text")).cast("binary"), 256).alias("k")
+    asking = able.select("query", "own", key)
+    copies = chunks.filter("surface = 'user'").select("id", "session", key).join(asking.select("k").distinct(), "k", "left_semi").groupBy("k", "session").agg(F.min("id").alias("id"))
+    copies = copies.withColumn("n", F.row_number().over(W.partitionBy("k").orderBy("id"))).filter(F.col("n") <= TOKEN_ROWS + 1).drop("n")
+    same = durable(copies.join(asking, "k").filter(own).select("query", "id", "session"))
+    score = index.scored(same.groupBy("query").agg(F.min("id").alias("id"))).select("query", "bm", "n_matched", "n_long", "surface")
+    question = _leg(best_of(same.join(score, "query"), ["query"], TOKEN_ROWS), "exact-question")
     named = index.named()
     first = W.partitionBy("query")
     named = named.filter("no < 3").withColumn("first", F.min("no").over(first)).filter(F.col("no") == F.col("first"))

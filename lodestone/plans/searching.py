@@ -108,7 +108,7 @@ _COLS = "query, id, leg, position, bm, n_matched, n_long"
 _SEARCH = f"""
 WITH {_BASE},
 base AS (SELECT query, n_terms, EXISTS (SELECT 1 FROM ids WHERE ids.query = nt.query) AS has_identifier FROM nt),
-eq AS (SELECT q.query, ch.id FROM q JOIN base USING (query) JOIN ch ON ch.surface = 'user' AND ch.session != q.own AND {_KEY.format('ch.text')} = {_KEY.format('q.text')}),
+eq AS (SELECT q.query, min(ch.id) AS id FROM q JOIN base USING (query) JOIN ch ON ch.surface = 'user' AND ch.session != q.own AND {_KEY.format('ch.text')} = {_KEY.format('q.text')} GROUP BY q.query, ch.session),
 l1 AS (SELECT query, id, 'exact-question' AS leg, {_TOP.format(by='query')} AS position, bm, n_matched, n_long FROM eq JOIN s USING (query, id) QUALIFY position <= 100),
 l2 AS (SELECT query, id, 'identifier' AS leg, {_TOP.format(by='query, no')} AS position, bm, n_matched, n_long FROM has_name JOIN s USING (query, id) WHERE no < 3 QUALIFY position <= 100 AND no = min(no) OVER (PARTITION BY query)),
 v AS (SELECT x.vec_id AS own, y.vec_id AS session, row_number() OVER (PARTITION BY x.vec_id ORDER BY round(1 - list_cosine_similarity(CAST(x.embedding AS DOUBLE[]), CAST(y.embedding AS DOUBLE[])), 6), y.vec_id) AS position FROM embeddings x, embeddings y WHERE x.vec_id IN (SELECT own FROM q) QUALIFY position <= 20),
