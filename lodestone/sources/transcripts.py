@@ -2,19 +2,35 @@
 
 from __future__ import annotations
 
+from urllib.parse import unquote
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import jsonl
+
 MOST_INPUT, MOST_OUTPUT = 2048, 4096
 
 
 def discover(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
-    """path, length, modified and fingerprint (ends of the content, and its size) of the files below `root`."""
+    """path, length, modified and fingerprint (ends of the content, and its size) of the files below `root`.
+
+    Of each file at most 8 KiB are read.
+    """
     files = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(root)
-    head, tail = F.substring("content", 1, 4096), F.substring(F.col("content"), -4096, 4096)
-    size = F.col("length").cast("string").cast("binary")
-    return files.select("path", "length", F.col("modificationTime").alias("modified"), F.sha2(F.concat(head, tail, size), 256).alias("fingerprint"))
+    named = files.select("path", "length", F.col("modificationTime").alias("modified"))
+
+    def ends(batches):
+        for batch in batches:
+            prints = []
+            for path, size in zip(batch["path"], batch["length"], strict=True):
+                system, place = jsonl.opened(unquote(path))
+                with system.open_input_file(place) as file:
+                    prints.append(jsonl.fingerprint(file, size))
+            yield batch.assign(fingerprint=prints)
+
+    return named.mapInPandas(ends, "path string, length long, modified timestamp, fingerprint string")
 
 
 def changes(before: DataFrame, now: DataFrame) -> DataFrame:
@@ -28,18 +44,14 @@ def changes(before: DataFrame, now: DataFrame) -> DataFrame:
     return met.select(F.coalesce("a.path", "b.path").alias("path"), change.alias("change"))
 
 
-def json_lines(spark: SparkSession, paths, schema: str) -> DataFrame:
-    """path, line (from 0 within a file's part), record and bad of each line; a last line without an end is left out.
+def json_lines(spark: SparkSession, path: str, schema: str, **options) -> DataFrame:
+    """path, line (the place of its first byte), raw, record and bad of each line; a last line without an end is left out.
 
-    Records that do not parse are kept as `raw`, so they can go to a side table.
+    Files are read in ranges, long ones by several tasks. Records that do not parse are
+    kept as `raw`, so they can go to a side table.
     """
-    whole = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(paths)
-    text = F.decode("content", "UTF-8")
-    lines = F.split(text, "\n", -1)
-    each = whole.select("path", F.posexplode(F.slice(lines, 1, F.size(lines) - 1)).alias("line", "raw")).filter(F.trim(F.col("raw")) != "")
-    read = each.withColumn("record", F.from_json("raw", schema, {"mode": "PERMISSIVE"}))
-    valid = F.try_parse_json(F.col("raw")).isNotNull() & F.startswith(F.trim(F.col("raw")), F.lit("{"))
-    return read.withColumn("bad", ~valid).withColumn("raw", F.when(F.col("bad"), F.col("raw")))
+    lines = jsonl.lines(spark, path, **options).filter("start is not null")
+    return jsonl.parsed(lines.select("path", F.col("start").alias("line"), "raw"), schema)
 
 
 def file_status(lines: DataFrame) -> DataFrame:
