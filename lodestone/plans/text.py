@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import redaction as R
 from ..functions import text as X
 from ..operators import scanning
 from ..tables import table as T
@@ -13,6 +14,19 @@ def _redacted(spark, d):
     return T(spark, d, "documents").select("doc_id", F.md5(X.redact(F.col("text")).cast("binary")).alias("md5"))
 
 
+def _secretless(spark, d):
+    """Whole texts without secrets, by line and to a fixpoint."""
+    clean = T(spark, d, "documents").select("doc_id", R.public_text(F.col("text")).alias("value"))
+    return clean.select("doc_id", F.md5(F.col("value").cast("binary")).alias("md5"), F.length("value").alias("n_chars"))
+
+
+def _policy(spark, d):
+    """The privacy policy's decision on each whole text, with its spans by category."""
+    decided = T(spark, d, "documents").select("doc_id", R.policy(F.col("text")).alias("p"))
+    tally = F.array_join(F.transform("p.categories", lambda c: F.concat_ws("=", c["category"], c["n"])), ",")
+    return decided.select("doc_id", "p.action", "p.reason", tally.alias("categories"), F.md5(F.col("p.value").cast("binary")).alias("md5"))
+
+
 def _entities(spark, d):
     e = T(spark, d, "documents").select("doc_id", F.explode(X.entities(F.col("text"))).alias("e"))
     return e.select("doc_id", "e.kind", "e.value")
@@ -111,6 +125,8 @@ _STOP = ", ".join(f"'{w}'" for w in X.STOPWORDS)
 
 QUERIES = {
     "str01_redact": (_redacted, f"SELECT doc_id, md5({_REDACT}) AS md5 FROM documents"),
+    "str01_fixpoint": (_secretless, None),
+    "str03_policy": (_policy, None),
     "str04_luhn": (_luhn, f"SELECT doc_id, number, ({_LUHN}) % 10 = 0 AS valid FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '\\b[0-9]{{16}}\\b')) AS number FROM documents)"),
     "str07_entities": (_entities, _ENT),
     "str08_terms": (_terms, f"WITH t AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_./#-]*') AS w FROM benchmark), u AS (SELECT item_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM t), f AS (SELECT item_id, x, min(i) AS i FROM u WHERE (length(x) > 2 OR regexp_matches(x, '[0-9]')) AND x NOT IN ({_STOP}) GROUP BY ALL) SELECT item_id, string_agg(x, ' ' ORDER BY i) AS terms FROM f GROUP BY 1"),
