@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import filters
+from ..operators import filters, selection
 from ..tables import table as T
 
 
@@ -188,13 +188,10 @@ def _revenue(spark, d):
 
 def _percentiles(spark, d):
     e = T(spark, d, "events")
-    return e.groupBy("event_type").agg(
-        F.round(F.percentile("value", F.lit(0.95)), 6).alias("p95"),
-        F.expr("percentile_disc(0.5) within group (order by value)").alias("p50_nearest"),
-        F.round(F.stddev_samp("value"), 6).alias("stdev"),
-        F.min("value").alias("least"),
-        F.max("value").alias("most"),
-    )
+    found = selection.percentiles(e, ["event_type"], "value", {"p95": 0.95}, {"p50_nearest": 0.5})
+    sums = e.groupBy("event_type").agg(F.round(F.stddev_samp("value"), 6).alias("stdev"), F.min("value").alias("least"), F.max("value").alias("most"))
+    found = found.withColumnRenamed("event_type", "kind")
+    return sums.join(found, F.col("event_type").eqNullSafe(F.col("kind")), "left").select("event_type", F.round("p95", 6).alias("p95"), "p50_nearest", "stdev", "least", "most")
 
 
 def _map_sums(spark, d):

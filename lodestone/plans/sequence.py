@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..operators import graphs, sequences, turns
+from ..operators import graphs, selection, sequences, turns
 from ..tables import table as T
 
 
@@ -61,9 +61,8 @@ def _newest(spark, d):
 
 
 def _quartiles(spark, d):
-    w = W.partitionBy("source")
-    ranked = T(spark, d, "documents").select("source", "doc_id", (F.row_number().over(w.orderBy("n_chars", "doc_id")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    return ranked.select("doc_id", "source", F.least(F.lit(3), F.floor(F.col("i") * 4 / F.col("n"))).alias("quartile"))
+    docs = T(spark, d, "documents").select("doc_id", "source", "n_chars")
+    return selection.buckets(docs, "source", "n_chars", "doc_id", 4).select("doc_id", "source", F.col("bucket").alias("quartile"))
 
 
 def _context(spark, d):
