@@ -1,6 +1,7 @@
 """Operators without SQL of their own, against brute force."""
 
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -60,6 +61,18 @@ def test_segments(spark):
         assert parts == want
 
 
+def test_segments_of_long_texts(spark):
+    """Work in proportion to the text: a fold over its segments that takes all its bytes at each step would need minutes."""
+    texts = ["a\n" * 1_500_000, "é日本語🙂\r" * 200_000]
+    began = time.monotonic()
+    got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(tools.segments(F.col("t"), 500)).collect()]
+    assert time.monotonic() - began < 60
+    assert ["".join(parts) for parts in got] == texts
+    sizes = [[len(p.encode()) for p in parts] for parts in got]
+    assert set(sizes[0][:-1]) == {500} and all(496 < n <= 500 for n in sizes[1][:-1])
+    assert spark.createDataFrame([(None,)], "t string").select(tools.segments(F.col("t"), 500)).first()[0] is None
+
+
 def test_live_below_a_long_chain(spark):
     """A tombstone reaches 200 rows below it; a cycle ends."""
     rows = [("s", "k0", True, None)] + [("s", f"k{k}", False, f"k{k - 1}") for k in range(1, 201)]
