@@ -28,6 +28,10 @@ ROUNDS = 12
 RECALL, TRIALS = 0.95, 400
 #: Rows of a block and queries that meet one at once.
 BLOCK, QUERIES = 8192, 1024
+#: Products of rows and centroids that are held at once, however many rows a batch has.
+PRODUCTS = 1 << 20
+#: Copies of rows, one a cell asked, that leave at once.
+COPIES = 1 << 13
 
 
 def unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
@@ -37,10 +41,20 @@ def unit(vectors: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return x / np.where(long > 0, long, 1)[:, None], long > 0
 
 
+def nearest_centres(x: np.ndarray, centres: np.ndarray, n: int = 1) -> np.ndarray:
+    """The `n` nearest centroids of each row, nearest first, ties by number; few rows at once, so memory follows neither rows nor cells."""
+    step = max(1, PRODUCTS // max(1, len(centres)))
+    near = [np.zeros((0, min(n, len(centres))), dtype=np.int64)]
+    for a in range(0, len(x), step):
+        products = x[a : a + step] @ centres.T
+        near.append(products.argmax(axis=1)[:, None] if n == 1 else np.argsort(-products, axis=1, kind="stable")[:, :n])
+    return np.concatenate(near)
+
+
 def _enough_probes(x: np.ndarray, centres: np.ndarray, k: int, recall: float) -> int:
     """Cells, nearest first, that hold `recall` of the `k` nearest others of sampled queries among the sample."""
     asked = np.linspace(0, len(x) - 1, min(TRIALS, len(x))).astype(int)
-    own = (x @ centres.T).argmax(axis=1)
+    own = nearest_centres(x, centres)[:, 0]
     order = np.argsort(np.argsort(-(x[asked] @ centres.T), axis=1, kind="stable"), axis=1)
     near = x[asked] @ x.T
     near[np.arange(len(asked)), asked] = -np.inf
@@ -63,7 +77,7 @@ def train(vectors: DataFrame, key: str, vector: str, k: int = 10, recall: float
         return np.zeros((0, 1)), 1
     centres = x[np.linspace(0, len(x) - 1, min(cells, len(x))).astype(int)].copy()
     for _ in range(ROUNDS):
-        near = (x @ centres.T).argmax(axis=1)
+        near = nearest_centres(x, centres)[:, 0]
         sums = np.zeros_like(centres)
         np.add.at(sums, near, x)
         long = np.linalg.norm(sums, axis=1)
@@ -78,8 +92,11 @@ def _nearest_cells(sent, vector: str, probes: int) -> Callable:
             x, long = unit(b[vector])
             b, x = b[long], x[long]
             if len(b) and len(centres):
-                near = np.argsort(-(x @ centres.T), axis=1, kind="stable")[:, :probes]
-                yield b.loc[b.index.repeat(near.shape[1])].assign(cell=near.ravel())
+                near = nearest_centres(x, centres, probes)
+                step = max(1, COPIES // near.shape[1])
+                for a in range(0, len(b), step):
+                    own, to = b.iloc[a : a + step], near[a : a + step]
+                    yield own.loc[own.index.repeat(to.shape[1])].assign(cell=to.ravel())
 
     return place
 
@@ -106,14 +123,14 @@ def search(queries: DataFrame, placed: DataFrame, key: str, vector: str, k: int,
     r = r.join(parts, ["cell", "block"])
 
     def meet(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out = []
+        out: list[tuple] = []
         if len(asked) and len(rows):
             (x, _), (y, _), keys = unit(asked[vector]), unit(rows[vector]), rows[key].to_numpy()
             for own, v in zip(asked[key], x, strict=True):
                 distance = np.round(1 - y @ v, 6) + 0.0
                 best = np.lexsort((keys, distance))[:k]
-                out.append(pd.DataFrame({"query": own, key: keys[best], "distance": distance[best]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": pd.Series(dtype=int), key: pd.Series(dtype=int), "distance": pd.Series(dtype=float)})
+                out.append((np.full(len(best), own), keys[best], distance[best]))
+        return pd.DataFrame(dict(zip(("query", key, "distance"), map(np.concatenate, zip(*out, strict=True)), strict=True))) if out else pd.DataFrame({"query": pd.Series(dtype=int), key: pd.Series(dtype=int), "distance": pd.Series(dtype=float)})
 
     met = q.groupBy("cell", "block", "part").cogroup(r.groupBy("cell", "block", "to")).applyInPandas(meet, f"query {kind}, {key} {kind}, distance double")
     return met.withColumn("place", F.row_number().over(W.partitionBy("query").orderBy("distance", key))).filter(F.col("place") <= k)

@@ -2,8 +2,11 @@
 
 import random
 import time
+import tracemalloc
+import types
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestone.operators import audits, contextual, graphs, ingest, queues, tools, vectors
@@ -110,6 +113,24 @@ def test_inverted_file_asks_few_cells_of_clustered_vectors(spark):
     assert len(want) == 120 and np.mean([len(set(want[q]) & set(got.get(q, {}))) / 10 for q in want]) >= 0.9
 
 
+def test_placing_rows_holds_few_products():
+    """A batch of 10,000 rows and 4,096 cells is placed in slices; the whole matrix and its order would be 655 MB."""
+    rng = np.random.default_rng(5)
+    x, centres = rng.normal(size=(10_000, 8)), rng.normal(size=(4096, 8))
+    tracemalloc.start()
+    one, three = vectors.nearest_centres(x, centres), vectors.nearest_centres(x[:600], centres, 3)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60e6
+    order = np.argsort(-(x[:600] @ centres.T), axis=1, kind="stable")
+    assert (three == order[:, :3]).all() and (one[:600, 0] == order[:, 0]).all()
+    assert vectors.nearest_centres(x[:0], centres, 2).shape == (0, 2)
+    sent = types.SimpleNamespace(value=centres)
+    asked = pd.DataFrame({"k": range(30), "v": list(x[:30])})
+    parts = list(vectors._nearest_cells(sent, "v", 1000)(iter([asked])))
+    assert max(map(len, parts)) <= vectors.COPIES and sorted(pd.concat(parts)["k"].value_counts()) == [1000] * 30
+
+
 def test_contained_items(spark):
     texts = ["The quick  brown fox jumps over the lazy dog again", "xab cd efy", "alpha beta", None, "", "Ünder a bridge", "one two three four five six seven eight"]
     said = ["quick brown fox jumps over the lazy", "ick brown fox jumps over the la", "ab cd ef", "ha be", "a", "", None, "lazy cat", "ünder", "two three four five six seven eight nine", "wo three fou", "bridge", "e q"]
