@@ -1,5 +1,6 @@
 import random
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestone.operators import ingest
@@ -27,6 +28,37 @@ def test_batches_equal_one_pass(spark, tmp_path):
     assert streaming.read_log(spark, log).count() == sizes[2]
 
 
+def test_a_key_costs_one_read_and_one_write():
+    """Calls of state follow keys, not contents; contents beyond those in the key's own row are asked one by one."""
+
+    class Counted(dict):
+        calls = 0
+
+        def getValue(self, k):  # noqa: N802
+            self.calls += 1
+            return self.get(k)
+
+        def updateValue(self, k, v):  # noqa: N802
+            self.calls += 1
+            self[k] = v
+
+        def containsKey(self, k):  # noqa: N802
+            self.calls += 1
+            return k in self
+
+    work = keyed.Revisions()
+    work.last, work.seen = Counted(), Counted()
+    rows = [(f"s{k % 50}", None, f"h{k % 10}", "c", k, None, False, None) for k in range(1000)]
+    batch = pd.DataFrame(rows, columns=[c for c in keyed.COLUMNS if c != "revision"])
+    (out,) = work.handleInputRows((0,), iter([batch[:300], batch[300:]]), None)
+    assert len(out) == 50 and work.last.calls == 100 and work.seen.calls == 0
+    wide = pd.DataFrame([("s0", None, f"w{k:03}", "c", k, None, False, None) for k in range(40)], columns=batch.columns)
+    for again in range(2):
+        got = list(work.handleInputRows((0,), iter([wide, wide]), None))
+        assert [r for b in got for r in b["revision"]] == ([] if again else list(range(2, 42)))
+    assert len(work.seen) == 41 - keyed.INLINE and len(work.last[("s0", None)][1]) == keyed.INLINE
+
+
 def test_forgotten_keys_stay_away(spark, tmp_path):
     rows = [("s", "k1", "a", 1, None, False, None), ("s", "k2", "a", 2, None, False, None)]
     spark.createDataFrame(rows, EVENTS).write.json(str(tmp_path / "in"))
