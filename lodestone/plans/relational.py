@@ -168,9 +168,20 @@ def _sets(spark, d):
 
 def _set_equality(spark, d):
     """Order keys against line keys, both ways; equal sets leave nothing."""
-    o, l = T(spark, d, "orders").select(F.col("o_orderkey").alias("k")), T(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")).distinct()
-    left, right = o.join(l, "k", "left_anti").select(F.lit("orders only").alias("side"), "k"), l.join(o, "k", "left_anti").select(F.lit("lines only").alias("side"), "k")
-    return left.union(right).groupBy("side").agg(F.count(F.lit(1)).alias("n"), F.sum("k").alias("total"))
+    return set_difference(T(spark, d, "orders").select(F.col("o_orderkey").alias("k")), T(spark, d, "lineitem").select(F.col("l_orderkey").alias("k")))
+
+
+def set_difference(orders, lines):
+    """Rows of `orders` and distinct keys of `lines` that the other side lacks, by `side`; a null key is lacked by either.
+
+    One grouping of both sides by key, so a task holds counts of its keys and sorts no rows.
+    """
+    both = orders.select("k", F.lit(1).alias("o"), F.lit(0).alias("l")).union(lines.select("k", F.lit(0), F.lit(1)))
+    per = both.groupBy("k").agg(F.sum("o").alias("o"), F.max("l").alias("l"))
+    left = F.when(F.col("k").isNull() | (F.col("l") == 0), F.struct(F.lit("orders only").alias("side"), F.col("o").alias("n")))
+    right = F.when(F.col("k").isNull() | (F.col("o") == 0), F.struct(F.lit("lines only").alias("side"), F.col("l").cast("long").alias("n")))
+    sides = per.select("k", F.explode(F.array_compact(F.array(left, right))).alias("s")).select("k", "s.*").filter("n > 0")
+    return sides.groupBy("side").agg(F.sum("n").alias("n"), F.sum(F.col("k") * F.col("n")).alias("total"))
 
 
 def _page(spark, d):

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestone.operators import audits, contextual, graphs, ingest, queues, tools, vectors
-from lodestone.plans import evidence
+from lodestone.plans import evidence, relational
 
 SF = "/root/testdata/sf0.001"
 
@@ -201,3 +201,12 @@ def test_passages_in_context(spark):
     assert len(alone.encode()) <= contextual.MOST_BYTES and alone.count("日") > 2000 and contextual.LEFT_OUT in alone and "�" not in alone
     tight = contextual.contextual(table, table.select("doc_id").limit(0).withColumn("lines", lines), most_bytes=560).collect()
     assert all(len(r["context_text"].encode()) <= 560 for r in tight if r["doc_id"] == 1)
+
+
+def test_set_difference_groups_once(spark):
+    """Both ways, repeated and null keys, against sets; no join, so no sort of either side."""
+    left, right = [1, 1, 2, 3, 3, None], [2, 2, 5, 5, 6, None, None]
+    got = relational.set_difference(*[spark.createDataFrame([(k,) for k in side], "k long") for side in (left, right)])
+    assert {tuple(r) for r in got.collect()} == {("orders only", 5, 8), ("lines only", 3, 11)}
+    assert "Join" not in got._jdf.queryExecution().toString()
+    assert relational.set_difference(*[spark.createDataFrame([(4,)], "k long")] * 2).count() == 0
