@@ -29,13 +29,14 @@ chunk is a chunk of its own.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from copy import copy
-from itertools import chain, repeat
+from itertools import repeat
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -63,7 +64,7 @@ FAN = 64
 #: Tokens that a worker holds at once, but for a longer document.
 CHUNK = 1_000_000
 #: States of one scoring block, and rows that meet a softmax at once, so that they stay in the cache.
-BLOCK, AT_ONCE = 65_536, 2_048
+BLOCK, AT_ONCE = 65_536, 1_024
 SPELLINGS = 16
 
 
@@ -86,22 +87,31 @@ def spelling_of(token: bytes) -> int:
     return _ENDS.get(token[-1], 0) + (0 if token.isascii() else 4) + (8 if len(token) > 6 else 0)
 
 
-def tokens(text: str | None) -> list[bytes]:
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
+    """Words of each text, all words as numbers, and the words that the numbers stand for; without the ends."""
+    texts = pc.ascii_trim_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    lists = pc.ascii_split_whitespace(texts)
+    size = pc.list_value_length(lists).to_numpy(zero_copy_only=False).copy()
+    said = lists.flatten()
+    if pc.any(pc.equal(pc.binary_length(texts), 0)).as_py():  # an empty text has no word
+        size[pc.equal(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False)] = 0
+        said = said.filter(pc.greater(pc.binary_length(said), 0))
+    coded = said.dictionary_encode()
+    return size, coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
 
 
-def _count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Counts of each batch, with the same tokens that scoring sees."""
-    for frame in frames:
-        c = Counter(chain.from_iterable(map(tokens, frame["text"])))
-        c[END.encode()] += len(frame)
-        yield pd.DataFrame({"token": [t.decode("utf-8", "surrogatepass") for t in c], "c": list(c.values())})
+    for batch in batches:
+        _, words, said = tokens(batch.column("text"))
+        c = np.append(np.bincount(said, minlength=len(words)), len(batch)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END])]), pa.array(c)], names=["token", "c"])
 
 
 def counts(docs: DataFrame) -> DataFrame:
     """token, c of the training documents (doc_id, text), the end included."""
     train = docs.filter(~held_out(F.col("doc_id"))).select(F.col("text").cast("string"))
-    return C.durable(train.mapInPandas(_count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c")))
+    return C.durable(train.mapInArrow(_count, "token string, c long").groupBy("token").agg(F.sum("c").alias("c")))
 
 
 class Vocabulary:
@@ -150,14 +160,13 @@ class Vocabulary:
         other.ids = {}
         return other
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, list[bytes]]:
-        """Codes of the tokens and the end, and the tokens beyond the head."""
-        said = tokens(text)
+    def codes(self, words: pa.Array) -> np.ndarray:
+        """The code of each of `words`."""
+        said = words.cast(pa.binary()).to_pylist()
         codes = np.fromiter(map(self.ids.get, said, repeat(-1)), dtype=np.int32, count=len(said))
-        codes = np.append(codes, np.int32(0))
-        beyond = [said[k] for k in np.flatnonzero(codes < 0)]
-        codes[codes < 0] = [self.n_head + spelling_of(t) for t in beyond]
-        return codes, beyond
+        beyond = np.flatnonzero(codes < 0)
+        codes[beyond] = [self.n_head + spelling_of(said[k]) for k in beyond.tolist()]
+        return codes
 
 
 def _padded(logs: np.ndarray, width: int) -> np.ndarray:
@@ -187,31 +196,41 @@ def vocabulary(counted: DataFrame) -> Vocabulary:
 MOST_WEIGHT = 3.0
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Probabilities of the rows of `x`, which is overwritten."""
-    np.exp(x, out=x)
-    x /= (x @ np.ones(x.shape[1], dtype=x.dtype))[:, None]
-    return x
+def _with_one(states: np.ndarray) -> np.ndarray:
+    """`states` with a column of ones, which meets the bias."""
+    out = np.ones((len(states), states.shape[1] + 1), dtype=states.dtype)
+    out[:, :-1] = states
+    return out
+
+
+def _with_bias(weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """The weights of one softmax, or of each, with the bias as their last row."""
+    return np.concatenate((weights, bias[..., None, :]), axis=-2)
 
 
-def _log_softmax_at(states: np.ndarray, weights: np.ndarray, bias: np.ndarray, goal: np.ndarray) -> np.ndarray:
-    """log P of `goal` in each row of the softmax of `states`, without the other probabilities."""
+def _log_softmax_at(states: np.ndarray, weights: np.ndarray, goal: np.ndarray) -> np.ndarray:
+    """log P of `goal` in each row of the softmax of `states` that end with a one, without the other probabilities."""
     out, ones = np.empty(len(goal)), np.ones(weights.shape[1], dtype=states.dtype)
     for k in range(0, len(goal), AT_ONCE):
         x = states[k : k + AT_ONCE] @ weights
-        x += bias
         said = x[np.arange(len(x)), goal[k : k + AT_ONCE]]
         np.exp(x, out=x)
         out[k : k + AT_ONCE] = said - np.log(x @ ones)
     return out
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    """Of `x`, which is overwritten; MOST_WEIGHT keeps exp from overflowing."""
-    np.negative(x, out=x)
+def _expected(states: np.ndarray, weights: np.ndarray, back: np.ndarray, live: np.ndarray | None, into: np.ndarray) -> np.ndarray:
+    """Of the softmax of `states` that end with a one: adds probabilities times states to `into`, a row a target, and gives
+    the mean of the weights by the probabilities of each row. `back` is the turned weights with a column of ones, so that one
+    product also gives the sums, and probabilities are never made: states are divided instead."""
+    x = states @ weights
     np.exp(x, out=x)
-    x += 1
-    return np.reciprocal(x, out=x)
+    mean = x @ back
+    share = np.reciprocal(mean[:, -1:])
+    if live is not None:
+        share *= live
+    into += x.T @ (states * share)
+    return mean[:, :-1] * share
 
 
 class Network:
@@ -240,19 +259,34 @@ class Network:
 
     def run(self, x: np.ndarray, fresh: np.ndarray, h: np.ndarray, keep: bool) -> tuple[np.ndarray, list]:
         """States after each step of `x` (steps, lanes); `fresh` resets a lane before the step."""
-        n, tape = HIDDEN, []
+        n, tape, h = HIDDEN, [], h.copy()
         states, resets = np.empty((*x.shape, n), dtype=self.kind), fresh.any(1)
+        # a contiguous matrix a gate; z and r negated, as exp takes them
+        gates_in = np.stack((-self.p["inputs"][:, :n], -self.p["inputs"][:, n : 2 * n]))
+        gates_by = np.stack((-self.p["recurrent"][:, :n], -self.p["recurrent"][:, n:]))
+        new_in, new_by = -2 * self.p["inputs"][:, 2 * n :], -2 * self.p["candidate"]
         for t in range(len(x)):
             if resets[t]:
-                h = h * ~fresh[t][:, None]
-            into = self.p["inputs"][x[t]]
-            gates = h @ self.p["recurrent"]
-            z, r = _sigmoid(into[:, :n] + gates[:, :n]), _sigmoid(into[:, n : 2 * n] + gates[:, n:])
+                h[fresh[t]] = 0
+            gates = gates_in.take(x[t], 1)
+            gates += h @ gates_by
+            np.exp(gates, out=gates)  # MOST_WEIGHT keeps it from overflowing
+            gates += 1
+            np.reciprocal(gates, out=gates)
+            z, r = gates
             rh = r * h
-            new = np.tanh(into[:, 2 * n :] + rh @ self.p["candidate"])
+            new = rh @ new_by
+            new += new_in.take(x[t], 0)
+            np.exp(new, out=new)  # of minus twice the sum; this tanh takes half the time of numpy's
+            new += 1
+            np.reciprocal(new, out=new)
+            new *= 2
+            new -= 1
             if keep:
                 tape.append((h, z, r, rh, new))
-            h = new + z * (h - new)
+            h = h - new
+            h *= z
+            h += new
             states[t] = h
         return states, tape
 
@@ -262,21 +296,22 @@ class Network:
 
     def log_p(self, states: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """log P of each slot: its class, and the slot in the class."""
-        group = self.split(slot)
-        p = _log_softmax_at(states, self.p["classes"], self.p["class_bias"], group)
+        group, states = self.split(slot), _with_one(states)
+        p = _log_softmax_at(states, _with_bias(self.p["classes"], self.p["class_bias"]), group)
         order, spans = _by(group, self.n_classes)
+        states, place, slots = states.take(order, 0), slot.take(order) % CLASS_SIZE, _with_bias(self.p["slots"], self.p["slot_bias"])
         for c, a, b in spans:
-            at = order[a:b]
-            p[at] += _log_softmax_at(states[at], self.p["slots"][c], self.p["slot_bias"][c], slot[at] - c * CLASS_SIZE)
+            p[order[a:b]] += _log_softmax_at(states[a:b], slots[c], place[a:b])
         return p
 
     def log_leaf(self, states: np.ndarray, place: np.ndarray) -> np.ndarray:
         """log P of each word in its bin; `place` counts words from the first bin on."""
         p = np.empty(len(place))
-        order, spans = _by(place // BIN, self.vocab.n_bins)
-        for k, a, b in spans:
-            at = order[a:b]
-            p[at] = _log_softmax_at(states[at], self.p["leaves"][k], self.p["leaf_bias"][k], place[at] - k * BIN)
+        for bins, rows, live, s, inner in _bins(states, place, self.vocab.n_bins):
+            x = s @ _with_bias(self.p["leaves"][bins], self.p["leaf_bias"][bins])
+            said = np.take_along_axis(x, inner[..., None], 2)[..., 0]
+            np.exp(x, out=x)
+            p[rows[live]] = (said - np.log(x @ np.ones(BIN, dtype=x.dtype)))[live]
         return p
 
     def gradients(self, x: np.ndarray, fresh: np.ndarray, slot: np.ndarray, h: np.ndarray) -> tuple[dict, np.ndarray]:
@@ -286,37 +321,41 @@ class Network:
         states, tape = self.run(x, fresh, h, True)
         flat, goal = states.reshape(-1, n), slot.ravel()
         live = goal >= 0
-        goal = np.maximum(goal, 0)
-        group = self.split(goal)
+        goal = np.where(live, goal, self.n_slots + SPELLINGS)
         scale = self.kind(1 / max(1, live.sum()))
-        g = {k: np.zeros_like(self.p[k]) for k in ("classes", "class_bias", "slots", "slot_bias")}
-        dh, turned, ones = np.empty_like(flat), np.ascontiguousarray(self.p["classes"].T), np.ones(AT_ONCE, dtype=self.kind)
-        for k in range(0, len(goal), AT_ONCE):
-            s, part = flat[k : k + AT_ONCE], group[k : k + AT_ONCE]
-            d = s @ self.p["classes"]
-            d += self.p["class_bias"]
-            _softmax(d)
-            d[np.arange(len(part)), part] -= 1
-            if not live[k : k + AT_ONCE].all():
-                d[~live[k : k + AT_ONCE]] = 0
-            g["classes"] += s.T @ d
-            g["class_bias"] += ones[: len(d)] @ d
-            dh[k : k + AT_ONCE] = d @ turned
-        order, spans = _by(np.where(live, group, self.n_classes), self.n_classes)
-        s, inner = flat[order], np.zeros_like(flat)
-        goal = goal[order]
-        for c, a, b in ((c, k, min(k + AT_ONCE, b)) for c, a, b in spans for k in range(a, b, AT_ONCE)):
-            e = s[a:b] @ self.p["slots"][c]
-            e += self.p["slot_bias"][c]
-            _softmax(e)
-            e[np.arange(b - a), goal[a:b] - c * CLASS_SIZE] -= 1
-            g["slots"][c] += s[a:b].T @ e
-            g["slot_bias"][c] += ones[: b - a] @ e
-            inner[a:b] = e @ self.p["slots"][c].T
-        dh[order] += inner
-        dh *= scale
-        for v in g.values():
-            v *= scale
+        # in order of slots, which is that of classes; rows without a target last
+        order = np.argsort(goal.astype(np.int16), kind="stable")
+        s, goal = _with_one(flat.take(order, 0)), goal.take(order)
+        n_live = int(live.sum())
+        live = None if n_live == len(s) else (np.arange(len(s)) < n_live).astype(self.kind)[:, None]
+        classes, turned = _with_bias(self.p["classes"], self.p["class_bias"]), np.ascontiguousarray(self.p["classes"].T)
+        slots, turned_slots = _with_bias(self.p["slots"], self.p["slot_bias"]), np.ascontiguousarray(self.p["slots"].transpose(0, 2, 1))
+        of_classes, of_slots = np.zeros_like(classes.T), np.zeros((*turned_slots.shape[:2], n + 1), dtype=self.kind)
+        group, by_goal = self.split(goal[:n_live]), np.empty_like(flat)
+        back = _with_one(turned)
+        for k in range(0, len(s), AT_ONCE):
+            by_goal[k : k + AT_ONCE] = _expected(s[k : k + AT_ONCE], classes, back, live if live is None else live[k : k + AT_ONCE], of_classes)
+        by_goal[:n_live] -= turned.take(group, 0)
+        inner = int(np.searchsorted(goal, self.n_slots))
+        bounds = np.searchsorted(group[:inner], np.arange(self.n_classes + 1)).tolist()
+        back = np.concatenate((turned_slots, np.ones((*turned_slots.shape[:2], 1), dtype=self.kind)), 2)
+        for c in range(self.n_classes):
+            for k in range(bounds[c], bounds[c + 1], AT_ONCE):
+                e = min(k + AT_ONCE, bounds[c + 1])
+                by_goal[k:e] += _expected(s[k:e], slots[c], back[c], None, of_slots[c])
+        by_goal[:inner] -= turned_slots.reshape(-1, n).take(goal[:inner], 0)
+        met, sums = _sums(goal[:n_live], s[:n_live])
+        of_slots.reshape(-1, n + 1)[met[met < self.n_slots]] -= sums[met < self.n_slots]
+        met, sums = _sums(self.split(met), sums)
+        of_classes[met] -= sums
+        of_classes *= scale
+        of_slots *= scale
+        of_slots = np.ascontiguousarray(of_slots.transpose(0, 2, 1))
+        g = {"classes": of_classes[:, :-1].T, "class_bias": of_classes[:, -1], "slots": of_slots[:, :-1], "slot_bias": of_slots[:, -1]}
+        by_goal *= scale
+        back_to = np.empty_like(order)
+        back_to[order] = np.arange(len(order))
+        dh = by_goal.take(back_to, 0)
         dh = dh.reshape(steps, lanes, n)
         dz, dr, dn, held, reset = (np.empty((steps, lanes, n), dtype=self.kind) for _ in range(5))
         to_z, to_r = self.p["recurrent"][:, :n].T.copy(), self.p["recurrent"][:, n:].T.copy()
@@ -336,10 +375,11 @@ class Network:
         dz, dr, dn, held, reset = (a.reshape(-1, n) for a in (dz, dr, dn, held, reset))
         g["recurrent"] = np.hstack((held.T @ dz, held.T @ dr))
         g["candidate"] = reset.T @ dn
-        codes, n_in = x.ravel().astype(np.intp), len(self.p["inputs"])
-        met = np.flatnonzero(np.bincount(codes, minlength=n_in))
-        sums = [np.bincount(codes, w, n_in)[met] for d in (dz, dr, dn) for w in d.T]
-        g["inputs"] = (met, np.stack(sums, 1).astype(self.kind))
+        codes = x.ravel().astype(np.int16)
+        order = np.argsort(codes, kind="stable")
+        codes = codes[order].astype(np.intp)
+        (met, of_z), (_, of_r), (_, of_n) = (_sums(codes, d.take(order, 0)) for d in (dz, dr, dn))
+        g["inputs"] = (met, np.hstack((of_z, of_r, of_n)))
         return g, states
 
     def learn(self, x: np.ndarray, fresh: np.ndarray, slot: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -351,17 +391,16 @@ class Network:
 
     def learn_leaves(self, states: np.ndarray, place: np.ndarray) -> None:
         """One step of the words of each bin that `place` meets."""
-        order, spans = _by(place // BIN, self.vocab.n_bins)
-        for k, a, b in spans:
-            at = order[a:b]
-            s = states[at]
-            e = s @ self.p["leaves"][k]
-            e += self.p["leaf_bias"][k]
-            _softmax(e)
-            e[np.arange(b - a), place[at] - k * BIN] -= 1
-            e /= b - a
-            self._move("leaves", k, s.T @ e)
-            self._move("leaf_bias", k, e.sum(0))
+        for bins, _, live, s, inner in _bins(states, place, self.vocab.n_bins):
+            e = s @ _with_bias(self.p["leaves"][bins], self.p["leaf_bias"][bins])
+            np.exp(e, out=e)
+            count = live.sum(1, dtype=self.kind)[:, None]
+            e *= (live / (e @ np.ones(BIN, dtype=e.dtype)) / count).astype(self.kind)[..., None]
+            k, at = np.nonzero(live)
+            e[k, at, inner[k, at]] -= (1 / count[k, 0]).astype(self.kind)
+            grad = s.transpose(0, 2, 1) @ e
+            self._move("leaves", bins, grad[:, :-1])
+            self._move("leaf_bias", bins, grad[:, -1])
 
     def _move(self, name: str, at, grad: np.ndarray) -> None:
         grad = np.minimum(np.maximum(grad, -0.1), 0.1)
@@ -370,6 +409,34 @@ class Network:
         self.p[name][at] = np.minimum(moved if name.endswith("bias") else np.maximum(moved, -MOST_WEIGHT), MOST_WEIGHT)
 
 
+def _bins(states: np.ndarray, place: np.ndarray, n_bins: int) -> Iterator[tuple[np.ndarray, ...]]:
+    """Bins with about as many rows each, batch by batch: bins; and, a row a bin, the rows, which are live, their states with a one, and places in the bin."""
+    bin_of = (place // BIN).astype(np.int16)
+    order = np.argsort(bin_of, kind="stable")
+    count = np.bincount(bin_of, minlength=n_bins)
+    begin = np.cumsum(count) - count
+    by_count = np.argsort(-count, kind="stable")[: np.count_nonzero(count)]
+    k = 0
+    while k < len(by_count):
+        most = int(count[by_count[k]])
+        bins = by_count[k : k + max(1, AT_ONCE * 8 // most)]
+        bins = bins[2 * count[bins] >= most]  # counts fall, so these come first
+        k += len(bins)
+        step = np.arange(most)
+        live = step < count[bins][:, None]
+        rows = order[np.where(live, begin[bins][:, None] + step, 0)]
+        s = _with_one(states.take(rows.ravel(), 0)).reshape(*rows.shape, -1)
+        yield bins, rows, live, s, place[rows] % BIN
+
+
+def _sums(keys: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each of the sorted `keys` once, and the sum of its rows."""
+    if not len(keys):
+        return keys, rows[:0]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.add.reduceat(rows, first, axis=0)
+
+
 def _by(group: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
     """An order of `group`, and each number below `n` that occurs in it with the span it takes there."""
     order = np.argsort(group.astype(np.int16), kind="stable")
@@ -378,18 +445,27 @@ def _by(group: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, int
 
 
 def _encode(vocab_sent):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocab_sent.value
-        for frame in frames:
-            coded = [vocab.encode(t) for t in frame["text"]]
-            inner = [c[c < vocab.n_head] for c, _ in coded]
-            yield frame.drop(columns=["text"]).assign(
-                n_tokens=[len(c) for c, _ in coded],
-                base=[vocab.log_c[c].sum() for c in inner],
-                known=[vocab.known[c].sum() for c in inner],
-                codes=[c.tobytes() for c, _ in coded],
-                beyond=[[t.decode("utf-8", "surrogatepass") for t in b] for _, b in coded],
-            )
+        for batch in batches:
+            if not len(batch):
+                continue
+            size, words, said = tokens(batch.column("text"))
+            bounds = np.concatenate(([0], np.cumsum(size + 1))).astype(np.int32)
+            codes = np.zeros(bounds[-1], dtype=np.int32)  # an end closes each text
+            word_codes = vocab.codes(words)
+            codes[np.arange(len(said)) + np.repeat(np.arange(len(size)), size)] = word_codes[said]
+            inner = codes < vocab.n_head
+            at = np.where(inner, codes, 0)
+            beyond = np.concatenate(([0], np.cumsum(np.add.reduceat(~inner, bounds[:-1], dtype=np.int32)))).astype(np.int32)
+            out = {c: batch.column(c) for c in batch.schema.names if c != "text"} | {
+                "n_tokens": pa.array(np.diff(bounds).astype(np.int64)),
+                "base": pa.array(np.add.reduceat(np.where(inner, vocab.log_c[at], 0.0), bounds[:-1])),
+                "known": pa.array(np.add.reduceat(inner & vocab.known[at], bounds[:-1], dtype=np.int64)),
+                "codes": pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(bounds * 4), pa.py_buffer(codes)]),
+                "beyond": pa.ListArray.from_arrays(pa.array(beyond), words.take(pa.array(said[word_codes[said] >= vocab.n_head]))),
+            }
+            yield pa.RecordBatch.from_pydict(out)
 
     return run
 
@@ -405,7 +481,7 @@ def encoded(docs: DataFrame, vocab_sent, n_parts: int) -> DataFrame:
         F.col("text").cast("string").alias("text"),
     )
     kind = "row long, doc_id long, held_out boolean, part int, text_key long, n_tokens long, base double, known long, codes binary, beyond array<string>"
-    return C.durable(rows.mapInPandas(_encode(vocab_sent), kind))
+    return C.durable(rows.mapInArrow(_encode(vocab_sent), kind))
 
 
 def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[np.ndarray], bool]]:
@@ -570,7 +646,7 @@ def score_texts(net: Network, texts: list[np.ndarray]) -> np.ndarray:
         tail = (now >= vocab.n_single) & (now < vocab.n_head)
         rare.append((states[tail], now[tail] - vocab.n_single, whose[tail]))
         n_rare += len(rare[-1][1])
-        if n_rare >= 2 * BLOCK or t + ahead >= width:
+        if n_rare >= 8 * BLOCK or t + ahead >= width:
             s, place, text = (np.concatenate([r[k] for r in rare]) for k in range(3))
             out += np.bincount(text, net.log_leaf(s, place), len(texts))
             rare, n_rare = [], 0

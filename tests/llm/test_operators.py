@@ -1,5 +1,6 @@
 """Each operator on hard rows: against brute force or SQL, and on empty tables."""
 
+import cProfile
 import hashlib
 import math
 import random
@@ -10,6 +11,7 @@ from collections import Counter, defaultdict
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -509,3 +511,41 @@ def test_pipeline_stages(spark, docs, rows, tmp_path):
     assert hashlib.md5(repr(sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect()))).encode()).hexdigest() == hashlib.md5(
         repr(sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).collect()))).encode()
     ).hexdigest()
+
+
+def test_language_model_tokens_by_batches():
+    """Arrow's words, lengths, codes and sums of odd texts are those of Python's words of each text."""
+    odd = [None, "", " ", "\t\n\x0b\f\r ", "a", " A  b\tB\n", "x\x1cy z\x85w v  u", "Ää İI Straße", "a\x00b \x00", "e " * 3000 + "e", "", None]
+    said = [(t or "").encode().lower().split() for t in odd]
+    size, words, numbers = language_model.tokens(pa.array(odd))
+    assert size.tolist() == [len(w) for w in said]
+    assert [words[k].as_py().encode() for k in numbers] == [w for ws in said for w in ws]
+    for part in (odd, [None, ""], ["a b"]):
+        assert language_model.tokens(pa.array(part, pa.string()))[0].tolist() == [len((t or "").encode().lower().split()) for t in part]
+
+    vocab = language_model.Vocabulary([(language_model.END, 9), ("a", 5), ("b", 4), ("e", 3), ("straße", 0)], 40, 6, {})
+    rows = pa.RecordBatch.from_pydict({"row": list(range(len(odd))), "text": odd})
+    (out,) = language_model._encode(type("Sent", (), {"value": vocab}))([rows])
+    for ws, r in zip(said, out.to_pylist(), strict=True):
+        codes = [vocab.ids.get(w, vocab.n_head + language_model.spelling_of(w)) for w in ws] + [0]
+        inner = [c for c in codes if c < vocab.n_head]
+        assert np.frombuffer(r["codes"], dtype=np.int32).tolist() == codes and r["n_tokens"] == len(codes) and "text" not in r
+        assert abs(r["base"] - vocab.log_c[inner].sum()) < 1e-9 and r["known"] == vocab.known[inner].sum()
+        assert r["beyond"] == [w.decode() for w in ws if w not in vocab.ids]
+
+
+def test_language_model_calls_do_not_follow_bins():
+    """A thousand bins meet a chunk in batches, not one by one: calls in Python stay few."""
+    words = 64_512
+    vocab = language_model.Vocabulary([(language_model.END, 10)] + [(f"w{k}", 1 + (words - k) // 8) for k in range(words)], 10**8, words + 1, {})
+    net = language_model.Network(vocab)
+    met = {"all": np.zeros(1), "inputs": np.zeros(net.start + 1), "slots": np.zeros(vocab.n_classes), "leaves": np.zeros(vocab.n_bins)}
+    rng = np.random.default_rng(3)
+    texts = [rng.integers(0, vocab.n_head, 2000) for _ in range(20)]
+    profile = cProfile.Profile()
+    profile.enable()
+    language_model.train_chunk(net, texts, met)
+    scores = language_model.score_texts(net, texts)
+    profile.disable()
+    assert vocab.n_bins == 1001 and np.isfinite(scores).all()
+    assert sum(e.callcount for e in profile.getstats()) < 25_000
