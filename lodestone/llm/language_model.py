@@ -447,9 +447,7 @@ def _by(group: np.ndarray, n: int) -> tuple[np.ndarray, list[tuple[int, int, int
 def _encode(vocab_sent):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocab_sent.value
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (b.slice(k, AT_ONCE) for b in batches for k in range(0, len(b), AT_ONCE)):
             size, words, said = tokens(batch.column("text"))
             bounds = np.concatenate(([0], np.cumsum(size + 1))).astype(np.int32)
             codes = np.zeros(bounds[-1], dtype=np.int32)  # an end closes each text
@@ -646,7 +644,7 @@ def score_texts(net: Network, texts: list[np.ndarray]) -> np.ndarray:
         tail = (now >= vocab.n_single) & (now < vocab.n_head)
         rare.append((states[tail], now[tail] - vocab.n_single, whose[tail]))
         n_rare += len(rare[-1][1])
-        if n_rare >= 8 * BLOCK or t + ahead >= width:
+        if n_rare >= 4 * BLOCK or t + ahead >= width:
             s, place, text = (np.concatenate([r[k] for r in rare]) for k in range(3))
             out += np.bincount(text, net.log_leaf(s, place), len(texts))
             rare, n_rare = [], 0
