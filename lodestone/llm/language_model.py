@@ -31,7 +31,7 @@ from __future__ import annotations
 import heapq
 from collections.abc import Iterator
 from copy import copy
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pandas as pd
@@ -101,11 +101,19 @@ def tokens(texts: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts of each batch, with the same tokens that scoring sees."""
+    """Counts of each batch, with the same tokens that scoring sees. Texts are split slice by slice, as all words of a
+    batch take several times the memory of its texts."""
     for batch in batches:
-        _, words, said = tokens(batch.column("text"))
-        c = np.append(np.bincount(said, minlength=len(words)), len(batch)).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([words, pa.array([END])]), pa.array(c)], names=["token", "c"])
+        found, numbers = [], []
+        for k in range(0, len(batch), AT_ONCE):
+            _, words, said = tokens(batch.column("text").slice(k, AT_ONCE))
+            found.append(words)
+            numbers.append(np.bincount(said, minlength=len(words)))
+        if found:
+            coded = pa.concat_arrays(found).dictionary_encode()
+            said = coded.indices.to_numpy(zero_copy_only=False)
+            c = np.append(np.bincount(said, np.concatenate(numbers), len(coded.dictionary)), len(batch)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([coded.dictionary, pa.array([END])]), pa.array(c)], names=["token", "c"])
 
 
 def counts(docs: DataFrame) -> DataFrame:
@@ -482,21 +490,40 @@ def encoded(docs: DataFrame, vocab_sent, n_parts: int) -> DataFrame:
     return C.durable(rows.mapInArrow(_encode(vocab_sent), kind))
 
 
-def _chunks(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[np.ndarray], bool]]:
-    """Part, codes of documents with about CHUNK tokens, and whether the part ends there; frames are in order of parts."""
+def _codes(batch: pa.RecordBatch) -> list[np.ndarray]:
+    """The codes of each row, as views on the batch."""
+    codes = batch.column("codes").cast(pa.binary())
+    _, at, data = codes.buffers()
+    if not len(codes):
+        return []
+    bounds = np.frombuffer(at, dtype=np.int32)[codes.offset : codes.offset + len(codes) + 1] // 4
+    whole = np.frombuffer(data, dtype=np.int32, count=bounds[-1])
+    return [whole[a:b] for a, b in pairwise(bounds.tolist())]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[np.ndarray], bool]]:
+    """Part, codes of documents with about CHUNK tokens, and whether the part ends there; batches are in order of parts."""
     part, held, size = None, [], 0
-    for frame in frames:
-        for now, codes in zip(frame["part"], frame["codes"], strict=True):
+    for batch in batches:
+        for now, codes in zip(batch.column("part").to_pylist(), _codes(batch), strict=True):
             if held and (now != part or size >= CHUNK):
                 yield part, held, now != part
                 held, size = [], 0
             part = now
-            held.append(np.frombuffer(codes, dtype=np.int32))
-            size += len(held[-1])
+            held.append(codes)
+            size += len(codes)
     if held:
         yield part, held, True
 
 
+def _tally(numbers: np.ndarray, n: int) -> np.ndarray:
+    """How often each number below `n` occurs, block by block, as bincount widens what it reads."""
+    out = np.zeros(n, dtype=np.int64)
+    for k in range(0, len(numbers), BLOCK):
+        out += np.bincount(numbers[k : k + BLOCK], minlength=n)
+    return out
+
+
 def train_chunk(net: Network, texts: list[np.ndarray], met: dict[str, np.ndarray]) -> None:
     """Trains `net` on the codes of texts laid out in lanes; adds to `met` how often each row of a matrix was met."""
     vocab = net.vocab
@@ -507,26 +534,31 @@ def train_chunk(net: Network, texts: list[np.ndarray], met: dict[str, np.ndarray
     x = np.concatenate((np.full(1, net.start, dtype=np.int32), slot[:-1]))
     x[fresh] = net.start
     met["all"] += len(code)
-    met["inputs"] += np.bincount(x, minlength=len(met["inputs"]))
-    inner = slot[slot < vocab.n_slots]
-    met["slots"] += np.bincount(inner // CLASS_SIZE, minlength=vocab.n_classes)
-    met["leaves"] += np.bincount(inner[inner >= vocab.n_single] - vocab.n_single, minlength=vocab.n_bins)
+    met["inputs"] += _tally(x, len(met["inputs"]))
+    of_slot = _tally(slot, vocab.n_slots + SPELLINGS)[: vocab.n_slots]
+    met["slots"] += np.bincount(np.arange(vocab.n_slots) // CLASS_SIZE, of_slot, vocab.n_classes)
+    met["leaves"] += of_slot[vocab.n_single :]
     lanes = max(1, min(LANES, len(code) // (STEPS * LEAST_WINDOWS)))
     width = -(-len(code) // lanes)
     width = -(-width // STEPS) * STEPS
     wide = lambda a, fill: np.ascontiguousarray(np.concatenate([a, np.full(lanes * width - len(a), fill, dtype=a.dtype)]).reshape(lanes, width).T)
-    x, fresh, slot, code = wide(x, net.start), wide(fresh, True), wide(slot, -1), wide(code, -1)
+    x = wide(x, net.start)
+    fresh = wide(fresh, True)
+    slot = wide(slot, -1)
+    code = wide(code, -1)
     h = np.zeros((lanes, HIDDEN), dtype=net.kind)
-    rare: list[tuple[np.ndarray, np.ndarray]] = []
-    for t in range(0, width, STEPS):
-        states = net.learn(x[t : t + STEPS], fresh[t : t + STEPS], slot[t : t + STEPS], h)
-        h = states[-1]
-        now = code[t : t + STEPS]
-        tail = (now >= vocab.n_single) & (now < vocab.n_head)
-        rare.append((states[tail], now[tail] - vocab.n_single))
-        if len(rare) == LEAF_EVERY or t + STEPS >= width:
-            net.learn_leaves(np.concatenate([s for s, _ in rare]), np.concatenate([p for _, p in rare]))
-            rare = []
+    for begin in range(0, width, LEAF_EVERY * STEPS):
+        some = code[begin : begin + LEAF_EVERY * STEPS]
+        tail = (some >= vocab.n_single) & (some < vocab.n_head)
+        place, n = some[tail] - vocab.n_single, 0
+        rare = np.empty((len(place), HIDDEN), dtype=net.kind)
+        for t in range(begin, begin + len(some), STEPS):
+            states = net.learn(x[t : t + STEPS], fresh[t : t + STEPS], slot[t : t + STEPS], h)
+            h = states[-1].copy()
+            met_here = states[tail[t - begin : t - begin + STEPS]]
+            rare[n : n + len(met_here)] = met_here
+            n += len(met_here)
+        net.learn_leaves(rare, place)
 
 
 #: Which counts of `met` a matrix is averaged by; the others by all tokens, as one row.
@@ -553,15 +585,16 @@ REPLICA = "part int, name string, first int, mass binary, rows binary"
 def _train(vocab_sent, weights_sent, calm: float):
     """A replica a part."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, net, met = vocab_sent.value, None, {}
-        for part, texts, ends in _chunks(frames):
+        for part, texts, ends in _chunks(batches):
             if net is None:
                 net = Network(vocab, weights_sent.value, calm)
                 met = {"all": np.zeros(1), "inputs": np.zeros(net.start + 1), "slots": np.zeros(vocab.n_classes), "leaves": np.zeros(vocab.n_bins)}
             train_chunk(net, texts, met)
             if ends:
-                yield pd.DataFrame([(part, *b) for b in _blocks(net, met)], columns=["part", "name", "first", "mass", "rows"])
+                for name, first, mass, rows in _blocks(net, met):
+                    yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([name]), pa.array([first], pa.int32()), pa.array([mass]), pa.array([rows])], names=["part", "name", "first", "mass", "rows"])
                 net = None
 
     return run
@@ -571,10 +604,12 @@ def _mean(pdf: pd.DataFrame) -> pd.DataFrame:
     """One block for the same block of several replicas, each row by its mass."""
     pdf = pdf.sort_values("part")
     name = pdf["name"].iloc[0]
-    mass = np.stack([np.frombuffer(m, dtype=np.float64) for m in pdf["mass"]])
-    rows = np.stack([np.frombuffer(r, dtype=WIRE.get(name, np.float32)).astype(np.float64) for r in pdf["rows"]]).reshape(*mass.shape, -1)
-    total = mass.sum(0)
-    mean = (mass[:, :, None] * rows).sum(0) / np.maximum(total, 1e-9)[:, None]
+    total, mean = 0.0, 0.0
+    for m, r in zip(pdf["mass"], pdf["rows"], strict=True):  # one by one, as FAN blocks at once take far more
+        mass = np.frombuffer(m, dtype=np.float64)
+        total = total + mass
+        mean = mean + mass[:, None] * np.frombuffer(r, dtype=WIRE.get(name, np.float32)).astype(np.float64).reshape(len(mass), -1)
+    mean = mean / np.maximum(total, 1e-9)[:, None]
     return pd.DataFrame([(pdf["part"].iloc[0], name, pdf["first"].iloc[0], total.tobytes(), mean.astype(WIRE.get(name, np.float32)).tobytes())], columns=["part", "name", "first", "mass", "rows"])
 
 
@@ -592,7 +627,7 @@ def fit(coded: DataFrame, vocab_sent, per_round: int) -> dict[str, np.ndarray]:
     for k in range(ROUNDS):
         own = train.filter((F.col("part") % ROUNDS) == k)
         own = own.repartitionByRange(per_round, "part").sortWithinPartitions("part", "doc_id", "text_key")
-        replicas = own.select("part", "codes").mapInPandas(_train(vocab_sent, spark.sparkContext.broadcast(weights), CALM[k]), REPLICA)
+        replicas = own.select("part", "codes").mapInArrow(_train(vocab_sent, spark.sparkContext.broadcast(weights), CALM[k]), REPLICA)
         n = per_round
         while n > FAN:
             replicas = replicas.groupBy("name", "first", F.floor(F.col("part") / (FAN * per_round * ROUNDS / n)).alias("group")).applyInPandas(lambda pdf: _mean(pdf), REPLICA)
@@ -619,35 +654,37 @@ def score_texts(net: Network, texts: list[np.ndarray]) -> np.ndarray:
         begin[k], lane[k] = heap[0]
         heapq.heapreplace(heap, (int(begin[k] + lengths[k]), int(lane[k])))
     width = int((begin + lengths).max())
-    goal = np.full((lanes, width), -1, dtype=np.int32)
-    doc = np.zeros((lanes, width), dtype=np.int32)
-    fresh = np.zeros((lanes, width), dtype=bool)
+    goal = np.full((width, lanes), -1, dtype=np.int32)
+    doc = np.zeros((width, lanes), dtype=np.int32)
+    fresh = np.zeros((width, lanes), dtype=bool)
     for k, codes in enumerate(texts):
-        goal[lane[k], begin[k] : begin[k] + lengths[k]] = codes
-        doc[lane[k], begin[k] : begin[k] + lengths[k]] = k
-        fresh[lane[k], begin[k]] = True
-    goal, doc, fresh = (np.ascontiguousarray(a.T) for a in (goal, doc, fresh))
+        goal[begin[k] : begin[k] + lengths[k], lane[k]] = codes
+        doc[begin[k] : begin[k] + lengths[k], lane[k]] = k
+        fresh[begin[k], lane[k]] = True
     out = np.zeros(len(texts))
     h = np.zeros((lanes, HIDDEN), dtype=net.kind)
     before = np.full((1, lanes), net.start, dtype=np.int32)
     ahead = max(STEPS, BLOCK // lanes)
-    rare, n_rare = [], 0
+    most = min(4 * BLOCK + ahead * lanes, int(lengths.sum()))
+    rare, n_rare = (np.empty((most, HIDDEN), dtype=net.kind), np.empty(most, dtype=np.int32), np.empty(most, dtype=np.int32)), 0
     for t in range(0, width, ahead):
         now, whose, first = goal[t : t + ahead], doc[t : t + ahead], fresh[t : t + ahead]
         slot = vocab.slots(now)
         x = np.concatenate([before, slot[:-1]])
         x[first] = net.start
         states, _ = net.run(x, first, h, False)
-        h, before = states[-1], slot[-1:]
+        h, before = states[-1].copy(), slot[-1:].copy()
         live = now >= 0
         out += np.bincount(whose[live], net.log_p(states[live], slot[live]), len(texts))
         tail = (now >= vocab.n_single) & (now < vocab.n_head)
-        rare.append((states[tail], now[tail] - vocab.n_single, whose[tail]))
-        n_rare += len(rare[-1][1])
+        n_now = np.count_nonzero(tail)
+        for held, new in zip(rare, (states[tail], now[tail] - vocab.n_single, whose[tail]), strict=True):
+            held[n_rare : n_rare + n_now] = new
+        n_rare += n_now
         if n_rare >= 4 * BLOCK or t + ahead >= width:
-            s, place, text = (np.concatenate([r[k] for r in rare]) for k in range(3))
+            s, place, text = (held[:n_rare] for held in rare)
             out += np.bincount(text, net.log_leaf(s, place), len(texts))
-            rare, n_rare = [], 0
+            n_rare = 0
         beyond = now >= vocab.n_head
         out -= np.bincount(whose[beyond], vocab.log_mass[now[beyond] - vocab.n_head], len(texts))
     return out
@@ -659,13 +696,16 @@ def _score(vocab_sent, weights_sent):
     Texts of like length are scored together, so that few lanes wait for a long one.
     """
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net = Network(vocab_sent.value, weights_sent.value, None)
-        for frame in frames:
-            frame = frame.sort_values("n_tokens", kind="stable")
-            cut = np.cumsum(frame["n_tokens"].to_numpy()) // CHUNK
-            parts = [score_texts(net, [np.frombuffer(c, dtype=np.int32) for c in frame["codes"][cut == k]]) for k in np.unique(cut)]
-            yield frame.drop(columns=["codes"]).assign(model=np.concatenate(parts))
+        for batch in batches:
+            texts = _codes(batch)
+            lengths = np.array([len(t) for t in texts], dtype=np.int64)
+            order = np.argsort(lengths, kind="stable")
+            cut, model = np.cumsum(lengths[order]) // CHUNK, np.empty(len(texts))
+            for k in np.unique(cut):
+                model[order[cut == k]] = score_texts(net, [texts[i] for i in order[cut == k]])
+            yield batch.drop_columns(["codes"]).append_column("model", pa.array(model))
 
     return run
 
@@ -681,7 +721,7 @@ def language_model_scores(docs: DataFrame) -> DataFrame:
     codes_sent = spark.sparkContext.broadcast(vocab.without_words())
     weights_sent = spark.sparkContext.broadcast(fit(coded, codes_sent, per_round))
     rows = coded.select("row", "doc_id", "held_out", "n_tokens", "base", "known", "codes")
-    scored = rows.mapInPandas(_score(codes_sent, weights_sent), "row long, doc_id long, held_out boolean, n_tokens long, base double, known long, model double")
+    scored = rows.mapInArrow(_score(codes_sent, weights_sent), "row long, doc_id long, held_out boolean, n_tokens long, base double, known long, model double")
     rest = coded.select("row", F.explode("beyond").alias("token")).join(counted, "token", "left")
     rest = rest.groupBy("row").agg(F.sum(F.log(F.coalesce("c", F.lit(0)) + 0.5)).alias("rest"), F.count("c").alias("rest_known"))
     out = scored.join(rest, "row", "left").fillna(0, ["rest", "rest_known"])

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -549,3 +550,33 @@ def test_language_model_calls_do_not_follow_bins():
     profile.disable()
     assert vocab.n_bins == 1001 and np.isfinite(scores).all()
     assert sum(e.callcount for e in profile.getstats()) < 25_000
+
+
+def peak_of(run):
+    tracemalloc.start()
+    run()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_language_model_worker_memory(monkeypatch):
+    """A worker holds words of a slice, states of rare words once, one replica's block at a time and codes as views."""
+    rng = np.random.default_rng(5)
+    texts = pa.array([" ".join(f"w{k}" for k in rng.integers(0, 2000, 200)) for _ in range(10_000)])
+    split, seen = language_model.tokens, []
+    monkeypatch.setattr(language_model, "tokens", lambda some: seen.append(some.nbytes) or split(some))
+    (out,) = language_model._count([pa.RecordBatch.from_arrays([texts], names=["text"])])
+    assert dict(zip(out["token"].to_pylist(), out["c"].to_pylist(), strict=True)) == Counter(w for t in texts.to_pylist() for w in t.split()) | Counter({" ": 10_000})
+    assert max(seen) < texts.nbytes / 8 and sum(seen) >= 0.9 * texts.nbytes
+
+    blocks = pd.DataFrame([(k, "inputs", 0, np.ones(1024).tobytes(), np.full(1 << 16, k, dtype=np.float32).tobytes()) for k in range(64)], columns=["part", "name", "first", "mass", "rows"])
+    assert peak_of(lambda: language_model._mean(blocks)) < 8 << 20
+
+    vocab = language_model.Vocabulary([(language_model.END, 10)] + [(f"w{k}", 9) for k in range(8_000)], 10**6, 8_001, {})
+    codes = rng.integers(language_model.FREQUENT, vocab.n_head, (600, 1000)).astype(np.int32)
+    batch = pa.RecordBatch.from_pydict({"part": pa.array([0] * 600, pa.int32()), "n_tokens": [1000] * 600, "codes": [c.tobytes() for c in codes]})
+    sent = lambda x: type("Sent", (), {"value": x})
+    weights = language_model.Network(vocab).p
+    assert peak_of(lambda: list(language_model._train(sent(vocab), sent(weights), 1e-4)([batch]))) < 75 * codes.size + (32 << 20)
+    assert all(np.array_equal(a, b) for a, b in zip(language_model._codes(batch.slice(7, 9)), codes[7:16], strict=True)) and language_model._codes(batch.slice(0, 0)) == []
